@@ -99,8 +99,12 @@ TAXONOMY = [
 SCORE_WEIGHTS = {"spike": 25, "burst": 20, "new": 15, "regression": 35, "cascade": 20, "cross_ns": 15}
 SEVERITY_STEPS = [(80, "critical"), (60, "high"), (40, "medium"), (20, "low")]
 
-# --- Fixed values: environments of namespaces, (pattern, environment) ---
-ENVIRONMENTS = [(r"prod", "prod"), (r"uat", "uat"), (r"sit", "sit"), (r"dev", "dev"), (r"test", "test"), (r"stag", "staging")]
+# --- Fixed values: environments of namespaces in lower case, (pattern, environment) ---
+ENVIRONMENTS = [
+    (r"-prod-|\.prod\.|_prod_|^prod-|-prod$", "prod"), (r"-uat-|\.uat\.|_uat_|^uat-|-uat$", "uat"), (r"-sit-|\.sit\.|_sit_|^sit-|-sit$", "sit"), (r"-dev-|\.dev\.|_dev_|^dev-|-dev$", "dev"),
+    (r"-test-|\.test\.|_test_|^test-|-test$", "test"), (r"-staging-|\.staging\.|_staging_", "staging"),
+]
+SEMVER = r"^(\d+)\.(\d+)\.(\d+)(?:-[\w.]+)?(?:\+[\w.]+)?$"
 
 # --- Fixed values: flows and error classes of problem keys (two dialects) ---
 FLOWS = [
@@ -158,3 +162,42 @@ TRACE_NORMALISATION = [
     (r"\b1[0-9]{9,12}\b", "<TS>"),
 ]
 STACK_FRAME = r"\s+at\s+[a-z][\w$.]+\.\w+\("
+HANDLE_FAULT = r"(?i)Handle fault\. Error:.*?message=([^,\]]+)"
+FQCN_PREFIX = r"^(?:[a-zA-Z_]\w*\.)+[A-Z]\w*(?:Exception|Error|Failure|Fault)\s*:\s*"
+BARE_PREFIX = r"^[A-Z]\w*(?:Exception|Error|Failure|Fault)\s*:\s*"
+GENERIC_CLASSES = [
+    "servicebusinessexception", "constraintviolationexception", "unknownerror", "notfounderror", "not_found", "forbiddenerror", "servererror", "unauthorizederror", "accessdeniedexception",
+    "mismatchedinputexception", "illegalargumentexception", "internal_error",
+]
+
+# --- Fixed values: messages of alerts ---
+ALERT_BAD = ["step processing failed, context stepcontext", "asynchronous case processing not started", "an unexpected error occurred", "processing of step", "handle fault"]
+ALERT_GOOD = ["called service", "processing errors", "loadbridgexmlrequest", "not permitted", "resource not found", "token scopes", "operation not allowed", "timeout", "connection", "sql"]
+CAUSE_STOP_WORDS = ["called", "case", "code", "description", "during", "error", "failed", "failure", "operation", "processing", "service", "step", "unexpected"]
+STEP_STOP_WORDS = ["error", "occurred", "during"]
+QUALITY_BAD = ["error handled", "service exception", "an error occurred", "unknownerror", "handle fault"]
+QUALITY_GOOD = ["card with id", "constraintviolationexception", "jsonparseexception", "accessdeniedexception", "operation not allowed", "scope", "status", "code=", "detail=", "#post#", "#get#"]
+
+# --- Fixed values: keyword guesses of a category, (words of which the lower-cased text has one, category) ---
+GUESSES = [
+    (["hikaripool", "connection pool", "no available connection"], "database"), (["deadlock", "lock wait timeout", "could not serialize"], "database"),
+    (["database", "sql", "jdbc", "postgres", "constraint violation"], "database"), (["timeout", "timed out", "read timed", "connect timed"], "timeout"),
+    (["connection refused", "connection reset", "econnrefused", "econnreset"], "network"), (["network", "dns", "broken pipe", "socket"], "network"),
+    (["401", "403", "unauthorized", "forbidden", "auth", "token expired"], "auth"), (["not found", "does not exist", "404", "validation", "invalid"], "business"),
+    (["illegalargument", "constraint", "missing"], "business"), (["outofmemory", "oom", "heap", "gc overhead"], "memory"),
+    (["external", "503", "502", "upstream", "service unavailable", "429", "rate limit"], "external"),
+]
+#: (category, words, subcategory); a category without a fitting row is "general", auth without one "unauthorized"
+SUBGUESSES = [
+    ("database", ["pool", "hikari"], "connection_pool"), ("database", ["deadlock"], "deadlock"), ("database", ["constraint", "duplicate"], "constraint"),
+    ("timeout", ["read"], "read"), ("timeout", ["connect"], "connect"), ("network", ["refused"], "connection_refused"), ("network", ["reset"], "connection_reset"),
+    ("auth", ["token", "expired"], "token_expired"), ("auth", ["403", "forbidden"], "forbidden"), ("external", ["429", "rate"], "rate_limit"), ("external", ["503", "unavailable"], "unavailable"),
+    ("business", ["not found", "does not exist"], "not_found"), ("business", ["validation", "invalid"], "validation"),
+]
+
+# --- Fixed values: test traffic, severity by scope ---
+TEST_ORIGINATORS = ["mochaxtestapp"]
+TEST_MIN_SHARE = 0.5
+SCOPE_SEVERITY = {"SYSTEMIC": "critical", "CROSS_NS": "high"}
+BOOSTED_CATEGORIES = ["database", "auth", "security", "infrastructure"]
+NON_PROD = ["-dev", "-fat"]
