@@ -201,3 +201,25 @@ TEST_MIN_SHARE = 0.5
 SCOPE_SEVERITY = {"SYSTEMIC": "critical", "CROSS_NS": "high"}
 BOOSTED_CATEGORIES = ["database", "auth", "security", "infrastructure"]
 NON_PROD = ["-dev", "-fat"]
+
+# --- Fixed values: refinement of unknown categories, (words of which the lower-cased texts have one, category, subcategory) ---
+REFINEMENTS = [
+    (["configuration error", "config error", "configurationexception", "invalid configuration", "missing configuration", "bad configuration", "property not found", "propertynotfoundexception", "missingpropertyexception"], "config", "configuration_error"),
+    (["constraintviolationexception", "constraint violation", "data integrity", "dataintegrityviolationexception", "duplicate key", "unique constraint", "foreign key constraint", "referential integrity"], "database", "constraint_violation"),
+    (["accessdeniedexception", "access denied", "permission denied", "insufficientpermission", "securityexception", "authorizationexception", "forbidden access", "not authorized"], "auth", "access_denied"),
+    (["invalidformatexception", "invalid format", "jsonparseexception", "jsonmappingexception", "unmarshalexception", "serializationexception", "deserializationexception", "malformed json", "malformed xml"], "serialization", "format_error"),
+    (["servicebusinessexception", "businessexception", "business error", "serviceexception", "applicationexception", "domainexception", "business logic", "business rule violated"], "business", "business_exception"),
+    (["nullpointerexception", "npe", "null pointer", "is null", "cannot be null", "must not be null", "required field is null", "illegalaargumentexception: null", "emptyresultdataaccessexception"], "code", "null_error"),
+    (["illegalstateexception", "illegal state", "invalid state", "inconsistent state", "state machine", "statemachineexception"], "code", "state_error"),
+    (["token", "jwt", "oauth", "unauthorized", "forbidden", "authentication", "credential", "password", "login", "session expired", "401", "403"], "auth", "authentication_error"),
+    (["timeout", "timed out", "deadline exceeded", "read timed out", "connection timed out", "socket timeout", "request timeout"], "timeout", "timeout_error"),
+    (["sql", "database", "db connection", "jdbc", "postgres", "mysql", "mongo", "redis", "connection pool", "pool exhausted", "query failed", "deadlock", "lock wait"], "database", "database_error"),
+    (["connection refused", "connection reset", "network unreachable", "host not found", "dns", "socket", "econnreset", "econnrefused", "no route to host", "connection closed", "broken pipe"], "network", "connection_error"),
+    (["out of memory", "oom", "heap space", "gc overhead", "memory limit", "outofmemoryerror", "memory allocation", "stack overflow"], "memory", "memory_error"),
+    (["external service", "third party", "api error", "upstream", "downstream", "http 5", "bad gateway", "502", "503", "504"], "external", "external_service_error"),
+    (["validation", "invalid", "not found", "missing", "required field", "constraint", "business rule", "insufficient", "limit exceeded", "400", "404", "422"], "business", "validation_error"),
+    (["kafka", "rabbit", "amqp", "message queue", "consumer", "producer", "offset", "partition", "rebalance", "commit failed"], "external", "messaging_error"),
+    (["ssl", "tls", "certificate", "handshake", "x509", "pkix"], "network", "ssl_error"),
+    (["json", "xml", "parse", "serialize", "deserialize", "unmarshal", "marshal", "encoding", "decoding"], "serialization", "serialization_error"),
+    (["error handled", "exception handled", "caught exception"], "business", "handled_error"),
+]
