@@ -41,13 +41,14 @@ def timelines(records: DataFrame, max_traces: int | None = None, max_events: int
         rows = rows.join(top_traces(rows, max_traces).select("trace_id"), "trace_id", "left_semi")
     rows = first_events(rows, max_events)
     raw = F.when(F.col("raw_message") != "", F.col("raw_message")).otherwise(F.col("normalized_message"))
-    useful = F.when(X.useful_content(raw) != "", X.useful_content(raw)).otherwise(F.col("normalized_message"))
-    trimmed = X.smart_trim(useful)
     level = F.coalesce(F.col("level"), F.lit("ERROR")) if "level" in records.columns else F.lit("ERROR")
-    event = F.struct(
-        F.col("ts").isNull().alias("untimed"), "ts", "seq", F.col("app_name").alias("app"), X.event_error_class(F.col("error_type"), F.col("normalized_message")).alias("error_class"),
-        F.when(trimmed != "", trimmed).otherwise(F.substring(useful, 1, 200)).alias("message"), "namespace", level.alias("level"), X.signal_score(useful).alias("signal"),
-    )
+    # What the next expressions use several times comes out of a generator, computed once
+    said = F.inline(F.array(F.struct(X.useful_content(raw).alias("said"), X.event_error_class(F.col("error_type"), F.col("normalized_message")).alias("error_class"))))
+    rows = rows.select("trace_id", "ts", "seq", F.col("app_name").alias("app"), "namespace", level.alias("level"), "normalized_message", said)
+    rows = rows.withColumn("useful", F.when(F.col("said") != "", F.col("said")).otherwise(F.col("normalized_message")))
+    rows = rows.select("*", F.inline(F.array(F.struct(X.smart_trim(F.col("useful")).alias("trimmed"), X.signal_score(F.col("useful")).alias("signal")))))
+    shown = F.when(F.col("trimmed") != "", F.col("trimmed")).otherwise(F.substring("useful", 1, 200))
+    event = F.struct(F.col("ts").isNull().alias("untimed"), "ts", "seq", "app", "error_class", shown.alias("message"), "namespace", "level", "signal")
     return rows.select("trace_id", event.alias("e")).groupBy("trace_id").agg(F.array_sort(F.collect_list("e")).alias("events"))
 
 

@@ -12,7 +12,7 @@ from emberlog.operators import measure, peaks
 from emberlog.plans import logs as G
 from emberlog.plans import sql as S
 from emberlog.plans.catalog import query
-from emberlog.sources.tables import staged
+from emberlog.sources.tables import once
 
 R = G.R
 
@@ -53,11 +53,10 @@ S.NEEDS.update({
 })
 
 
-def known(records: DataFrame, spark: SparkSession) -> dict:
+def known(spark: SparkSession, d: str) -> dict:
     """What a run knows beforehand in these queries: thresholds, half of the fingerprints, fixes of some."""
-    facts = measure.facts(records)
-    thr = peaks.train_thresholds(measure.dense_namespace_counts(facts, G.monitored(spark)))
-    fps, cap = facts.select("fingerprint").distinct(), peaks.caps(thr)
+    thr, cap = G.trained(spark, d)
+    fps = G.facts(spark, d).select("fingerprint").distinct()
     first = F.substring("fingerprint", 1, 1)
     return {
         "thresholds": thr, "cap_rows": cap, "known_fingerprints": fps.filter(first.between("0", "7")), "fixes": fps.filter(first.isin("2", "9", "a")).withColumn("fixed_in", F.lit("2.9.0")),
@@ -65,14 +64,8 @@ def known(records: DataFrame, spark: SparkSession) -> dict:
     }
 
 
-def run(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(records, incidents) of a run; the records are a stage table, as many aggregates read them."""
-    records = staged(G.records(spark, d), "records")
-    return records, I.incidents(records, "2024-01-31", **known(records, spark))
-
-
 def incidents(spark: SparkSession, d: str) -> DataFrame:
-    return run(spark, d)[1]
+    return once(spark, d, "incidents", lambda: I.incidents(G.records(spark, d), "2024-01-31", **known(spark, d)))
 
 
 @query(S.ctes("owned") + " SELECT owner AS fingerprint, namespace, w AS window_start, value, contribution, contributors, round(strength, 6) AS trigger_score, CASE WHEN value > p93 AND value > cap THEN 'both' WHEN value > p93 THEN 'p93' ELSE 'cap' END AS triggered_by FROM owned")

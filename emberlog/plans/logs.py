@@ -13,6 +13,7 @@ from emberlog.operators.parse import by_fingerprint, parse
 from emberlog.plans import sql as S
 from emberlog.plans.catalog import query, table
 from emberlog.sources import logs as L
+from emberlog.sources.tables import once
 
 MONITORED = ["shop-prod-01", "shop-prod-02", "cards-uat-01", "cards-dev-04", "core-sit"]
 R = lambda c: F.round(c, 6)
@@ -23,11 +24,11 @@ def errors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
-    return parse(errors(spark, d))
+    return once(spark, d, "records", lambda: parse(errors(spark, d)))
 
 
 def facts(spark: SparkSession, d: str) -> DataFrame:
-    return measure.facts(records(spark, d))
+    return once(spark, d, "facts", lambda: measure.facts(records(spark, d)))
 
 
 def monitored(spark: SparkSession) -> DataFrame:
@@ -39,8 +40,8 @@ def dense(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trained(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    thresholds = peaks.train_thresholds(dense(spark, d))
-    return thresholds, peaks.caps(thresholds)
+    rows = once(spark, d, "thresholds", lambda: peaks.train_thresholds(dense(spark, d)))
+    return rows, peaks.caps(rows)
 
 
 def epoch(c: str) -> F.Column:
@@ -89,11 +90,16 @@ _SIGNAL = (
     + " + ".join(f"CAST(regexp_matches(lower(message), {S.quoted(p)}) AS INT)" for p in rules.SIGNAL_GOOD) + ") - 3 * (" + " + ".join(f"CAST(regexp_matches(lower(message), {S.quoted(p)}) AS INT)" for p in rules.SIGNAL_BAD) + ") END"
 )
 _COUNT = lambda words: " + ".join(f"CAST({S.has('lower(message)', w)} AS INT)" for w in words)
-USEFUL_SQL = f"""CASE WHEN regexp_matches(trim(message), {S.quoted('(?i)' + rules.WRAPPER_HANDLED)}) OR regexp_matches(message, {S.quoted('(?i)' + rules.WRAPPER_CASE)}) THEN ''
-    WHEN regexp_matches(message, {S.quoted(rules.HANDLE_FAULT)}) THEN trim(regexp_extract(message, {S.quoted(rules.HANDLE_FAULT)}, 1))
-    WHEN regexp_matches(message, {S.quoted(rules.STRUCTURED_CODE)}) THEN regexp_extract(message, {S.quoted(rules.STRUCTURED_CODE)}, 6) || '#' || regexp_extract(message, {S.quoted(rules.STRUCTURED_CODE)}, 7)
-        || ' → ' || regexp_extract(message, {S.quoted(rules.STRUCTURED_CODE)}, 8) || ' (' || regexp_extract(message, {S.quoted(rules.STRUCTURED_CODE)}, 9) || ')'
-    ELSE rtrim(split_part(message, chr(10), 1)) END"""
+
+
+def useful_sql(c: str) -> str:
+    code = lambda i: f"regexp_extract({c}, {S.quoted(rules.STRUCTURED_CODE)}, {i})"
+    return f"""CASE WHEN regexp_matches(trim({c}), {S.quoted('(?i)' + rules.WRAPPER_HANDLED)}) OR regexp_matches({c}, {S.quoted('(?i)' + rules.WRAPPER_CASE)}) THEN ''
+    WHEN regexp_matches({c}, {S.quoted(rules.HANDLE_FAULT)}) THEN trim(regexp_extract({c}, {S.quoted(rules.HANDLE_FAULT)}, 1))
+    WHEN regexp_matches({c}, {S.quoted(rules.STRUCTURED_CODE)}) THEN {code(6)} || '#' || {code(7)} || ' → ' || {code(8)} || ' (' || {code(9)} || ')' ELSE rtrim(split_part({c}, chr(10), 1)) END"""
+
+
+USEFUL_SQL = useful_sql("message")
 
 
 @query(

@@ -15,7 +15,7 @@ from emberlog.plans import logs as G
 from emberlog.plans import sql as S
 from emberlog.plans.catalog import query, table
 from emberlog.sources import logs as L
-from emberlog.sources.tables import staged
+from emberlog.sources.tables import once
 
 R = G.R
 _CLASSES = str(rules.GENERIC_CLASSES)
@@ -38,7 +38,7 @@ S.TABLES.update({
     "prio": """SELECT *, least(150, max_score + least(20, log10(total_occurrences + 1) * 6) + least(10, greatest(len(apps) - 1, 0) * 2) + 8 * CAST(has_new AS INT) + 5 * CAST(is_cross_namespace AS INT)
         + 5 * CAST(has_spike AS INT) + 3 * CAST(has_burst AS INT)) AS priority FROM prob""",
     "tev0": f"SELECT *, {G.USEFUL_SQL} AS u FROM (SELECT *, raw_message AS message FROM rec) WHERE trace_id IS NOT NULL",
-    "tev1": f"SELECT *, CASE WHEN u <> '' THEN u ELSE normalized_message END AS useful, {G.USEFUL_SQL.replace('message', 'normalized_message')} AS nu FROM tev0",
+    "tev1": f"SELECT *, CASE WHEN u <> '' THEN u ELSE normalized_message END AS useful, {G.useful_sql('normalized_message')} AS nu FROM tev0",
     "tev2": f"SELECT * REPLACE (useful AS message), {_TRACE} AS tm FROM (SELECT *, lower(CASE WHEN nu <> '' THEN nu ELSE normalized_message END) AS x FROM tev1)",
     "tev": f"""SELECT trace_id, us, seq, app_name, namespace, {G._SIGNAL} AS signal, CASE WHEN lower(error_type) NOT IN ({_UNINF}) THEN error_type
         ELSE coalesce(nullif(array_to_string(list_filter(string_split(lower(tm), ' '), lambda w: length(w) > 3)[1:4], '_'), ''), 'unknown') END AS error_class, row_number() OVER (PARTITION BY trace_id ORDER BY us, seq) AS pos FROM tev2""",
@@ -55,21 +55,29 @@ S.NEEDS.update({
 joined = lambda c, by=",": F.array_join(c, by)
 
 
-def keyed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(records, incidents with problem keys) as stage tables."""
-    records, found = D.run(spark, d)
-    return records, staged(P.keyed(found), "incidents")
+def keyed(spark: SparkSession, d: str) -> DataFrame:
+    """Incidents with problem keys."""
+    return once(spark, d, "keyed", lambda: P.keyed(D.incidents(spark, d)))
+
+
+def rolled(spark: SparkSession, d: str) -> DataFrame:
+    return once(spark, d, "problems", lambda: P.problems(keyed(spark, d)))
+
+
+def traces_of(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprints' events per trace."""
+    return fingerprint_traces(G.records(spark, d))
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
-    return T.timelines(G.records(spark, d))
+    return once(spark, d, "timelines", lambda: T.timelines(G.records(spark, d)))
 
 
 @query(S.ctes("prob") + """ SELECT problem_key, category, flow, error_class, incident_count, total_occurrences, array_to_string(apps, ',') AS apps, array_to_string(namespaces, ',') AS namespaces, array_to_string(versions, ',') AS versions,
     has_spike, has_burst, has_new, has_regression, is_cross_namespace, round(max_score, 6) AS max_score, max_severity, message, (last_us - first_us) // 1000000 AS span_sec FROM prob""")
 def problems(spark, d):
     """A23-A25."""
-    p = P.problems(keyed(spark, d)[1])
+    p = rolled(spark, d)
     return p.select(
         "problem_key", "category", "flow", "error_class", "incident_count", "total_occurrences", joined("apps").alias("apps"), joined("namespaces").alias("namespaces"), joined("versions").alias("versions"), "has_spike", "has_burst",
         "has_new", "has_regression", "is_cross_namespace", R("max_score").alias("max_score"), "max_severity", F.col("normalized_message").alias("message"),
@@ -80,7 +88,7 @@ def problems(spark, d):
 @query(S.ctes("prio") + " SELECT problem_key, round(priority, 6) AS priority, total_occurrences, incident_count FROM prio ORDER BY priority DESC, total_occurrences DESC, incident_count DESC, problem_key LIMIT 25")
 def top_problems(spark, d):
     """The problems that come first."""
-    p = P.by_priority(P.with_priority(P.problems(keyed(spark, d)[1])), 25)
+    p = P.by_priority(P.with_priority(rolled(spark, d)), 25)
     return p.select("problem_key", R("priority").alias("priority"), "total_occurrences", "incident_count")
 
 
@@ -88,39 +96,39 @@ def top_problems(spark, d):
     CASE WHEN len(namespaces) >= 4 OR len(apps) >= 8 THEN 'SYSTEMIC' WHEN len(namespaces) >= 2 THEN 'CROSS_NS' ELSE 'LOCAL' END AS scope FROM prio WHERE max_score >= 20 AND category IN ('timeout', 'database', 'business', 'auth')""")
 def selected_problems(spark, d):
     """P1, P4, P5, M26."""
-    p = P.filtered(P.problems(keyed(spark, d)[1]), min_score=20, categories=["timeout", "database", "business", "auth"])
+    p = P.filtered(rolled(spark, d), min_score=20, categories=["timeout", "database", "business", "auth"])
     return p.select("problem_key", (F.col("has_spike") | F.col("has_burst")).alias("is_peak"), ((F.col("total_occurrences") >= 5) & F.col("has_new")).alias("is_selected"), V.scope(F.size("namespaces"), F.size("apps")).alias("scope"))
 
 
 @query(S.ctes("keyed") + """, v AS (SELECT problem_key, unnest(versions) AS version, total, first_us FROM keyed) SELECT problem_key, version, CAST(sum(total) AS BIGINT) AS occurrences, count(*) AS incidents FROM v GROUP BY ALL""")
 def version_stats(spark, d):
     """A32."""
-    return P.version_stats(keyed(spark, d)[1]).select("problem_key", "version", "occurrences", "incidents")
+    return P.version_stats(keyed(spark, d)).select("problem_key", "version", "occurrences", "incidents")
 
 
 @query(
-    S.ctes("keyed") + """, v AS (SELECT problem_key, version, CAST(sum(total) AS BIGINT) AS o, count(*) OVER (PARTITION BY problem_key) AS n, sum(sum(total)) OVER (PARTITION BY problem_key) AS t, list_transform(string_split(version, '.'), lambda x: CAST(x AS BIGINT)) AS k
-        FROM (SELECT problem_key, unnest(versions) AS version, total FROM keyed) GROUP BY ALL),
+    S.ctes("keyed") + """, v0 AS (SELECT problem_key, version, CAST(sum(total) AS BIGINT) AS o FROM (SELECT problem_key, unnest(versions) AS version, total FROM keyed) GROUP BY ALL),
+    v AS (SELECT *, count(*) OVER (PARTITION BY problem_key) AS n, sum(o) OVER (PARTITION BY problem_key) AS t, list_transform(string_split(version, '.'), lambda x: CAST(x AS BIGINT)) AS k FROM v0),
     r AS (SELECT *, row_number() OVER (PARTITION BY problem_key ORDER BY o DESC, version) AS top, row_number() OVER w AS newest, lag(o) OVER w AS newer, lead(o) OVER w AS older FROM v WINDOW w AS (PARTITION BY problem_key ORDER BY k DESC, version DESC))
     SELECT problem_key, count(*) AS total_versions, coalesce(max(version) FILTER (top = 1 AND n >= 2 AND o > 3 * (t - o) / (n - 1)), '-') AS spike_version, coalesce(max(version) FILTER (newest = 1 AND n >= 2 AND o > t * 0.5), '-') AS new_version,
     coalesce(bool_or(o < newer * 0.2 AND o < older * 0.2), false) AS has_regression FROM r GROUP BY problem_key"""
 )
 def version_impact(spark, d):
     """A33, W19."""
-    v = P.version_impact(P.version_stats(keyed(spark, d)[1]))
+    v = P.version_impact(P.version_stats(keyed(spark, d)))
     return v.select("problem_key", "total_versions", F.coalesce("spike_version", F.lit("-")).alias("spike_version"), F.coalesce("new_version", F.lit("-")).alias("new_version"), "has_regression")
 
 
 @query()
 def problem_patterns(spark, d):
     """Checked against a loop in the tests."""
-    return P.patterns(keyed(spark, d)[1])
+    return P.patterns(keyed(spark, d))
 
 
 @query()
 def problem_root_causes(spark, d):
     """Root causes from patterns."""
-    return P.root_causes(P.patterns(keyed(spark, d)[1], 8))
+    return P.root_causes(P.patterns(keyed(spark, d), 8))
 
 
 @query(S.ctes("steps", "seen_apps") + """ SELECT s.trace_id, n AS n_events, array_to_string(sig, '|') AS signature, array_to_string(apps, ',') AS apps, (last_us - first_us) // 1000 AS duration_ms,
@@ -140,7 +148,7 @@ def trace_timelines(spark, d):
     FROM steps JOIN seen_apps USING (trace_id) GROUP BY 1""")
 def trace_patterns(spark, d):
     """A29."""
-    p = T.trace_patterns(staged(lines(spark, d), "timelines"))
+    p = T.trace_patterns(lines(spark, d))
     return p.select(joined(F.transform("signature", lambda s: F.concat(s["app"], F.lit("/"), s["error_class"])), "|").alias("signature"), "occurrences", "total_errors", "representative")
 
 
@@ -148,9 +156,8 @@ def trace_patterns(spark, d):
     FROM own JOIN tl t USING (trace_id) JOIN seen_apps USING (trace_id) GROUP BY problem_key""")
 def trace_ownership(spark, d):
     """A30, J24."""
-    records, found = keyed(spark, d)
-    traces = found.select("problem_key", "fingerprint").join(fingerprint_traces(records), "fingerprint")
-    return T.ownership(traces, staged(T.timelines(records), "timelines")).select("problem_key", "owned_traces", "total_errors", "representative")
+    traces = keyed(spark, d).select("problem_key", "fingerprint").join(traces_of(spark, d), "fingerprint")
+    return T.ownership(traces, lines(spark, d)).select("problem_key", "owned_traces", "total_errors", "representative")
 
 
 @query(S.ctes("rec") + """, c AS (SELECT trace_id, list_sort(list(DISTINCT app_name)) AS deps, count(DISTINCT namespace) AS n_ns, count(*) AS events, max(us) - min(us) AS us, arg_min(app_name, (us, seq)) AS root, min(seq) AS s FROM rec WHERE trace_id IS NOT NULL GROUP BY 1)
@@ -183,7 +190,7 @@ _KIND = "CASE WHEN len(apps) <= 1 THEN 'single' WHEN len(apps) >= 3 AND n >= 2 T
     SELECT problem_key, root_service, CAST(k AS INT) AS service_count, CAST(k - 1 AS INT) AS fan_out, x AS is_cross_namespace, CASE WHEN k = 1 THEN 'single' WHEN k = 2 THEN 'linear' ELSE 'fan_out' END AS propagation_type FROM p""")
 def problem_propagation(spark, d):
     """Propagation of problems by their applications."""
-    return T.problem_propagation(P.problems(keyed(spark, d)[1]))
+    return T.problem_propagation(rolled(spark, d))
 
 
 @query(S.ctes("tl", "seen_apps") + f" SELECT trace_id, array_to_string(apps, ',') AS services, CAST(len(apps) - 1 AS INT) AS fan_out, {_KIND} AS propagation_type, (last_us - first_us) // 1000 AS duration_ms FROM tl JOIN seen_apps USING (trace_id)")
@@ -195,28 +202,26 @@ def trace_propagation(spark, d):
 @query(S.ctes("prob") + " SELECT count(*) AS problems, count(*) FILTER (len(namespaces) > 1) AS cross_namespace, round(avg(len(apps) - 1), 6) AS avg_fan_out, CAST(max(len(apps) - 1) AS INT) AS max_fan_out FROM prob")
 def propagation_summary(spark, d):
     """A31."""
-    s = T.propagation_summary(T.problem_propagation(P.problems(keyed(spark, d)[1])))
+    s = T.propagation_summary(T.problem_propagation(rolled(spark, d)))
     return s.select("problems", "cross_namespace", R("avg_fan_out").alias("avg_fan_out"), "max_fan_out")
 
 
 @query(S.ctes("keyed") + """ SELECT problem_key, arg_max(apps_ranked[1], (score, -first_seq)) AS service, arg_max(fingerprint, (score, -first_seq)) AS fingerprint, CASE WHEN max(score) >= 60 THEN 'ERROR' ELSE 'WARN' END AS level FROM keyed GROUP BY 1""")
 def score_root_causes(spark, d):
     """Root cause from the incident of the highest score."""
-    return T.problem_root_cause(keyed(spark, d)[1]).select("problem_key", "service", "fingerprint", "level")
+    return T.problem_root_cause(keyed(spark, d)).select("problem_key", "service", "fingerprint", "level")
 
 
 @query(S.ctes("ptr") + """, r AS (SELECT problem_key, trace_id, row_number() OVER (PARTITION BY problem_key ORDER BY len(apps) DESC, incidents DESC, trace_id) AS rank FROM ptr) SELECT problem_key, CAST(rank AS INT) AS rank, trace_id FROM r WHERE rank <= 3""")
 def representative_traces(spark, d):
     """X18."""
-    records, found = keyed(spark, d)
-    return T.representative_traces(T.incident_traces(found, fingerprint_traces(records)))
+    return T.representative_traces(T.incident_traces(keyed(spark, d), traces_of(spark, d)))
 
 
 @query(S.ctes("ptr") + """ SELECT problem_key, arg_min(trace_id, (-(incidents + 10 * CAST(has_error AS INT) + len(apps)), trace_id)) AS trace_id, CAST(max(incidents + 10 * CAST(has_error AS INT) + len(apps)) AS BIGINT) AS points FROM ptr GROUP BY 1""")
 def representative_trace(spark, d):
     """X17."""
-    records, found = keyed(spark, d)
-    return T.representative_trace(T.incident_traces(found, fingerprint_traces(records))).select("problem_key", "trace_id", F.col("points").cast("long").alias("points"))
+    return T.representative_trace(T.incident_traces(keyed(spark, d), traces_of(spark, d))).select("problem_key", "trace_id", F.col("points").cast("long").alias("points"))
 
 
 @query(S.ctes("tev") + """, t AS (SELECT trace_id FROM tev GROUP BY 1 ORDER BY count(*) DESC, trace_id LIMIT 20) SELECT trace_id, seq FROM tev WHERE pos <= 3 AND trace_id IN (SELECT trace_id FROM t) ORDER BY us, seq LIMIT 40""")

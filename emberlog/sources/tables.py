@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_made: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def shared_folder(spark) -> str:
@@ -28,3 +31,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def replace_partitions(df: DataFrame, path: str, by: str) -> None:
     """Overwrites only the partitions that ``df`` has rows of: running a window again replaces it and nothing else."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def once(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The stage table ``name`` of ``source``, made by the first query of this application that needs it and read by the others.
+
+    So a run's records and incidents are made once, as a scheduled run would store them, and every report reads them.
+    """
+    key = (spark.sparkContext.applicationId, source, name)
+    if key not in _made:
+        _made[key] = staged(make(), name)
+    return _made[key]
+
+
+def forget() -> None:
+    """Make stage tables anew from here on (for timing a query with all that it needs)."""
+    _made.clear()
