@@ -158,7 +158,7 @@ def with_incident_ids(found: DataFrame) -> DataFrame:
     counts = ordered.groupBy("_p").agg(F.count("*").alias("_n"))
     starts = counts.alias("a").join(counts.select(F.col("_p").alias("_q"), F.col("_n").alias("_m")).alias("b"), F.col("_q") < F.col("_p"), "left").groupBy("_p").agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_before"))
     numbered = ordered.join(F.broadcast(starts), "_p")  # a row per partition
-    return numbered.withColumn("incident_id", F.concat(F.lit("inc-"), F.date_format("run_date", "yyyyMMdd"), F.lit("-"), F.lpad((F.col("_before") + F.col("_k") + 1).cast("string"), 3, "0"))).drop("_p", "_k", "_before")
+    return numbered.withColumn("incident_id", F.concat(F.lit("inc-"), F.date_format("run_date", "yyyyMMdd"), F.lit("-"), F.format_string("%03d", F.col("_before") + F.col("_k") + 1))).drop("_p", "_k", "_before")
 
 
 def fingerprint_traces(records: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ def evidence(spark, d):
     return e.groupBy("e.rule").agg(F.count("*").alias("n"), F.countDistinct("fingerprint").alias("fingerprints"))
 
 
-@query(S.ctes("sev") + """ SELECT 'inc-20240131-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE substring(CAST(n AS VARCHAR), 1, 3) END AS incident_id, fingerprint
+@query(S.ctes("sev") + """ SELECT 'inc-20240131-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS incident_id, fingerprint
     FROM (SELECT fingerprint, row_number() OVER (ORDER BY first_seq) AS n FROM sev)""")
 def incident_ids(spark, d):
     """M32."""
