@@ -27,7 +27,7 @@ def superseded(runs: DataFrame, new_run: str, window_start: str, window_end: str
     """The ledger after ``new_run`` has replayed a window: earlier complete runs of it are superseded."""
     same = (F.col("window_start") == F.lit(window_start).cast("timestamp")) & (F.col("window_end") == F.lit(window_end).cast("timestamp"))
     old = same & (F.col("status") == "complete") & (F.col("run_id") != new_run) & F.col("superseded_by_run_id").isNull()
-    return runs.withColumn("superseded_by_run_id", F.when(old, F.lit(new_run)).otherwise(F.col("superseded_by_run_id"))).withColumn("status", F.when(old, "superseded").otherwise(F.col("status")))
+    return runs.withColumns({"superseded_by_run_id": F.when(old, F.lit(new_run)).otherwise(F.col("superseded_by_run_id")), "status": F.when(old, "superseded").otherwise(F.col("status"))})
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
