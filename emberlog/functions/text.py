@@ -430,3 +430,8 @@ def duration_text(seconds: Column) -> Column:
     s = seconds.cast("long")
     h, m, rest = F.floor(s / 3600).cast("long"), F.floor(s % 3600 / 60).cast("long"), s % 60
     return F.when(s < 60, F.format_string("%ds", s)).when(s < 3600, F.format_string("%dm %ds", m, rest)).otherwise(F.format_string("%dh %dm %ds", h, m, rest))
+
+
+def peak_id(evidence: Column) -> Column:
+    """The peak's id in a piece of evidence, or null."""
+    return found(evidence, r"peak_id=([^,)\s]+)")
