@@ -223,8 +223,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, keep: list[str] | None = None
     while True:
         following = next(shards, None)
         automaton, carry = spark.sparkContext.broadcast(SuffixAutomaton(shard, window)), following is not None
-        fields = out.schema.fields[0 if carry else 1 :]
-        schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in fields), "emberlog_n long, emberlog_spans array<struct<a:long,b:long>>, emberlog_items array<string>"])
+        schema = T.StructType([*out.schema.fields[0 if carry else 1 :], T.StructField("emberlog_n", T.LongType()), T.StructField("emberlog_spans", _SPANS), T.StructField("emberlog_items", T.ArrayType(T.StringType()))])
         out = out.mapInArrow(lambda it, x=automaton, c=carry: _scan(x, c, it), schema)
         if rounds:
             out = out.withColumn("emberlog_spans", _unite("emberlog_old_spans", "emberlog_spans")).withColumn("emberlog_items", F.array_distinct(F.concat("emberlog_old_items", "emberlog_items")))
@@ -273,7 +272,9 @@ def _cut(rows: pd.DataFrame) -> pd.Series:
 def clean(docs: DataFrame, benchmark: DataFrame, *, cut_spans: bool = False, percent: int = 5, text: str = "text", **options) -> DataFrame:
     """``docs`` without contaminated documents (hits cover ``percent`` or more of the words). With ``cut_spans`` the
     hit spans of the other documents are cut out of their texts; else those documents stay as they are."""
-    found = scan(docs, benchmark, text=text, **options).filter(~is_contaminated(percent))
-    if cut_spans:
-        found = found.withColumn(text, _cut(F.struct(F.col(text).alias("text"), F.col("emberlog_spans").alias("spans"))))
-    return found.select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text).alias("text"))  # their names are then no matter
+    found = scan(rows, benchmark, keep=["doc"], **options).filter(~is_contaminated(percent))
+    if not cut_spans:
+        return found.select("doc.*")
+    cut = _cut(F.struct(F.col("doc")[text].alias("text"), F.col("emberlog_spans").alias("spans")))
+    return found.select(*(cut.alias(c) if c == text else F.col("doc")[c].alias(c) for c in docs.columns))

@@ -1,7 +1,77 @@
-"""SQL of the queries that SQL can say."""
+"""SQL of the queries that SQL can say, over whole tables.
+
+Not among them: the mix (pseudorandom draws), SimHash (XXH64), PII (deobfuscation), URL filters (links read from
+markup), the classifier (training). The tests hold these against brute force, round trips or held-out labels.
+"""
 
 from __future__ import annotations
 
+from emberlog.llm.decontaminate import WINDOW
+from emberlog.llm.quality_rules import MAX_REPEAT_PERCENT, MIN_WORDS, REPEAT_WINDOW, SYMBOLS
+
+_WORD = r"[^\x20\x09-\x0D]+"
+_SPACE = r"[\x20\x09-\x0D]"
+_ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+LINE_DEDUP = rf"""
+WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS v FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(v) AS line, generate_subscripts(v, 1) AS ix FROM s),
+w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ix) AS pos FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+p AS (SELECT doc_id, pos, line AS a, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM w),
+f AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, pos) AS r FROM p WHERE b IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM f, (VALUES (0), (1)) t(k) WHERE r > 1),
+gl AS (SELECT w.doc_id, w.ix FROM w JOIN gone USING (doc_id, pos)),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY ix) AS t FROM l ANTI JOIN gl USING (doc_id, ix) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id), g AS (SELECT doc_id, count(*) AS n FROM gl GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_lines, coalesce(g.n, 0) AS n_removed, CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(kept.t, '')) END AS kept_sha256
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+QUALITY_RULES = rf"""
+WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+g AS (SELECT doc_id, array_to_string(w[i : i + {REPEAT_WINDOW - 1}], ' ') AS g, i FROM (SELECT doc_id, w, unnest(range(1, len(w) - {REPEAT_WINDOW - 2})) AS i FROM t)),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (SELECT unnest(range({REPEAT_WINDOW})) AS k) GROUP BY doc_id),
+f AS (SELECT doc_id, source, len(w) AS n_words, length(regexp_replace(text, '{_SPACE}', '', 'g')) AS word_chars, length(text) - length(regexp_replace(text, '[{SYMBOLS}]', '', 'g')) AS n_symbols,
+    len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+    coalesce(rep.n, 0) AS n_repeat_words FROM t LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f),
+h AS (SELECT source, count(*) AS n, CAST(count(*) FILTER (base_failed) AS DOUBLE) AS k FROM b WHERE source IS NOT NULL GROUP BY source),
+m AS (SELECT sum(k) / sum(n) AS mean, avg(1.0::DOUBLE / n) AS inv FROM h), s AS (SELECT mean, inv, avg(pow(k / n - mean, 2)) AS spread FROM h, m GROUP BY ALL),
+q AS (SELECT mean, mean * (1 - mean) AS noise, greatest(spread - mean * (1 - mean) * inv, mean * (1 - mean) * 1e-6) AS between_ FROM s),
+z AS (SELECT mean, CASE WHEN between_ <= 0 THEN 1 ELSE greatest(noise / between_ - 1, 1) END AS strength FROM q),
+bad AS (SELECT source FROM h, z WHERE (k + mean * strength) / (n + strength) > 0.8)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.source IS NULL AS kept FROM b LEFT JOIN bad USING (source)
+"""
+
+SUBSTRING_DEDUP = rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 12], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM t)),
+f AS (SELECT g, min(doc_id) AS first FROM g GROUP BY g HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT DISTINCT doc_id, i + k AS i FROM g JOIN f USING (g), (SELECT unnest(range(13)) AS k) WHERE doc_id > first),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM t),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS s, count(*) AS n FROM x ANTI JOIN c USING (doc_id, i) GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.s, '')) AS kept_sha256 FROM t LEFT JOIN kept USING (doc_id)
+"""
+
+WARC = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages), m AS (SELECT d, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest, CASE WHEN last <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN last <> page_id THEN last END AS refers_to FROM p LEFT JOIN m ON m.d = p.d
+"""
+
+DECONTAMINATE = rf"""
+WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{_ITEM_WORD}') AS w FROM benchmark),
+k AS (SELECT DISTINCT item, least(len(w), {WINDOW}) AS n, array_to_string(w[j : j + least(len(w), {WINDOW}) - 1], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - {WINDOW}, 0) + 2)) AS j FROM i WHERE len(w) > 0)),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{_ITEM_WORD}') AS w FROM documents), lengths AS (SELECT DISTINCT n FROM k),
+g AS (SELECT doc_id, n, j, array_to_string(w[j : j + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS j FROM d, lengths WHERE len(w) >= n)),
+m AS (SELECT g.doc_id, g.n, g.j, k.item FROM g JOIN k ON g.n = k.n AND g.g = k.g),
+h AS (SELECT doc_id, count(DISTINCT j + o) AS n_hit FROM (SELECT DISTINCT doc_id, n, j FROM m), (SELECT unnest(range({WINDOW})) AS o) WHERE o < n GROUP BY doc_id),
+c AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": LINE_DEDUP, "op3_quality_rules": QUALITY_RULES, "op7_substring_dedup": SUBSTRING_DEDUP, "op8_warc": WARC, "op9_decontaminate": DECONTAMINATE}

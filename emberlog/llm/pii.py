@@ -4,7 +4,7 @@ A transducer reads a whole text and writes its plain form: homoglyphs and full-w
 letters and digits become ASCII, one character for one; runs of spelled digits become digits; at/dot
 disguises become ``@`` and ``.``. It keeps for each piece of the plain form the piece of the source
 it came from. Identifiers are found in the text as it is (base spans) and in its plain form; a span
-found in the plain form is mapped back to source characters and added if it meets no base span. Texts go through
+found in the plain form is mapped back to source characters and added unless it lies within a base span. Texts go through
 an Arrow UDF one by one; there is no shuffle.
 
 All scans are linear in the length of the text, also for long runs of digits or address characters.
@@ -166,14 +166,15 @@ def spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     if plain == text:
         return base, base
     at = [p[0] for p in pieces]
-    taken = sorted((a, b) for _, a, b in base)
-    starts = [a for a, _ in taken]
+    taken = sorted((a, -b) for _, a, b in base)
+    starts, reach, far = [a for a, _ in taken], [], -1
+    for _, b in taken:
+        reach.append(far := max(far, -b))  # the furthest end of the base spans up to here
     added = []
     for kind, a, b in identifiers(plain):
         a, b = _source(pieces, at, a, b)
-        i = bisect_right(starts, b - 1) - 1
-        reach = max((y for _, y in taken[max(0, i - 3) : i + 1]), default=-1)
-        if i < 0 or reach <= a:
+        i = bisect_right(starts, a) - 1
+        if i < 0 or reach[i] < b:
             added.append((kind, a, b))
     return base, sorted({*base, *added})
 
