@@ -72,15 +72,19 @@ def payloads(problem_rows: DataFrame, cluster_rows: DataFrame) -> DataFrame:
     return per.join(words, "primary").withColumn("peak_key", F.concat_ws(":", F.lit("PEAK"), "category", "flow", F.when(F.col("has_spike"), "spike").otherwise("burst")))
 
 
-def with_known(payload_rows: DataFrame, known_peaks: DataFrame) -> DataFrame:
-    """Adds what the registry knows of a peak: is_known, what is new in scope, and the trend against its mean (a fifth up or down)."""
+def with_known(payload_rows: DataFrame, known_peaks: DataFrame, window_start: str, lookback_min: int = 60) -> DataFrame:
+    """Adds what the registry knows of a peak (peak_key, apps, namespaces, mean_count, last_seen): is_known, continues, what is new in scope, and the trend.
+
+    A peak seen within the look-back continues; then its trend is its count against its mean (a fifth up or down). Any other is rising.
+    """
     k = known_peaks.select("peak_key", F.col("apps").alias("k_apps"), F.col("namespaces").alias("k_ns"), F.col("mean_count").alias("k_mean"), F.col("last_seen").alias("k_last"))
     rows = payload_rows.join(k, "peak_key", "left")
+    goes_on = F.coalesce(F.col("k_last") >= F.lit(window_start).cast("timestamp") - F.expr(f"INTERVAL {int(lookback_min)} MINUTES"), F.lit(False))
     r = V.ratio(F.col("error_count"), F.col("k_mean"))
     none = F.array().cast("array<string>")
     return rows.select(
-        *payload_rows.columns, F.col("k_apps").isNotNull().alias("is_known"), F.array_except("apps", F.coalesce("k_apps", none)).alias("new_apps"), F.array_except("namespaces", F.coalesce("k_ns", none)).alias("new_namespaces"),
-        F.when(r >= 1.2, "rising").when(r <= 0.8, "falling").when(r.isNotNull(), "stable").otherwise("").alias("trend"), F.col("k_last").alias("known_last_seen"),
+        *payload_rows.columns, F.col("k_apps").isNotNull().alias("is_known"), goes_on.alias("continues"), F.array_except("apps", F.coalesce("k_apps", none)).alias("new_apps"),
+        F.array_except("namespaces", F.coalesce("k_ns", none)).alias("new_namespaces"), F.when(~goes_on | r.isNull() | (r >= 1.2), "rising").when(r <= 0.8, "falling").otherwise("stable").alias("trend"),
     )
 
 

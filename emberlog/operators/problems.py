@@ -68,10 +68,13 @@ def filtered(rows: DataFrame, min_score: float = 0, min_occurrences: int = 0, ca
     return out.filter("has_spike") if only_spike else out
 
 
-def is_actionable(min_occurrences: int = 50) -> Column:
-    """Severe, frequent, spiking or crossing namespaces; never what is unknown in class and says nothing."""
-    silent = (F.col("category") == "unknown") & (F.col("error_class") == "unknown_error") & (X.useful_content(F.col("normalized_message")) == "")
-    return ~silent & (F.col("max_severity").isin("critical", "high") | (F.col("total_occurrences") >= min_occurrences) | F.col("has_spike") | F.col("is_cross_namespace"))
+def is_actionable(min_occurrences: int = 50, confidence: Column | None = None) -> Column:
+    """Severe, frequent, spiking, crossing namespaces or sure of their cause; rare unknown ones only if they spike or cross."""
+    few = F.col("total_occurrences") < min_occurrences
+    wide = F.col("has_spike") | F.col("is_cross_namespace")
+    left_out = ((F.col("category") == "unknown") & few & ~wide) | ((F.col("error_class") == "unknown_error") & (F.col("total_occurrences") == 0))
+    sure = F.lit(False) if confidence is None else F.coalesce(confidence == "high", F.lit(False))
+    return ~left_out & (F.col("max_severity").isin("critical", "high") | ~few | wide | sure)
 
 
 def peaks_of(rows: DataFrame, limit: int | None = None) -> DataFrame:

@@ -50,9 +50,12 @@ def related_apps(rows: DataFrame) -> DataFrame:
 
 
 def daily_clusters(rows: DataFrame, count: int = 10, least: int = 2) -> DataFrame:
-    """Per day the largest groups of fingerprints of one class and the same first three applications."""
-    per = with_day(rows).groupBy(DAY, "fingerprint").agg(F.first("category").alias("category"), F.first("subcategory").alias("subcategory"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("apps")))).alias("apps"), F.sum("error_count").alias("n"))
-    g = per.groupBy(DAY, "category", "subcategory", F.slice("apps", 1, 3).alias("apps")).agg(F.count("*").alias("incidents"), F.sum("n").alias("errors")).filter(F.col("incidents") >= least)
+    """Per day the largest groups of fingerprints of one class whose three commonest applications are the same."""
+    per_app = with_day(rows).groupBy(DAY, "fingerprint", "app_name").agg(F.first("category").alias("category"), F.first("subcategory").alias("subcategory"), F.sum("error_count").alias("n"))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("down"), "app_name")))
+    per = per_app.groupBy(DAY, "fingerprint").agg(F.first("category").alias("category"), F.first("subcategory").alias("subcategory"), ranked.alias("apps"), F.sum("n").alias("n"))
+    first = F.array_sort(F.transform(F.slice("apps", 1, 3), lambda x: x["app_name"]))
+    g = per.groupBy(DAY, "category", "subcategory", first.alias("apps")).agg(F.count("*").alias("incidents"), F.sum("n").alias("errors")).filter(F.col("incidents") >= least)
     order = Window.partitionBy(DAY).orderBy(F.desc("errors"), "category", "subcategory", F.array_join("apps", ","))
     return g.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= count)
 
@@ -64,15 +67,22 @@ def known_or_new(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def growing(rows: DataFrame, pct: float = 20.0) -> DataFrame:
-    """Fingerprints whose mean per day in the later half of their days is over ``pct`` percent above that in the earlier half."""
+    """Fingerprints with over ``pct`` percent more errors in the later half of their days than in the earlier half."""
     per = with_day(rows).groupBy("fingerprint", DAY).agg(F.sum("error_count").alias("n"))
     order, whole = Window.partitionBy("fingerprint").orderBy(DAY), Window.partitionBy("fingerprint")
     halves = per.withColumn("r", F.row_number().over(order)).withColumn("k", F.count("*").over(whole)).withColumn("late", F.col("r") > F.floor(F.col("k") / 2)).filter("k >= 2")
-    avg = lambda late: F.avg(F.when(F.col("late") == late, F.col("n")))
-    g = halves.groupBy("fingerprint").agg(avg(False).alias("before"), avg(True).alias("after"))
+    part = lambda late: F.coalesce(F.sum(F.when(F.col("late") == late, F.col("n"))), F.lit(0))
+    g = halves.groupBy("fingerprint").agg(F.greatest(part(False), F.lit(1)).alias("before"), part(True).alias("after"))
     return g.withColumn("change_pct", (F.col("after") - F.col("before")) / F.col("before") * 100).filter(F.col("change_pct") > pct)
 
 
+def overall_change(days: DataFrame) -> DataFrame:
+    """One row: change in percent of errors and incidents from the first day to the last."""
+    first, last = (lambda c: F.min_by(c, DAY)), (lambda c: F.max_by(c, DAY))
+    pct = lambda c: F.coalesce((last(c) - first(c)) / F.nullif(first(c), F.lit(0)) * 100, F.lit(0.0))
+    return days.agg(pct("errors").alias("errors_change"), pct("incidents").alias("incidents_change"))
+
+
 # --- peaks ---
 
 
@@ -170,9 +180,11 @@ def known_peak_match(peaks: DataFrame, known: DataFrame) -> DataFrame:
 # --- rules compared ---
 
 
-def stricter_rules(rows: DataFrame, least_burst: int = 3, least_new: int = 2, high: float = 35.0) -> DataFrame:
-    """What-if flags: bursts only from so many errors, new errors spike from so many, high scores count as peaks."""
-    return rows.withColumn("burst_fixed", F.col("is_burst") & (F.col("total_count") >= least_burst)).withColumn("spike_fixed", F.col("is_spike") | (F.col("is_new") & (F.col("total_count") >= least_new))).withColumn("peak_fixed", F.col("burst_fixed") | F.col("spike_fixed") | (F.col("score") >= high))
+def stricter_rules(rows: DataFrame, least_baseline: float = 0.5, least_new: int = 5, high: float = 70.0) -> DataFrame:
+    """What-if flags: no burst on too low a baseline, a spike for so many events without any baseline, high scores count as peaks."""
+    burst = F.col("is_burst") & (F.col("baseline_ewma") >= least_baseline)
+    spike = F.col("is_spike") | ((F.col("baseline_ewma") == 0) & (F.col("total_count") >= least_new))
+    return rows.withColumn("burst_fixed", burst).withColumn("spike_fixed", spike).withColumn("peak_fixed", burst | spike | (F.col("score") >= high))
 
 
 def rule_changes(rows: DataFrame) -> DataFrame:
@@ -204,13 +216,15 @@ def latest_health(service_rows: DataFrame) -> DataFrame:
 
 
 def new_unresolved(signatures: DataFrame) -> DataFrame:
-    """Unresolved errors of the last runs with a suggested severity."""
+    """New errors that are no known issue, with a suggested severity, most frequent first."""
     n = F.col("occurrences")
-    return signatures.filter(~F.col("resolved")).withColumn("suggested", F.when(n > 100, "critical").when(n > 50, "high").when(n > 10, "medium").otherwise("low"))
+    suggested = F.when(n > 100, "critical").when(n > 50, "high").when(n > 10, "medium").otherwise("low")
+    return signatures.filter(F.col("is_new") & ~F.col("is_known_issue")).withColumn("suggested", suggested).orderBy(F.desc("occurrences"))
 
 
-def unhealthy_dependencies(dependencies: DataFrame, least_rate: float = 0.05) -> DataFrame:
-    return dependencies.filter(F.col("error_rate") > least_rate).orderBy(F.desc("error_rate"), "source", "target")
+def unhealthy_dependencies(dependencies: DataFrame, least_pct: float = 5.0) -> DataFrame:
+    """Dependencies marked unhealthy or that fail in over ``least_pct`` percent of calls."""
+    return dependencies.filter(~F.col("is_healthy") | (F.col("failure_rate") > least_pct)).orderBy(F.desc("failure_rate"), "source", "target")
 
 
 def active_cascades(cascades: DataFrame, issues: DataFrame) -> DataFrame:

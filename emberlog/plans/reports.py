@@ -64,12 +64,13 @@ def related_apps(spark, d):
     return Z.related_apps(rows(spark, d)).select(_day(), "app_name", "other", "shared")
 
 
-@query(S.ctes("rows") + """, f AS (SELECT w // 86400 AS day, fingerprint, min(category) AS category, min(subcategory) AS subcategory, list_sort(list(DISTINCT app_name))[1:3] AS apps, sum(n) AS n FROM rows GROUP BY 1, 2),
+@query(S.ctes("rows") + """, a AS (SELECT w // 86400 AS day, fingerprint, app_name, min(category) AS category, min(subcategory) AS subcategory, sum(n) AS n FROM rows GROUP BY 1, 2, 3),
+    f AS (SELECT day, fingerprint, min(category) AS category, min(subcategory) AS subcategory, list_sort(list(app_name ORDER BY n DESC, app_name)[1:3]) AS apps, sum(n) AS n FROM a GROUP BY 1, 2),
     g AS (SELECT day, category, subcategory, array_to_string(apps, ',') AS apps, count(*) AS incidents, CAST(sum(n) AS BIGINT) AS errors FROM f GROUP BY ALL HAVING count(*) >= 2),
     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY day ORDER BY errors DESC, category, subcategory, apps) AS INT) AS rank FROM g) SELECT * FROM r WHERE rank <= 10""")
 def daily_clusters(spark, d):
     """A37."""
-    c = Z.daily_clusters(rows(spark, d).withColumn("apps", F.array("app_name")))
+    c = Z.daily_clusters(rows(spark, d))
     return c.select(_day(), "category", "subcategory", F.array_join("apps", ",").alias("apps"), "incidents", "errors", "rank")
 
 
@@ -81,7 +82,7 @@ def known_and_new(spark, d):
 
 
 @query(S.ctes("rows") + """, f AS (SELECT fingerprint, w // 86400 AS day, sum(n) AS n FROM rows GROUP BY ALL), h AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY day) > (count(*) OVER (PARTITION BY fingerprint)) // 2 AS late, count(*) OVER (PARTITION BY fingerprint) AS k FROM f),
-    g AS (SELECT fingerprint, avg(n) FILTER (NOT late) AS a, avg(n) FILTER (late) AS b FROM h WHERE k >= 2 GROUP BY 1) SELECT fingerprint, round((b - a) / a * 100, 6) AS change_pct FROM g WHERE (b - a) / a * 100 > 20""")
+    g AS (SELECT fingerprint, sum(n) FILTER (NOT late) AS a, sum(n) FILTER (late) AS b FROM h WHERE k >= 2 GROUP BY 1) SELECT fingerprint, round((b - a) / a * 100, 6) AS change_pct FROM g WHERE (b - a) / a * 100 > 20""")
 def growing_errors(spark, d):
     """A39."""
     return Z.growing(rows(spark, d)).select("fingerprint", R("change_pct").alias("change_pct"))
@@ -159,11 +160,11 @@ def quality_examples(spark, d):
     return Z.quality_examples(r).select("namespace", "error_type", "rank", "message", "quality")
 
 
-@query(S.ctes("sev") + """, p AS (SELECT *, (is_burst AND total >= 3) OR is_spike OR (NOT seen AND total >= 2) OR score >= 35 AS fixed, is_spike OR is_burst AS old FROM sev)
+@query(S.ctes("sev", "trend") + """, p AS (SELECT *, (is_burst AND ewma >= 0.001) OR is_spike OR (ewma = 0 AND total >= 5) OR score >= 35 AS fixed, is_spike OR is_burst AS old FROM sev JOIN trend USING (fingerprint))
     SELECT count(*) FILTER (old) AS before, count(*) FILTER (fixed) AS after, count(*) FILTER (fixed AND NOT old) AS gained, count(*) FILTER (old AND NOT fixed) AS lost FROM p""")
 def rule_changes(spark, d):
     """X35, X36."""
-    return Z.rule_changes(Z.stricter_rules(D.incidents(spark, d)))
+    return Z.rule_changes(Z.stricter_rules(D.incidents(spark, d), least_baseline=0.001, high=35.0))
 
 
 @query(S.ctes("sev") + """, a AS (SELECT severity, count(*) AS n FROM sev GROUP BY 1), b AS (SELECT severity, count(*) AS n FROM sev WHERE fingerprint < '8' GROUP BY 1)
@@ -185,16 +186,16 @@ def regrouped_incidents(spark, d):
 def new_unresolved(spark, d):
     """Suppliers stand for error signatures."""
     n = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("occurrences"))
-    s = table(spark, d, "supplier").join(n, "s_suppkey").withColumn("resolved", F.col("s_nationkey") % 2 != 0)
+    s = table(spark, d, "supplier").join(n, "s_suppkey").withColumn("is_new", F.lit(True)).withColumn("is_known_issue", F.col("s_nationkey") % 2 != 0)
     return Z.new_unresolved(s).select("s_suppkey", "s_name", "suggested")
 
 
-@query("""SELECT n_name AS source, c_mktsegment AS target, round(sum(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END) / count(*), 6) AS error_rate FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL HAVING sum(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END) / count(*) > 0.05""")
+@query("""SELECT n_name AS source, c_mktsegment AS target, round(sum(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END) / count(*) * 100, 6) AS failure_rate FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL HAVING sum(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END) / count(*) > 0.05""")
 def unhealthy_dependencies(spark, d):
     """Nations and segments stand for services."""
     c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    rate = c.groupBy(F.col("n_name").alias("source"), F.col("c_mktsegment").alias("target")).agg((F.count_if(F.col("c_acctbal") < 0) / F.count("*")).alias("error_rate"))
-    return Z.unhealthy_dependencies(rate).select("source", "target", R("error_rate").alias("error_rate"))
+    rate = c.groupBy(F.col("n_name").alias("source"), F.col("c_mktsegment").alias("target")).agg((F.count_if(F.col("c_acctbal") < 0) / F.count("*") * 100).alias("failure_rate"), F.lit(True).alias("is_healthy"))
+    return Z.unhealthy_dependencies(rate).select("source", "target", R("failure_rate").alias("failure_rate"))
 
 
 @query("SELECT o_orderkey AS cascade_id, coalesce(c_name, '-') AS title FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON c_custkey = o_custkey WHERE o_orderstatus = 'O'")
@@ -296,6 +297,16 @@ def incident_scopes(spark, d):
     return N.severity_order(s).select("group_id", "events", "errors", "root_app", F.array_join("downstream", ",").alias("downstream"), F.array_join("collateral", ",").alias("collateral"), "severity", p.alias("priority"))
 
 
+@query(S.ctes("ev") + """, f AS (SELECT group_id, app, min(us) AS us FROM ev GROUP BY ALL), r AS (SELECT group_id, arg_min(app, (us, app)) AS root_app FROM f GROUP BY 1), n AS (SELECT group_id, category, count(*) AS n, min((us, event_id)) AS s FROM ev GROUP BY ALL),
+    c AS (SELECT group_id, arg_min(category, (-n, s)) AS category FROM n GROUP BY group_id), t AS (SELECT group_id, CAST(sum(error_count) AS BIGINT) AS errors FROM ev GROUP BY 1)
+    SELECT category, root_app, count(*) AS raw_count, CAST(sum(errors) AS BIGINT) AS total_errors, arg_max(group_id, (errors, -group_id)) AS representative FROM r JOIN c USING (group_id) JOIN t USING (group_id) GROUP BY ALL""")
+def operational_incidents(spark, d):
+    """A42."""
+    e = events(spark, d)
+    s = N.scopes(e).join(N.modal(e), "group_id").withColumn("severity", F.lit("high"))
+    return N.operational(s).select("category", "root_app", "raw_count", "total_errors", "representative")
+
+
 @query(S.ctes("ev") + """, n AS (SELECT group_id, category, count(*) AS n, min((us, event_id)) AS s FROM ev GROUP BY ALL) SELECT group_id, arg_min(category, (-n, s)) AS category FROM n GROUP BY group_id""")
 def modal_categories(spark, d):
     """A41."""
@@ -336,7 +347,7 @@ def recommended_actions(spark, d):
     return N.actions(r, rules).select("group_id", "rank", "title", "urgency")
 
 
-@query(S.ctes("prob") + """ SELECT problem_key FROM prob WHERE NOT (category = 'unknown' AND error_class = 'unknown_error') AND (max_severity IN ('critical', 'high') OR total_occurrences >= 10 OR has_spike OR is_cross_namespace)""")
+@query(S.ctes("prob") + """ SELECT problem_key FROM prob WHERE NOT (category = 'unknown' AND total_occurrences < 10 AND NOT has_spike AND NOT is_cross_namespace) AND (max_severity IN ('critical', 'high') OR total_occurrences >= 10 OR has_spike OR is_cross_namespace)""")
 def actionable_problems(spark, d):
     """P2."""
     return B.rolled(spark, d).filter(P.is_actionable(10)).select("problem_key")

@@ -371,7 +371,7 @@ def alert_payloads(spark, d):
     """Payloads of clusters against known peaks."""
     rows, traces = alert_problems(spark, d)
     known = G.peak_updates(D.incidents(spark, d)).select("peak_key", "apps", "namespaces", (F.col("raw_count") / 2).alias("mean_count"), "last_seen")
-    return A.with_known(A.payloads(rows, A.clusters(rows, traces)), known)
+    return A.with_known(A.payloads(rows, A.clusters(rows, traces)), known, "2024-01-30 12:00:00")
 
 
 @query(S.ctes("facts") + """, n AS (SELECT fingerprint AS key, namespace, CAST(sum(n) AS BIGINT) AS n FROM facts GROUP BY ALL), t AS (SELECT *, greatest(5, sum(n) OVER (PARTITION BY key) * 0.01) AS l, row_number() OVER (PARTITION BY key ORDER BY n DESC, namespace) AS r FROM n),
