@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.functions import text as X
 from emberlog.functions import values as V
 from emberlog.operators import analysis as N
-from emberlog.operators import peaks
+from emberlog.operators import measure, peaks
 from emberlog.operators import problems as P
+from emberlog.operators import registry as G
 from emberlog.operators import reports as Z
 from emberlog.plans import detection as D
 from emberlog.plans import logs as Q
 from emberlog.plans import problems as B
 from emberlog.plans import sql as S
 from emberlog.plans.catalog import query, table
+from emberlog.sources import exports as E
 from emberlog.sources.tables import once
 
 R = Q.R
@@ -367,3 +370,82 @@ def set_operations(spark, d):
     return half.intersect(f.filter(F.unix_seconds("window_start") >= 1705276800).select("namespace", "app_name")).subtract(f.filter("namespace = 'core-sit'").select("namespace", "app_name"))
 
 
+
+
+# --- what is left of texts, maps and filters ---
+
+_NS4 = S.case(((f"contains(coalesce(namespace, ''), '-{e}-') OR ends_with(coalesce(namespace, ''), '-{e}')", S.quoted(e)) for e in ("prod", "uat", "sit", "dev")), "'unknown'")
+_STORED = [(r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "<UUID>"), (r"\b\d{10,}\b", "<ID>"), (r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", "<IP>"), (r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}", "<TS>"), (r"0x[0-9a-fA-F]+", "<HEX>")]
+
+
+@query(S.ctes("errs") + f""" SELECT seq, {_NS4} AS environment, substring({S.replaced('message', _STORED)}, 1, 500) AS stored, trim(regexp_replace(lower(app_name), '[^a-z0-9]', '_', 'g'), '_') AS token,
+    CASE WHEN seq < 60 THEN seq || 's' WHEN seq < 3600 THEN seq // 60 || 'm ' || seq % 60 || 's' ELSE seq // 3600 || 'h ' || seq % 3600 // 60 || 'm ' || seq % 60 || 's' END AS duration,
+    strftime(make_timestamp(us + 3600000000), '%d-%m-%Y %H:%M') AS shown, coalesce(round(seq / nullif(seq % 7, 0), 6), -1) AS ratio FROM errs""")
+def stored_texts(spark, d):
+    """F10, F41, F43, F48, M5, M11 (the month is in winter, an hour from UTC)."""
+    e = Q.errors(spark, d)
+    ratio = F.coalesce(R(V.ratio(F.col("seq"), F.col("seq") % 7)), F.lit(-1.0))
+    return e.select("seq", X.plain_environment(F.col("namespace")).alias("environment"), X.stored_message(F.col("message")).alias("stored"), X.plain_token(F.col("app_name")).alias("token"), X.duration_text(F.col("seq")).alias("duration"), V.shown_time(F.col("ts")).alias("shown"), ratio.alias("ratio"))
+
+
+@query()
+def operator_texts(spark, d):
+    """texts as operators read them; checked on single messages in the tests."""
+    m = F.col("message")
+    return Q.errors(spark, d).select("seq", X.operator_text(m).alias("shown"), X.smart_trim(m, 40).alias("trimmed"), X.is_low_signal(m).alias("low_signal"), X.query_contract(F.lit("logs"), F.array("namespace")).alias("contract"))
+
+
+@query(S.ctes("errs") + """, v AS (SELECT app_name, list(DISTINCT app_version) AS v FROM errs WHERE regexp_matches(app_version, '^\\d') GROUP BY 1), s AS (SELECT app_name, list_sort(list_transform(v, lambda x: list_transform(string_split(x, '.'), lambda y: CAST(y AS BIGINT)))) AS n FROM v)
+    SELECT app_name, array_to_string(list_transform(n, lambda x: array_to_string(x, '.')), ',') AS versions, array_to_string(n[-1], '.') AS latest FROM s""")
+def application_versions(spark, d):
+    """versions in order, and the latest."""
+    v = Q.errors(spark, d).filter(F.col("app_version").rlike(r"^\d")).groupBy("app_name").agg(F.collect_set("app_version").alias("v"))
+    return v.select("app_name", F.array_join(X.sorted_versions(F.col("v")), ",").alias("versions"), X.latest_version(F.col("v")).alias("latest"))
+
+
+@query(S.ctes("rec") + """, c AS (SELECT namespace, app_name, count(*) AS n FROM rec GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY n DESC, app_name) AS r FROM c)
+    SELECT namespace, string_agg(app_name || ' (' || format('{:,}', n) || ')', chr(10) ORDER BY r) AS lines FROM r WHERE r <= 5 GROUP BY namespace""")
+def merged_counts(spark, d):
+    """Counts of two halves merged, the five largest as lines."""
+    r = Q.records(spark, d)
+    half = lambda cond: measure.ranked_counter(r.filter(cond), "app_name", "namespace").select("namespace", F.map_from_entries("app_name").alias("m"))
+    both = half("seq % 2 = 0").join(half("seq % 2 = 1").withColumnRenamed("m", "k"), "namespace", "full")
+    return both.select("namespace", V.counts_lines(V.merged_counts(F.col("m"), F.col("k"))).alias("lines"))
+
+
+@query(S.ctes("ev") + """, f AS (SELECT group_id, app, min(us) AS us FROM ev GROUP BY ALL), o AS (SELECT group_id, list(app ORDER BY us, app) AS path FROM f GROUP BY 1)
+    SELECT group_id, coalesce(CASE WHEN len(path) >= 3 THEN 'Cascade: ' || array_to_string(path[1:5], ' → ') END, '-') AS cascade FROM o WHERE list_contains(path, 'bff-web')""")
+def cascade_patterns(spark, d):
+    """Cascades of incidents that hit one application."""
+    s = N.for_app(N.scopes(events(spark, d)), "bff-web")
+    return s.select("group_id", F.coalesce(N.cascade_text(F.col("path")), F.lit("-")).alias("cascade"))
+
+
+@query(S.ctes("links") + """, n AS (SELECT e.group_id, min(t.msg) AS msg, min(t.kind) AS kind, count(*) FILTER (e.app <> t.app) AS o, count(*) FILTER (contains(lower(e.message), 'time')) AS ti, count(*) FILTER (contains(e.app, 'gateway')) AS g, count(*) AS n FROM ev e JOIN trig USING (group_id) GROUP BY 1)
+    SELECT group_id, array_to_string(list_filter([CASE WHEN kind IN ('spike', 'burst') AND contains(msg, 'pool') AND o >= 2 THEN 'Database issue causing downstream cascading failures' END, CASE WHEN ti >= 3 THEN 'Timeout cascade - multiple services affected' END,
+    CASE WHEN g > 0 AND n > g THEN 'Backend issue amplified through gateway' END], lambda x: x IS NOT NULL), ';') AS patterns FROM n""")
+def incident_patterns(spark, d):
+    """X26."""
+    e = events(spark, d)
+    return N.common_patterns(N.triggers(e), e).select("group_id", F.array_join("patterns", ";").alias("patterns"))
+
+
+@query(_J + " SELECT namespace, w AS window_start, n AS error_count FROM j WHERE is_peak AND n > 0 AND w >= 1706140800")
+def recent_peak_rows(spark, d):
+    """P7, S29."""
+    return judged(spark, d).filter("is_peak AND error_count > 0").filter(F.unix_seconds("window_start") >= 1706140800).select("namespace", Q.epoch("window_start"), "error_count")
+
+
+@query("SELECT c_custkey AS registry_key, c_mktsegment AS category, coalesce(CASE WHEN c_custkey % 3 = 0 THEN 'new-' || c_custkey END, c_name) AS title FROM customer")
+def enriched_rows(spark, d):
+    """Only given fields of existing keys change."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("registry_key"), F.col("c_mktsegment").alias("category"), F.col("c_name").alias("title"))
+    new = c.select((F.col("registry_key") * 3).alias("registry_key")).withColumn("title", F.concat(F.lit("new-"), "registry_key"))
+    return G.enriched(c, new).select("registry_key", "category", "title")
+
+
+@query(S.ctes("rec") + """ SELECT error_type AS problem_key, CAST(count(DISTINCT fingerprint) AS INT) AS fingerprints, count(*) AS occurrences, min(us) AS first_us FROM rec GROUP BY error_type""")
+def regrouped_registry(spark, d):
+    """A registry of fingerprints by problem key (error types stand for keys)."""
+    f = Q.records(spark, d).groupBy("fingerprint", F.col("error_type").alias("problem_key")).agg(F.count("*").alias("occurrences"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    return E.regrouped_registry(f).select("problem_key", F.size("fingerprints").alias("fingerprints"), "occurrences", F.unix_micros("first_seen").alias("first_us"))
