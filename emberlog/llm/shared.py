@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -48,6 +49,16 @@ def drop(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of finished jobs deleted now.
+
+    Spark deletes them once the driver's garbage collector has found their plans unused, which on an idle heap can be half an
+    hour later. Worth a call between steps that shuffle as much as they read.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_tie(text: str = "text") -> Column:
     """Hash of a row's text; with the document id it tells rows of one id apart. Rows alike in both are one document."""
     return F.xxhash64(F.col(text))

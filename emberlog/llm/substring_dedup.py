@@ -15,7 +15,8 @@ on; wherever that span recurs, the symbol recurs.
 3. Words in a window that starts in a document of smaller id as well are removed.
 
 Texts of equal words are one text here: their least document stands for all, so a group of copies
-of any size costs its keys once. Steps 2 and 3 read the texts from one shuffle by document.
+of any size costs its keys once. A text goes by a 64-bit name where only its own keys or windows are told apart
+from others'; between documents texts travel packed (zstandard).
 
 Defined results: null and wordless texts have no windows; a null id is larger than any other;
 rows that repeat an id never take words from each other.
@@ -27,11 +28,14 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from emberlog.llm.shared import materialise
+from emberlog.llm.shared import drop, materialise, release
 from emberlog.llm.words import WordHashes, sequences, slices
 
 PAIR_ROUNDS = 3
@@ -41,6 +45,19 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
 
 
+@F.pandas_udf(T.BinaryType())
+def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Texts as zstandard frames; null stays null."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for texts in batches:
+        yield pd.Series([None if t is None else pack(t.encode()) for t in texts], dtype=object)
+
+
+def _unpacked(column: pa.Array) -> list[str | None]:
+    unpack = zstandard.ZstdDecompressor().decompressobj
+    return [None if x is None else unpack().decompress(x).decode() for x in column.to_pylist()]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Finalizer of splitmix64."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -141,10 +158,11 @@ def _survey(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 
 def _windows(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, kind, packed text, wanted keys -> id, kind, the windows' 128 bits and their places."""
     seen, other = WordHashes(0), WordHashes(1)
     for batch in batches:
-        for part in slices(batch, 2):
-            words, bounds = sequences(part.column(2).to_pylist())
+        for part in slices(batch, 2, zstandard.frame_content_size):
+            words, bounds = sequences(_unpacked(part.column(2)))
             h = seen.of(words)
             starts, keys = window_keys(h, bounds, window)
             text = np.searchsorted(bounds, starts, "right") - 1
@@ -152,21 +170,21 @@ def _windows(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             sizes = np.diff(shared.offsets.to_numpy())
             wanted_text, wanted = np.repeat(np.arange(len(part)), sizes), shared.flatten().to_numpy().view(np.uint64)
             marked = np.isin(mixed(keys + mixed(text.astype(np.uint64))), mixed(wanted + mixed(wanted_text.astype(np.uint64))))
-            at = starts[marked]
+            at, rows = starts[marked], text[marked]
             h2 = other.of(words)
             a, b = span_hashes(h, at, at + window), span_hashes(h2, at, at + window)
-            ids = part.column(0).to_numpy(zero_copy_only=False)[text[marked]]
+            ids, kinds = (part.column(k).to_numpy(zero_copy_only=False)[rows] for k in (0, 1))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), part.column(1).take(pa.array(text[marked])), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array((at - bounds[text[marked]]).astype(np.int32))],
-                names=["id", "seq", "a", "b", "at"],
+                [pa.array(ids, pa.int64()), pa.array(kinds, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array((at - bounds[rows]).astype(np.int32))],
+                names=["id", "kind", "a", "b", "at"],
             )
 
 
 def _kept(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, 1):
+        for part in slices(batch, 1, zstandard.frame_content_size):
             out: list[tuple] = []
-            for text, everything, at in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+            for text, everything, at in zip(_unpacked(part.column(1)), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                 words = text.encode().split() if text else []
                 n = len(words)
                 if everything and n >= window:
@@ -186,26 +204,44 @@ def _kept(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def remove_repeats(docs: DataFrame, *, window: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_words, n_removed, kept_text`` (the words that stay, joined by a space), one row per document. ``doc_id`` is a whole number."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(F.col(text)).alias("tie"), F.col(text).alias("text"))
     survey = rows.select("id", "tie", "text").mapInArrow(lambda it: _survey(window, it), "id long, tie long, seq string, n_words long, keys array<long>")
-    survey = materialise(survey, "survey")
+    survey = materialise(survey.withColumn("kind", F.xxhash64("seq")), "survey")
     least = survey.groupBy("seq").agg(F.min(F.struct("id", "tie")).alias("least"))
-    all_rows = survey.select("id", "tie", "seq").distinct().join(least, "seq")
-    copies = all_rows.filter(F.col("id") > F.col("least.id")).select("id", "tie", F.lit(True).alias("everything"), F.lit(None).cast("array<int>").alias("at"))
-
-    keys = survey.filter(F.size("keys") > 0).join(least, "seq").filter((F.col("id") == F.col("least.id")) & (F.col("tie") == F.col("least.tie")))
-    keys = keys.select("id", "tie", "seq", F.explode("keys").alias("key"))
-    kinds = F.xxhash64("seq")
-    shared = keys.groupBy("key").agg(F.min(kinds).alias("x"), F.max(kinds).alias("y")).filter("x != y").select("key")
-    wanted = materialise(keys.join(shared, "key").groupBy("id", "tie", "seq").agg(F.collect_set("key").alias("wanted")), "wanted")
-
-    texts = rows.select("doc_id", "id", "tie", "text")
+    names = survey.select("id", "tie", "kind", "seq").distinct().join(least, "seq").select("id", "tie", "kind", "seq", F.col("least.id").alias("least_id"), F.col("least.tie").alias("least_tie"))
+    names = materialise(names, "names")
+    first_of = (F.col("id") == F.col("least_id")) & (F.col("tie") == F.col("least_tie"))
+    speakers = names.filter(first_of).select("id", "tie", "kind")
+
+    # Each step is a table of its own: a join with a finished aggregate can be split where a key is hot, and what a step read goes.
+    own_keys = survey.filter(F.size("keys") > 0).select("id", "tie", "keys").join(speakers, ["id", "tie"]).select("kind", "keys").dropDuplicates(["kind"])
+    own_keys = materialise(own_keys, "keys")
+    keys = own_keys.select("kind", F.explode("keys").alias("key"))
+    drop(survey)
+    release(spark)
+    shared = materialise(keys.groupBy("key").agg(F.min("kind").alias("x"), F.max("kind").alias("y")).filter("x != y").select("key"), "shared")
+    release(spark)
+    wanted = materialise(keys.join(shared, "key").groupBy("kind").agg(F.collect_set("key").alias("wanted")).join(speakers, "kind"), "wanted")
+    drop(own_keys)
+    drop(shared)
+    release(spark)
+
+    texts = rows.select("doc_id", "id", "tie", packed("text").alias("text"))
     candidates = texts.join(wanted.withColumnsRenamed({"id": "w_id", "tie": "w_tie"}), F.col("id").eqNullSafe(F.col("w_id")) & F.col("tie").eqNullSafe(F.col("w_tie")))
-    windows = candidates.select("id", "seq", "text", "wanted").mapInArrow(lambda it: _windows(window, it), "id long, seq string, a long, b long, at int")
+    windows = candidates.select("id", "kind", "text", "wanted").mapInArrow(lambda it: _windows(window, it), "id long, kind long, a long, b long, at int")
     windows = materialise(windows, "windows")
+    drop(wanted)
+    release(spark)
     first = windows.groupBy("a", "b").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("a", "b", "first")
-    hits = windows.join(first, ["a", "b"]).filter("id > first").groupBy("id", "seq").agg(F.collect_list("at").alias("at"))
-    partly = all_rows.filter(F.col("id") == F.col("least.id")).select("id", "tie", "seq").join(hits, ["id", "seq"]).select("id", "tie", F.lit(False).alias("everything"), "at")
-    removed = copies.unionByName(partly).withColumnsRenamed({"id": "r_id", "tie": "r_tie"})
+    first = materialise(first, "first")
+    release(spark)
+    hits = windows.join(first, ["a", "b"]).filter("id > first").groupBy("id", "kind").agg(F.collect_list("at").alias("at"))
+    partly = names.filter(F.col("id") == F.col("least_id")).select("id", "tie", "kind").join(hits, ["id", "kind"]).select("id", "tie", F.lit(False).alias("everything"), "at")
+    copies = names.filter(F.col("id") > F.col("least_id")).select("id", "tie", F.lit(True).alias("everything"), F.lit(None).cast("array<int>").alias("at"))
+    removed = materialise(copies.unionByName(partly), "removed").withColumnsRenamed({"id": "r_id", "tie": "r_tie"})
+    drop(windows)
+    drop(first)
+    release(spark)
     judged = texts.join(removed, F.col("id").eqNullSafe(F.col("r_id")) & F.col("tie").eqNullSafe(F.col("r_tie")), "left")
     return judged.select("doc_id", "text", "everything", "at").mapInArrow(lambda it: _kept(window, it), "doc_id long, n_words long, n_removed long, kept_text string")

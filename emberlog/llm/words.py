@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +35,10 @@ def split(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
-def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch that hold SLICE_CHARS characters or one row, whichever is more."""
+def slices(batch: pa.RecordBatch, text: int, size: Callable[[memoryview], int] = len) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch that hold SLICE_CHARS characters or one row, whichever is more. ``size``: a text's length from its bytes."""
     column = batch.column(text)
-    lengths = [len(column[i].as_buffer()) if column[i].is_valid else 0 for i in range(len(column))]
+    lengths = [size(memoryview(column[i].as_buffer())) if column[i].is_valid else 0 for i in range(len(column))]
     start = total = 0
     for i, n in enumerate(lengths):
         if total and total + n > SLICE_CHARS:
