@@ -11,6 +11,7 @@ from emberlog.functions import values as V
 from emberlog.functions.text import first_match
 from emberlog.operators import measure as M
 from emberlog.operators import peaks as P
+from emberlog.sources.tables import staged
 
 FLAGS = ("is_spike", "is_burst", "is_new", "is_cross_namespace", "is_silence", "is_regression", "is_cascade")
 
@@ -155,6 +156,7 @@ def incidents(records: DataFrame, run_date: str = "1970-01-01", **known) -> Data
 def with_incident_ids(found: DataFrame) -> DataFrame:
     """Adds ``incident_id`` (inc-YYYYMMDD-NNN) in order of first arrival: numbers within ranges of a range sort, after the counts of the ranges before."""
     ordered = found.repartitionByRange("first_seq").sortWithinPartitions("first_seq").withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    ordered = staged(ordered, "ordered")  # ranges come from a sample; both uses must see the same ones
     counts = ordered.groupBy("_p").agg(F.count("*").alias("_n"))
     starts = counts.alias("a").join(counts.select(F.col("_p").alias("_q"), F.col("_n").alias("_m")).alias("b"), F.col("_q") < F.col("_p"), "left").groupBy("_p").agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_before"))
     numbered = ordered.join(F.broadcast(starts), "_p")  # a row per partition

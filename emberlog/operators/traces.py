@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions import text as X
+from emberlog.sources.tables import staged
 
 SEVERE = ("ERROR", "FATAL")
 
@@ -149,7 +150,7 @@ def _upper_median(values: DataFrame) -> DataFrame:
     """The value at place n // 2 in order, from counts of distinct values and their running total by range."""
     n = values.groupBy("sec").agg(F.count("*").alias("n"))
     ordered = n.repartitionByRange("sec").withColumn("p", F.spark_partition_id())
-    within = ordered.withColumn("run", F.sum("n").over(Window.partitionBy("p").orderBy("sec")))
+    within = staged(ordered.withColumn("run", F.sum("n").over(Window.partitionBy("p").orderBy("sec"))), "ranges")  # ranges come from a sample; all uses must see the same ones
     parts = within.groupBy("p").agg(F.max("run").alias("m"))
     before = parts.alias("a").join(parts.select(F.col("p").alias("q"), F.col("m").alias("k")).alias("b"), F.col("q") < F.col("p"), "left").groupBy("p").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("before"))
     total = parts.agg(F.sum("m").alias("total"))
