@@ -61,7 +61,7 @@ def repeated_lines(docs: DataFrame, min_lines: int = 2, doc_id: str = "doc_id",
     """Lines to delete: (_id, _tie, pos, line), distinct; pos counts lines with a word, line counts all."""
     repeated, suffixes = line_suffixes(docs, min_lines, doc_id, text)
     at = F.struct("_id", "_tie", "pos")
-    first = suffixes.groupBy("rank").agg(F.min(at).alias("first"))
+    first = materialise(suffixes.groupBy("rank").agg(F.min(at).alias("first")), "first")  # a table, so that the join can be split at hot ranks
     later = suffixes.join(first, "rank").filter(~at.eqNullSafe(F.col("first"))).select(*KEY, "pos", F.lit(1).alias("hit")).distinct()
     cover = Window.partitionBy(*KEY).orderBy("pos").rangeBetween(-(min_lines - 1), 0)
     lines = repeated.select(*KEY, "pos", "line").distinct().alias("l")
