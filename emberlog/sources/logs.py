@@ -53,13 +53,16 @@ def log_events(events: DataFrame) -> DataFrame:
     return events.select(F.col("ts").cast("timestamp").alias("ts"), *(F.expr(v).alias(k) for k, v in LOG_VIEW.items()))
 
 
+def between(rows: DataFrame, start: str | None = None, end: str | None = None, column: str = "ts") -> DataFrame:
+    """Rows with ``start <= column < end``. Bounds take the column's own type, so that a columnar scan gets them as filters."""
+    kind = rows.schema[column].dataType
+    rows = rows.filter(F.col(column) >= F.lit(start).cast(kind)) if start is not None else rows
+    return rows.filter(F.col(column) < F.lit(end).cast(kind)) if end is not None else rows
+
+
 def errors(logs: DataFrame, start: str | None = None, end: str | None = None, namespaces: list[str] | None = None) -> DataFrame:
-    """The source query: error level, ``[start, end)``, namespaces in scope. All three reach a columnar scan as filters."""
-    out = logs.filter(F.col("level") == "ERROR")
-    if start is not None:
-        out = out.filter(F.col("ts") >= F.lit(start).cast("timestamp"))
-    if end is not None:
-        out = out.filter(F.col("ts") < F.lit(end).cast("timestamp"))
+    """The source query: error level, ``[start, end)``, namespaces in scope."""
+    out = between(logs.filter(F.col("level") == "ERROR"), start, end)
     return out.filter(F.col("namespace").isin(namespaces)) if namespaces else out
 
 
