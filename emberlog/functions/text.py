@@ -6,7 +6,7 @@ stay in generated code. Null messages count as empty unless a function says othe
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -24,6 +24,11 @@ def first_match(cases: Iterable[tuple[Column, Column | str]], otherwise: Column
     return lit(otherwise) if out is None else out.otherwise(lit(otherwise))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def replaced(text: Column, pairs: Iterable[tuple[str, str]]) -> Column:
     return reduce(lambda c, p: F.regexp_replace(c, p[0], p[1]), pairs, text)
 
@@ -159,45 +164,61 @@ def _inner(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(text), r"\]+$", ""))
 
 
-def useful_content(msg: Column) -> Column:
-    """The part of a message that says what happened; empty for mere wrappers."""
-    text = F.regexp_replace(full(msg), r"^\s+|\s+$", "")
-    fault = found(text, rules.HANDLE_FAULT)
+def _of_fault(text: Column, fault: Column) -> Column:
+    """What an error model says: its message, or its detail where the message is generic."""
     said, detail = _inner(fault), _inner(full(found(text, r"detail=([^,\]]+)")))
-    generic = F.lower(said).isin("", "null", "<null>", "service exception")
-    no_detail = F.lower(detail).isin("", "null", "<null>")
-    of_fault = F.when(~generic | no_detail, said).when(said == "", detail).otherwise(F.concat(said, F.lit(" / "), detail))
+    generic = lambda s: F.lower(s).isin("", "null", "<null>", "service exception")
+    none = lambda d: F.lower(d).isin("", "null", "<null>")
+    return let(F.struct(said.alias("said"), detail.alias("detail")), lambda x: F.when(~generic(x["said"]) | none(x["detail"]), x["said"]).when(x["said"] == "", x["detail"]).otherwise(F.concat(x["said"], F.lit(" / "), x["detail"])))
+
+
+def _of_code(text: Column) -> Column:
+    """A structured code as ``Class#method → status (rest)``."""
     part = lambda i: F.regexp_extract(text, rules.STRUCTURED_CODE, i)
     known = lambda c: F.nullif(F.nullif(c, F.lit("n/a")), F.lit(""))
-    names = F.concat_ws("#", known(part(6)), known(part(7)))
     trail = F.trim(F.regexp_replace(F.trim(part(9)), r"#+$", ""))
-    code = F.concat(
-        F.when(names == "", part(1)).otherwise(names), F.coalesce(F.concat(F.lit(" → "), known(part(8))), F.lit("")),
-        F.when(trail != "", F.concat(F.lit(" ("), F.substring(trail, 1, 120), F.lit(")"))).otherwise(F.lit("")),
+    return F.concat(
+        let(F.concat_ws("#", known(part(6)), known(part(7))), lambda names: F.when(names == "", part(1)).otherwise(names)), F.coalesce(F.concat(F.lit(" → "), known(part(8))), F.lit("")),
+        let(trail, lambda t: F.when(t != "", F.concat(F.lit(" ("), F.substring(t, 1, 120), F.lit(")"))).otherwise(F.lit(""))),
     )
-    wrapper = text.rlike("(?i)" + rules.WRAPPER_HANDLED) | text.rlike("(?i)" + rules.WRAPPER_CASE)
-    return F.when(wrapper, F.lit("")).when(fault.isNotNull(), of_fault).when(text.rlike(rules.STRUCTURED_CODE), code).otherwise(F.rtrim(F.substring_index(text, "\n", 1)))
+
+
+def useful_content(msg: Column) -> Column:
+    """The part of a message that says what happened; empty for mere wrappers."""
+
+    def of(text: Column) -> Column:
+        wrapper = text.rlike("(?i)" + rules.WRAPPER_HANDLED) | text.rlike("(?i)" + rules.WRAPPER_CASE)
+        return (
+            F.when(wrapper, F.lit("")).when(text.rlike(rules.HANDLE_FAULT), _of_fault(text, found(text, rules.HANDLE_FAULT))).when(text.rlike(rules.STRUCTURED_CODE), _of_code(text))
+            .otherwise(F.rtrim(F.substring_index(text, "\n", 1)))
+        )
+
+    return let(F.regexp_replace(full(msg), r"^\s+|\s+$", ""), of)
+
+
+def useful_or(msg: Column, other: Column) -> Column:
+    return let(useful_content(msg), lambda u: F.when(u != "", u).otherwise(other))
 
 
 def smart_trim(msg: Column, limit: int = 250) -> Column:
     """Useful content of at most ``limit`` characters, cut at the last space or full stop if that keeps more than half."""
-    text = useful_content(msg)
-    head = F.substring(text, 1, limit - 3)
-    cut = F.length(F.regexp_extract(head, r"(?s)^(.*)[ .]", 1))
-    short = F.when((cut > limit // 2) & head.rlike("[ .]"), F.substring(head, F.lit(1), cut)).otherwise(head)
-    return F.when(F.length(text) <= limit, text).otherwise(F.concat(short, F.lit("...")))
+
+    def short(head: Column) -> Column:
+        cut = F.length(F.regexp_extract(head, r"(?s)^(.*)[ .]", 1))
+        return F.concat(F.when((cut > limit // 2) & head.rlike("[ .]"), F.substring(head, F.lit(1), cut)).otherwise(head), F.lit("..."))
+
+    return let(useful_content(msg), lambda text: F.when(F.length(text) <= limit, text).otherwise(let(F.substring(text, 1, limit - 3), short)))
 
 
 def signal_score(msg: Column) -> Column:
     """How much a message says: wrappers are negative, messages that name a cause positive."""
-    text = full(msg)
-    low = F.lower(text)
-    count = lambda patterns: reduce(lambda a, b: a + b, (low.rlike(p).cast("int") for p in patterns))
-    score = (F.length(low) >= 40).cast("int") + 3 * count(rules.SIGNAL_GOOD) - 3 * count(rules.SIGNAL_BAD)
-    return (
-        F.when(text == "", 0).when(F.trim(text).rlike("(?i)" + rules.WRAPPER_HANDLED), -10).when(low.rlike(rules.WRAPPER_CASE), -5)
-        .when(low.contains("anonymize original error detail"), -8).otherwise(score)
-    )
+
+    def of(low: Column) -> Column:
+        count = lambda patterns: reduce(lambda a, b: a + b, (low.rlike(p).cast("int") for p in patterns))
+        score = (F.length(low) >= 40).cast("int") + 3 * count(rules.SIGNAL_GOOD) - 3 * count(rules.SIGNAL_BAD)
+        return F.when(low == "", 0).when(F.trim(low).rlike("(?i)" + rules.WRAPPER_HANDLED), -10).when(low.rlike(rules.WRAPPER_CASE), -5).when(low.contains("anonymize original error detail"), -8).otherwise(score)
+
+    return let(F.lower(full(msg)), of)
 
 
 def trace_message(msg: Column) -> Column:
@@ -207,11 +228,10 @@ def trace_message(msg: Column) -> Column:
 
 def event_error_class(error_type: Column, normalised: Column) -> Column:
     """The error type if it says something, else the first four longer words of the message."""
-    kind = F.trim(full(error_type))
-    useful = useful_content(normalised)
-    text = F.lower(trace_message(F.when(useful != "", useful).otherwise(normalised)))
+    text = F.lower(trace_message(useful_or(normalised, normalised)))
     words = F.slice(F.filter(F.split(text, r"\s+"), lambda w: F.length(w) > 3), 1, 4)
-    return F.when(~F.lower(kind).isin(rules.UNINFORMATIVE_TYPES), kind).when(F.size(words) > 0, F.array_join(words, "_")).otherwise(F.lit("unknown"))
+    of_message = let(F.array_join(words, "_"), lambda w: F.when(w != "", w).otherwise(F.lit("unknown")))
+    return let(F.trim(full(error_type)), lambda kind: F.when(~F.lower(kind).isin(rules.UNINFORMATIVE_TYPES), kind).otherwise(of_message))
 
 
 # --- problem keys, in the dialects of the aggregator and of the registry ---
@@ -374,8 +394,7 @@ def _tokens(text: Column, stop: list[str]) -> Column:
 
 
 def cause_tokens(msg: Column) -> Column:
-    useful = useful_content(msg)
-    return _tokens(trace_message(F.when(useful != "", useful).otherwise(full(msg))), rules.CAUSE_STOP_WORDS)
+    return _tokens(trace_message(useful_or(msg, full(msg))), rules.CAUSE_STOP_WORDS)
 
 
 def step_tokens(msg: Column) -> Column:

@@ -89,7 +89,7 @@ def patterns(found: DataFrame, limit: int = 5) -> DataFrame:
     Incidents are grouped by what their message says; wrappers count only where a problem has nothing else. The best by
     signal, count and key are kept, each text once.
     """
-    text = F.when(X.useful_content(F.col("sample_message")) != "", X.useful_content(F.col("sample_message"))).otherwise(X.useful_content(F.col("normalized_message")))
+    text = X.useful_or(F.col("sample_message"), X.useful_content(F.col("normalized_message")))
     rows = found.withColumn("n", occurrences(F.col("total_count"), F.lit(0), F.lit(1))).withColumn("said", text)
     whole = Window.partitionBy("problem_key")
     rows = rows.withColumn("total", F.sum("n").over(whole)).withColumn("any_said", F.bool_or(F.col("said") != "").over(whole))
@@ -100,7 +100,7 @@ def patterns(found: DataFrame, limit: int = 5) -> DataFrame:
         F.array_sort(F.flatten(F.collect_list("app_counts"))).alias("entries"),
     )
     groups = groups.withColumn("good", F.bool_or(F.col("signal") >= -2).over(whole)).filter((F.col("signal") >= -2) | ~F.col("good"))
-    shown = F.when(X.smart_trim(F.col("message")) != "", X.smart_trim(F.col("message"))).otherwise(F.substring("message", 1, 250))
+    shown = X.let(X.smart_trim(F.col("message")), lambda t: F.when(t != "", t).otherwise(F.substring("message", 1, 250)))
     groups = groups.withColumn("message", shown).withColumn("text", F.lower(F.substring(X.trace_message(shown), 1, 80)))
     best = Window.partitionBy("problem_key", "text").orderBy(F.desc("signal"), F.desc("count"), "key")
     ranked = groups.withColumn("r", F.row_number().over(best)).filter("r = 1").withColumn("rank", F.row_number().over(Window.partitionBy("problem_key").orderBy(F.desc("signal"), F.desc("count"), "key"))).filter(F.col("rank") <= limit)
