@@ -13,7 +13,7 @@ from emberlog.operators.parse import by_fingerprint, parse
 from emberlog.plans import sql as S
 from emberlog.plans.catalog import query, table
 from emberlog.sources import logs as L
-from emberlog.sources.tables import once
+from emberlog.sources.tables import once, spread
 
 MONITORED = ["shop-prod-01", "shop-prod-02", "cards-uat-01", "cards-dev-04", "core-sit"]
 R = lambda c: F.round(c, 6)
@@ -24,7 +24,7 @@ def errors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
-    return once(spark, d, "records", lambda: parse(errors(spark, d)))
+    return once(spark, d, "records", lambda: parse(spread(errors(spark, d))))
 
 
 def facts(spark: SparkSession, d: str) -> DataFrame:

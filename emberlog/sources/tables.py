@@ -28,6 +28,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan dealt out again if it has fewer partitions than there are cores (one small file), so that costly expressions after it run on all.
+
+    For scans and what needs no shuffle; a large scan has partitions enough and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def replace_partitions(df: DataFrame, path: str, by: str) -> None:
     """Overwrites only the partitions that ``df`` has rows of: running a window again replaces it and nothing else."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
