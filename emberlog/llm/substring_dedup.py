@@ -40,6 +40,8 @@ from emberlog.llm.words import WordHashes, sequences, slices
 
 PAIR_ROUNDS = 3
 LAST_ID = (1 << 63) - 1
+#: Characters worked on at a time, and words whose hashes are remembered; both bound a worker's memory.
+SLICE, REMEMBERED = 1_000_000, 150_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
@@ -140,9 +142,9 @@ def window_keys(h: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndar
 
 
 def _survey(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = WordHashes(0)
+    seen = WordHashes(0, REMEMBERED)
     for batch in batches:
-        for part in slices(batch, 2):
+        for part in slices(batch, 2, limit=SLICE):
             words, bounds = sequences(part.column(2).to_pylist())
             h = seen.of(words)
             starts, keys = window_keys(h, bounds, window)
@@ -159,9 +161,9 @@ def _survey(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def _windows(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, kind, packed text, wanted keys -> id, kind, the windows' 128 bits and their places."""
-    seen, other = WordHashes(0), WordHashes(1)
+    seen, other = WordHashes(0, REMEMBERED), WordHashes(1, REMEMBERED)
     for batch in batches:
-        for part in slices(batch, 2, zstandard.frame_content_size):
+        for part in slices(batch, 2, zstandard.frame_content_size, SLICE):
             words, bounds = sequences(_unpacked(part.column(2)))
             h = seen.of(words)
             starts, keys = window_keys(h, bounds, window)
@@ -182,7 +184,7 @@ def _windows(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 def _kept(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, 1, zstandard.frame_content_size):
+        for part in slices(batch, 1, zstandard.frame_content_size, SLICE):
             out: list[tuple] = []
             for text, everything, at in zip(_unpacked(part.column(1)), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                 words = text.encode().split() if text else []

@@ -16,12 +16,12 @@ _CACHE_WORDS = 400_000
 class WordHashes(dict):
     """XXH64 of words under a seed, remembered up to a bounded number of words."""
 
-    def __init__(self, seed: int):
+    def __init__(self, seed: int, limit: int = _CACHE_WORDS):
         super().__init__()
-        self.seed = seed
+        self.seed, self.limit = seed, limit
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHE_WORDS:
+        if len(self) >= self.limit:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word, self.seed)
         return value
@@ -35,13 +35,13 @@ def split(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
-def slices(batch: pa.RecordBatch, text: int, size: Callable[[memoryview], int] = len) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch that hold SLICE_CHARS characters or one row, whichever is more. ``size``: a text's length from its bytes."""
+def slices(batch: pa.RecordBatch, text: int, size: Callable[[memoryview], int] = len, limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch that hold ``limit`` characters or one row, whichever is more. ``size``: a text's length from its bytes."""
     column = batch.column(text)
     lengths = [size(memoryview(column[i].as_buffer())) if column[i].is_valid else 0 for i in range(len(column))]
     start = total = 0
     for i, n in enumerate(lengths):
-        if total and total + n > SLICE_CHARS:
+        if total and total + n > limit:
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += n
