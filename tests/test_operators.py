@@ -125,6 +125,31 @@ def test_incident_groups_equal_a_loop(spark, data):
     assert got == expected
 
 
+@pytest.mark.parametrize(("step", "kinds"), [(7, (3, 5, 4)), (20, (40, 30, 1000)), (0.5, (6, 1000, 1000))])
+def test_groups_of_a_steady_log(spark, monkeypatch, step, kinds):
+    """No silence ends a run here: the log must still be folded in parts of bounded size, with the same groups as in one loop."""
+    monkeypatch.setattr(analysis, "CHUNK_ROWS", 100)
+    apps, bases, categories = kinds
+    rows = [(i, T0 + timedelta(seconds=i * step), f"a{i * 7919 % 1009 % apps}", f"f{i * 104729 % 2003 % bases}-x", f"c{i * 1299709 % 3001 % categories}", "low", 1.0, False, False, i % 211 == 0) for i in range(3000)]
+    ev = spark.createDataFrame(rows, "event_id long, ts timestamp, app string, fingerprint string, category string, severity string, ratio double, is_spike boolean, is_burst boolean, is_cross_namespace boolean")
+    first, expected = [], {}
+    for i, t, app, f, c, *_, wide in rows:
+        near = lambda o: (t - o[1]).total_seconds() <= 900 and (o[2] == app or o[3] == f or ((t - o[1]).total_seconds() <= 300 and (o[4] == c or wide or o[-1])))
+        lead = next((o for o in first if near(o)), None)
+        if lead is None:
+            lead = rows[i]
+            first.append(lead)
+        expected[i] = lead[0]
+    sizes = defaultdict(int)
+    for g in expected.values():
+        sizes[g] += 1
+    expected = {i: g for i, g in expected.items() if sizes[g] > 1 or rows[g][-1]}
+    assert {r["event_id"]: r["group_id"] for r in analysis.group_events(ev).collect()} == expected
+    keyed = analysis._keyed(ev)
+    largest = keyed.groupBy("chunk").count().agg(F.max("count")).first()[0]
+    assert largest < 300 and analysis._starts(keyed)[1] <= 6
+
+
 def test_merged_timeline_equals_a_loop(spark):
     secs = [0, 10, 50, 60, 61, 100, 121, 122, 300]
     ev = spark.createDataFrame([(i, T0 + timedelta(seconds=s), "a" if i % 2 else "b", "fp", "spike", float(i), 1, "m", 1) for i, s in enumerate(secs)], "event_id long, ts timestamp, app string, fingerprint string, event_type string, ratio double, error_count long, message string, group_id long")
