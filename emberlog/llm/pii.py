@@ -48,9 +48,13 @@ _DIGIT = "|".join(_SPELLED)
 _SPELLED_RUN = re.compile(rf"(?<![A-Za-z0-9])(?:plus[\x20-]{{1,3}})?(?:{_DIGIT})(?:[\x20,-]{{1,3}}(?:{_DIGIT}|dot|point|dash|[0-9](?![0-9A-Za-z]))(?![A-Za-z0-9])){{{_MIN_SPELLED - 1},}}(?![A-Za-z0-9])", re.I)
 _SPELLED_PART = re.compile(rf"({_DIGIT}|[0-9])|(dot|point)|(plus)|(dash)", re.I)
 _BRACKETED = re.compile(r"\s{0,2}[\[({<]\s?(?:(at)|(dot|period|point))\s?[\])}>]\s{0,2}", re.I)
-_BARE = re.compile(r"(?<![^\s\[({<,;:\"'])([A-Za-z0-9._%+-]+)(\sat\s)([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*)((?:\sdot\s[A-Za-z0-9-]+)+)(?![A-Za-z0-9-])", re.I)
+# What bracketed marks become while bare ones are looked for, as that asks which at and dot the writer disguised.
+_AT, _DOT = "\ufdd0", "\ufdd1"
+_MARKS = str.maketrans(_AT + _DOT, "@.")
+_NO_MARKS = str.maketrans(_AT + _DOT, "\ufffd\ufffd")
 _BARE_DOT = re.compile(r"\sdot\s", re.I)
-_AT_THEN_DOT = re.compile(r"(@[A-Za-z0-9-]+)((?:\sdot\s[A-Za-z0-9-]+)+)(?![A-Za-z0-9-])", re.I)
+_AT_DOMAIN = re.compile(rf"(\sat\s|[@{_AT}])([A-Za-z0-9-]+(?:(?:\sdot\s|[.{_DOT}])[A-Za-z0-9-]+)*)", re.I)
+_BEFORE_LOCAL = frozenset("[({<,;:\"'")
 
 
 class _Plain(dict):
@@ -110,45 +114,99 @@ def identifiers(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _applied(text: str, replacements: list[tuple[int, int, str]]) -> tuple[str, list[tuple[int, int, int, bool]]]:
+    """The text with its replacements, and its pieces in order: (start in it, start in the source, end in the source, is a replacement)."""
+    pieces, parts, at, done = [], [], 0, 0
+    for a, b, w in replacements:
+        if a > done:
+            pieces.append((at, done, a, False))
+            parts.append(text[done:a])
+            at += a - done
+        pieces.append((at, a, b, True))
+        parts.append(w)
+        at += len(w)
+        done = b
+    pieces.append((at, done, len(text), False))
+    parts.append(text[done:])
+    return "".join(parts), pieces
+
+
+def _apart(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    out, done = [], 0
+    for a, b, w in sorted(found, key=lambda x: (x[0], -x[1])):
+        if a >= done:
+            out.append((a, b, w))
+            done = b
+    return out
+
+
+def _word_start(text: str, end: int, floor: int) -> int:
+    """Start of the run of local characters, or marks of dots, that ends at ``end``."""
+    while end > floor and (text[end - 1] in _LOCAL_CHARS or text[end - 1] == _DOT):
+        end -= 1
+    return end
+
+
+def _opens(text: str, at: int) -> bool:
+    return at == 0 or text[at - 1].isspace() or text[at - 1] in _BEFORE_LOCAL
+
+
+def _bare(text: str) -> list[tuple[int, int, str]]:
+    """Bare at and dot of addresses in ``text``, whose bracketed ones are marks.
+
+    A bare at needs a spelled or marked dot after it. After a literal ``@`` bare dots count only where the domain has no literal
+    dot before them, and before it only where there is a spelled or marked dot after it.
+    """
+    found, at, floor = [], 0, 0
+    while m := _AT_DOMAIN.search(text, at):
+        sign, domain = m.group(1), m.group(2)
+        dots = [(m.start(2) + d.start(), m.start(2) + d.end()) for d in _BARE_DOT.finditer(domain)]
+        if sign == "@" and dots and "." in text[m.start(2) : dots[0][0]]:
+            dots = []
+        spelled = bool(dots) or _DOT in domain
+        start = _word_start(text, m.start(), floor)
+        bare = len(sign) > 1
+        if start < m.start() and (spelled and _opens(text, start) if bare else spelled or sign == _AT):
+            if bare:
+                found.append((m.start(1), m.end(1), "@"))
+            found += [(a, b, ".") for a, b in dots]
+            while start - 5 >= floor and _BARE_DOT.fullmatch(text, start - 5, start):
+                word = _word_start(text, start - 5, floor)
+                if word == start - 5 or not _opens(text, word):
+                    break
+                found.append((start - 5, start, "."))
+                start = word
+            at = floor = max(m.end(1), dots[-1][1] if dots else 0)
+        else:
+            at = m.end(1) - bare  # its last space can open the next one
+            floor = at
+    return found
+
+
 def _replacements(text: str) -> list[tuple[int, int, str]]:
     """Disguises in ``text`` (already one-to-one plain): (start, end, what it stands for), by start, without overlap."""
+    if _AT in text or _DOT in text:
+        text = text.translate(_NO_MARKS)
     found: list[tuple[int, int, str]] = []
     low = text.lower()
     for m in _SPELLED_RUN.finditer(text):
         parts = [(p.lastindex, p.group().lower()) for p in _SPELLED_PART.finditer(m.group())]
         found.append((m.start(), m.end(), "".join(_SPELLED.get(w, w) if k == 1 else {2: ".", 3: "+", 4: "-"}[k] for k, w in parts)))
     if "at" in low and "dot" in low or any(c in text for c in "[({<"):
-        found += [(m.start(), m.end(), "@" if m.group(1) else ".") for m in _BRACKETED.finditer(text)]
-    if " dot " in low or "\tdot" in low or "\ndot" in low:
-        for m in _BARE.finditer(text):
-            found.append((m.start(2), m.end(2), "@"))
-            found += [(m.start(4) + d.start(), m.start(4) + d.end(), ".") for d in _BARE_DOT.finditer(m.group(4))]
-        for m in _AT_THEN_DOT.finditer(text):
-            found += [(m.start(2) + d.start(), m.start(2) + d.end(), ".") for d in _BARE_DOT.finditer(m.group(2))]
-    out, done = [], 0
-    for a, b, w in sorted(found, key=lambda x: (x[0], -x[1])):
-        if a >= done:
-            out.append((a, b, w))
-            done = b
-    return out
+        found += [(m.start(), m.end(), _AT if m.group(1) else _DOT) for m in _BRACKETED.finditer(text)]
+    found = _apart(found)
+    marked = any(w in (_AT, _DOT) for _, _, w in found)
+    if marked or " dot " in low or "\tdot" in low or "\ndot" in low:
+        shown, pieces = _applied(text, found)
+        at = [p[0] for p in pieces]
+        found = _apart(found + [(*_source(pieces, at, a, b), w) for a, b, w in _bare(shown)])
+    return [(a, b, w.translate(_MARKS)) for a, b, w in found] if marked else found
 
 
 def plain_form(text: str) -> tuple[str, list[tuple[int, int, int, bool]]]:
     """The plain form and its pieces in order: (start in it, start in the source, end in the source, is a replacement)."""
     shown = text if text.isascii() else text.translate(_PLAIN)
-    pieces, parts, at, done = [], [], 0, 0
-    for a, b, w in _replacements(shown):
-        if a > done:
-            pieces.append((at, done, a, False))
-            parts.append(shown[done:a])
-            at += a - done
-        pieces.append((at, a, b, True))
-        parts.append(w)
-        at += len(w)
-        done = b
-    pieces.append((at, done, len(text), False))
-    parts.append(shown[done:])
-    return "".join(parts), pieces
+    return _applied(shown, _replacements(shown))
 
 
 def _source(pieces: list[tuple[int, int, int, bool]], at: list[int], start: int, end: int) -> tuple[int, int]:

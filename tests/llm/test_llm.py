@@ -207,6 +207,25 @@ def test_disguises(text, span):
     assert not base and span in pii.written(everything).split(",")
 
 
+@pytest.mark.parametrize("text", [
+    "jane (at) site dot org", "jane at site [dot] org", "jane dot roe at site dot org", "jane dot roe (at) site (dot) org", "jane [dot] roe at site dot org", "jane dot roe [at] mail dot site (dot) org", "jane at mail.site dot org", "jane@site dot org",
+    "jane dot roe@site dot org", "jane dot m dot roe\tat site dot org", "jane [at] site.org",
+])
+def test_disguises_of_mixed_kinds(text):
+    for before, after in (("", ""), ("mail (", ")"), ("look at this, ", ", or call"), ("It's at: ", "\nthen at noon")):
+        base, everything = pii.spans(before + text + after)
+        assert not base and pii.written(everything) == f"email:{len(before)}:{len(before) + len(text)}", (before, text)
+
+
+@pytest.mark.parametrize("text", ["we met at site.org today", "look at the end dot", "a dot at the end of site.org", "\ufdd0 site\ufdd1org a\ufdd0b\ufdd1c"])
+def test_bare_at_needs_a_disguised_dot(text):
+    assert pii.spans(text)[1] == []
+
+
+def test_base_span_is_not_run_on():
+    assert pii.written(pii.spans("mail jane@site.org dot matrix printers")[1]) == "email:5:18"
+
+
 def test_span_that_the_base_rule_cuts_short():
     base, everything = pii.spans("mail jаne@site.org")
     assert pii.written(base) == "email:7:18" and pii.written(everything) == "email:5:18,email:7:18"
