@@ -125,6 +125,21 @@ def test_incident_groups_equal_a_loop(spark, data):
     assert got == expected
 
 
+def test_overlaps_of_whole_tables(spark, data):
+    """All orders in both roles, against a loop; no key of the join holds more than a day of a namespace."""
+    o = spark.read.parquet(f"{data}/orders.parquet").select((F.col("o_custkey") % 50).alias("namespace"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("start"), F.col("o_orderkey").alias("id"))
+    a, b = (o.withColumn("end", F.col("start") + 86400 * d).withColumnRenamed("id", f"{n}_id") for n, d in (("a", 3), ("b", 2)))
+    spaces = defaultdict(list)
+    for r in o.collect():
+        spaces[r["namespace"]].append((r["start"], r["id"]))
+    expected = sorted((i, j) for rows in spaces.values() for s, i in rows for t, j in rows if s < t + 86400 * 2 and t < s + 86400 * 3)
+    found = analysis.overlapping(a, b)
+    assert set(found.columns) == {"namespace", "a_start", "a_end", "a_id", "b_start", "b_end", "b_id"}
+    assert sorted((r["a_id"], r["b_id"]) for r in found.collect()) == expected
+    keys = [x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in x]
+    assert keys and all("_cell" in k for k in keys)
+
+
 @pytest.mark.parametrize(("step", "kinds"), [(7, (3, 5, 4)), (20, (40, 30, 1000)), (0.5, (6, 1000, 1000))])
 def test_groups_of_a_steady_log(spark, monkeypatch, step, kinds):
     """No silence ends a run here: the log must still be folded in parts of bounded size, with the same groups as in one loop."""
