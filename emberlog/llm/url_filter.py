@@ -8,6 +8,7 @@ precedence over any block; without either, the page is allowed.
 
 Rules are parameters (their number is bounded by the caller and they become one expression); edges,
 components and decisions stay in tables. Only URLs that have an edge take part in the components.
+URLs are one node if they are alike after scheme and host are lower-cased, dot segments resolved and the fragment cut.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule and has no alias;
 null html has no links; repeated pages are judged each; edges to oneself say nothing.
@@ -45,6 +46,24 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def resolved_path(path: Column) -> Column:
+    """The path without ``.`` and ``..`` segments, as RFC 3986 (5.2.4) removes them; an empty path is ``/``."""
+    parts = F.slice(F.split(path, "/", -1), 2, F.greatest(F.size(F.split(path, "/", -1)) - 1, F.lit(0)))
+    up = lambda acc: F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
+    step = lambda acc, x: F.when(x == ".", acc).when(x == "..", up(acc)).otherwise(F.concat(acc, F.array(x)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    folder = F.element_at(parts, -1).isin(".", "..")
+    text = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(folder & (F.size(kept) > 0), "/").otherwise(""))
+    return F.when(path == "", "/").when(path.rlike(r"/\.\.?(/|$)"), text).otherwise(path)
+
+
+def normal_url(url: Column) -> Column:
+    """The key under which a URL is an alias: scheme and host lower-cased, dot segments resolved, no fragment."""
+    scheme = F.translate(F.regexp_extract(url, r"(?s)^(.*?)://", 1), UPPER, LOWER)
+    search = F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)?", 1)
+    return F.when(url.contains("://"), F.concat(scheme, F.lit("://"), host_of(url), resolved_path(path_of(url)), search)).otherwise(url)
+
+
 def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     """Struct (rule, verdict) of the longest rule that fits, or null. Length: host and path together; more host labels win ties."""
     ranked = sorted(rules, key=lambda r: (-len(r.host + r.path), -r.host.count(".")))
@@ -68,7 +87,8 @@ def _absolute(target: Column, base: Column) -> Column:
     scheme, root = F.regexp_extract(base, r"(?s)^([^:]*:)//", 1), F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)", 1)
     return (
-        F.when(target.contains("://"), target).when(target.startswith("//"), F.concat(scheme, target)).when(target.startswith("/"), F.concat(root, target))
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.startswith("//"), F.concat(scheme, target)).when(target.startswith("/"), F.concat(root, target))
+        .when(target == "", base).when(target.startswith("#"), F.concat(F.regexp_extract(base, r"(?s)^([^#]*)", 1), target)).when(target.startswith("?"), F.concat(F.regexp_extract(base, r"(?s)^([^?#]*)", 1), target))
         .otherwise(F.concat(folder, F.when(folder.endswith("/"), F.lit("")).otherwise(F.lit("/")), target))
     )
 
@@ -85,8 +105,8 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
 
 def alias_verdicts(edges: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """``url, alias_verdict`` for every URL with an edge to another: allow if any alias is explicitly allowed, else block if any is blocked."""
-    edges = materialise(edges.select("a", "b"), "links")
+    """``url`` (normalised)``, alias_verdict`` for every URL with an edge to another: allow if any alias is explicitly allowed, else block if any is blocked."""
+    edges = materialise(edges.select(normal_url(F.col("a")).alias("a"), normal_url(F.col("b")).alias("b")).filter("a is not null and b is not null"), "links")
     parts = materialise(connected_components(edges), "parts")
     own = matching_rule(host_of(F.col("node")), path_of(F.col("node")), rules)["verdict"]
     said = parts.select("component", own.alias("own")).groupBy("component").agg(F.max(F.col("own") == "allow").alias("allowed"), F.max(F.col("own") == "block").alias("blocked"))
@@ -102,5 +122,5 @@ def judge_pages(pages: DataFrame, rules: Sequence[Rule] = RULES, *, redirects: D
     verdicts = materialise(alias_verdicts(edges, rules), "verdicts").withColumnRenamed("url", "alias_url")
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rows = rows.withColumn("own", matching_rule(F.col("host"), F.col("path"), rules))
-    rows = rows.join(verdicts, F.col("url") == F.col("alias_url"), "left")
+    rows = rows.join(verdicts, normal_url(F.col("url")) == F.col("alias_url"), "left")
     return rows.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", "alias_verdict", F.lit("allow")).alias("verdict"))

@@ -307,6 +307,21 @@ def test_aliases_take_decisions(spark):
     assert got == {k: v[3] for k, v in brute_verdicts([dict(zip(("page_id", "url", "html"), r, strict=True)) for r in rows]).items()}
 
 
+def test_aliases_that_are_written_differently(spark):
+    link = '<html><link rel="canonical" href="{}"></html>'
+    rows = [(1, "http://a.org/x", link.format("http://B.org/p/q")), (2, "HTTP://b.org/p/q#top", link.format("http://c.net/es/1")), (3, "http://d.org/s/t/u", link.format("../v#end")), (4, "http://d.org/s/v", link.format("http://C.net/es/./1")),
+            (5, "http://e.org/k/m?q=1#f", link.format("?q=2")), (6, "http://e.org/k/m?q=2", link.format("//c.net/x/../es/1")), (7, "http://f.org/k?q=1", link.format("#part")), (8, "http://F.org", link.format("http://c.net/es/1#a")),
+            (9, "http://f.org/#z", None), (10, "http://g.org/A", link.format("http://c.net/es/1")), (11, "http://g.org/a", None), (12, "http://h.org/o/p", link.format("to?u=http://x.org/")), (13, "http://h.org/o/to?u=http://x.org/", link.format("./../../../../n")),
+            (14, "http://h.org/n", link.format("http://c.net/es/1"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r for r in url_filter.judge_pages(pages).collect()}
+    assert {k: r["verdict"] for k, r in found.items()} == {k: "allow" if k in (7, 11) else "block" for k in range(1, 15)}
+    assert {k: (r["host"], r["path"]) for k, r in found.items()} == {r[0]: split_url(r[1]) for r in rows}
+    cases = ["http://Q.org/a/./b/../c/..", "http://q.org/..", "http://q.org", "http://q.org/a//b/../c?x=/../y#z", "http://q.org/a/..b/.c/..."]
+    got = [r["n"] for r in spark.createDataFrame(enumerate(cases), "i int, u string").select("i", url_filter.normal_url(F.col("u")).alias("n")).orderBy("i").collect()]
+    assert got == ["http://q.org/a/", "http://q.org/", "http://q.org/", "http://q.org/a//c?x=/../y", "http://q.org/a/..b/.c/..."]
+
+
 # --- 7 substring dedup ---
 
 
