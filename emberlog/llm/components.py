@@ -1,9 +1,10 @@
 """Connected components by alternating large-star and small-star rounds, all in joins and aggregates.
 
-Every round is a group-by of each node's least neighbour (combined before the shuffle) and a join
-back, so a hub with a third of all edges is a skewed join, which adaptive execution splits, and
-never one task's list of neighbours. Rounds end when the edges stop changing: about log^2 of the
-longest path at most. Each round is written to the shared folder and the round before is deleted.
+Every round finds each node's least neighbour by a group-by (combined before the shuffle), writes
+that table, and joins it back. As the least neighbours are read from a table, both sides of the join
+are plain exchanges, and adaptive execution can split a hub with a third of all edges; with the
+group-by between exchange and join it could not. Rounds end when the edges stop changing: about log^2
+of the longest path at most. Each round is written to the shared folder and the round before is deleted.
 """
 
 from __future__ import annotations
@@ -14,6 +15,17 @@ from pyspark.sql import functions as F
 from emberlog.llm.shared import drop, materialise
 
 
+def large_star(sides: DataFrame, least: DataFrame) -> DataFrame:
+    """Each node's larger neighbours, linked to the least of the node and its neighbours. ``least`` is a written table."""
+    return sides.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+
+
+def small_star(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Each node's smaller neighbours and the node itself, linked to the least of them. ``least`` is a written table."""
+    down = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    return down.filter("u != v")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """``node, component`` (the least node of the component) for every node that has an edge to another one.
 
@@ -28,14 +40,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
             break
         seen = state
         sides = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = sides.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        large = materialise(large, "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        down = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        following = materialise(down.filter("u != v").distinct(), "edges")
-        drop(current)
-        drop(large)
+        least = materialise(sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = materialise(large_star(sides, least).distinct(), "edges")
+        lower = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        following = materialise(small_star(large, lower).distinct(), "edges")
+        drop(current, least, large, lower)
         current = following
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -8,9 +8,13 @@ so that the totals are met exactly. A source's j-th slot takes block ``perm(j mo
 blocks, where ``perm`` is a pseudorandom permutation (swap-or-not shuffle) with a key for each
 pass over the source. Slots and documents then meet in an equi-join on (source, block).
 
+No step holds a source, or all sources, in one task: draws are counted by (shard, source), counts are summed over
+spans of shards, and the slots are laid out and permuted after these few rows are dealt out by shard.
+
 Defined results: null or wordless texts have size 0 and are never taken; a null source is a
 source of its own, after all others; rows alike in id and text are documents of their own;
-columns other than the three named are ignored; an empty table gives an empty result.
+columns other than the three named are ignored; an empty table gives an empty result. A text of any length is counted
+in one pass of a regular expression and travels no further in ``mix``; in ``mixed_blocks`` a document's words are an array.
 """
 
 from __future__ import annotations
@@ -18,12 +22,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.shared import WORD, materialise
+from emberlog.llm.shared import WORD, materialise, running
 
 #: A document's words may be taken this many times at most, and so may a source's.
 MAX_REPEATS = 3
 #: Hash groups into which every source's documents are dealt to number their words without one task per source.
 CHUNKS = 4096
+#: Shards whose counts are summed in one window.
+SPAN = 4096
+#: Slots that a task lays out and permutes, about.
+TASK_SLOTS = 1 << 18
 ROUNDS = 24
 
 
@@ -37,73 +45,80 @@ def source_targets(sizes: DataFrame, source: str = "source") -> DataFrame:
     Weights are 1, 2, 3, repeating. A target is ``min(3 x size, level x weight)`` for the one level at which
     targets sum to all sizes; that is what resharing the excess by weight until none is above ends in. Sorted by
     size over weight, the capped sources come first, and the level is the largest of the levels
-    ``(total - caps before) / weights from here``. The windows run over one row per source.
+    ``(total - caps before) / weights from here``.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    everything = Window.partitionBy(F.lit(0))
-    ratio = Window.orderBy("ratio", "pos")
     src = sizes.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"))
-    src = src.withColumn("pos", (F.row_number().over(by_name) - 1).cast("long"))
-    src = src.withColumn("weight", (F.col("pos") % 3 + 1).cast("double"))
-    src = src.withColumn("cap", F.col("source_size") * F.lit(float(MAX_REPEATS))).withColumn("ratio", F.col("cap") / F.col("weight"))
-    src = src.withColumn("total", F.sum("source_size").over(everything))
-    caps_before = F.coalesce(F.sum("cap").over(ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    weights_from = F.sum("weight").over(ratio.rowsBetween(0, Window.unboundedFollowing))
-    src = src.withColumn("level", (F.col("total") - caps_before) / weights_from)
-    src = src.withColumn("target", F.least("cap", F.col("weight") * F.max("level").over(everything)))
-    return src.select("source", "pos", "source_size", "target")
+    src = running(src, [F.col("source").asc_nulls_last()], {}, rank="pos")
+    src = src.withColumn("weight", F.col("pos") % 3 + 1).withColumn("cap", F.col("source_size") * MAX_REPEATS).withColumn("ratio", F.col("cap") / F.col("weight"))
+    src = materialise(running(src, ["ratio", "pos"], {"cap": "caps_before", "weight": "weights_before"}), "ratios")
+    total, weights = src.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    level = src.agg(F.max((F.lit(total) - F.col("caps_before")) / (F.lit(weights) - F.col("weights_before")))).first()[0] or 0.0
+    return src.select("source", "pos", "source_size", F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(level)).alias("target"))
+
 
+def permute(df: DataFrame, x: str, n: str, key: str, rounds: int = ROUNDS) -> DataFrame:
+    """``df`` with column ``x`` (0..n-1) replaced by its place under a keyed permutation of 0..n-1, for any n (swap-or-not shuffle).
 
-def permuted(x: Column, n: Column, key: Column) -> Column:
-    """Swap-or-not shuffle: a keyed permutation of 0..n-1 for any n, as an expression."""
+    A round is a projection of its own, so that all of them are compiled.
+    """
+    for r in range(rounds):
+        partner = F.pmod(F.pmod(F.xxhash64(key, F.lit(r)), F.col(n)) - F.col(x), F.col(n))
+        df = df.withColumn("_partner", partner)
+        coin = F.xxhash64(key, F.lit(r), F.greatest(x, "_partner")).bitwiseAND(F.lit(1))
+        df = df.withColumn(x, F.when(coin == 1, F.col("_partner")).otherwise(F.col(x)))
+    return df.drop("_partner") if rounds else df
 
-    def round_(at: Column, r: Column) -> Column:
-        partner = F.pmod(F.pmod(F.xxhash64(key, r), n) - at, n)
-        coin = F.xxhash64(key, r, F.greatest(at, partner)).bitwiseAND(F.lit(1))
-        return F.when(coin == 1, partner).otherwise(at)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), x, round_)
+def _in_cells(intervals: DataFrame, low: str, high: str, width: int) -> DataFrame:
+    """The intervals [low, high) that are not empty, once for each cell of ``width`` that they meet."""
+    last = F.floor((F.col(high) - 1) / width)
+    return intervals.filter(F.col(high) > F.col(low)).withColumn("cell", F.explode(F.sequence(F.floor(F.col(low) / width), last)))
 
 
-def _interval(ends: Column, x: Column) -> Column:
-    """Index of the first of the rising ``ends`` that is above x."""
-    return F.size(F.filter(ends, lambda e: e <= x)).cast("long")
+def _within(points: DataFrame, at: str, intervals: DataFrame, low: str, high: str, span: int, n: int) -> DataFrame:
+    """Each point with the one interval of a row of ``n`` intervals over 0..span-1 that it lies in: an equi-join on cells.
+
+    There are four cells an interval, so a cell meets 1.25 intervals in the mean, and cells are of equal width: no hot key.
+    """
+    width = max(1, -(-span // (4 * max(1, n))))
+    met = points.withColumn("cell", F.floor(F.col(at) / width)).join(_in_cells(intervals, low, high, width), "cell")
+    return met.filter((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("cell")
 
 
 def draw_slots(sources: DataFrame, n_slots: int, shard_slots: int, seed: int) -> DataFrame:
     """Every slot of the mix: ``shard``, ``pos`` (of its source), ``block``."""
     spark = sources.sparkSession
-    ordered = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("pos", F.col(c).alias("v")))), lambda x: x["v"])
-    running = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    ends = sources.withColumn("end", F.sum("slots").over(running)).agg(ordered("end")).scalar()
-
-    slot = spark.range(n_slots)
-    uniform = F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), F.col("id")), F.lit(n_slots))
-    slot = slot.withColumn("ends", ends).withColumn("u", uniform)
-    drawn = slot.select(F.floor(F.col("id") / shard_slots).alias("shard"), _interval(F.col("ends"), F.col("u")).alias("pos"))
+    ends = materialise(running(sources, ["pos"], {"slots": "low"}).withColumn("high", F.col("low") + F.col("slots")), "ends")
+    n = ends.count()
+    uniform = F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), F.col("id")), F.lit(max(1, n_slots)))
+    slot = spark.range(n_slots).select(F.floor(F.col("id") / shard_slots).alias("shard"), uniform.alias("u"))
+    drawn = _within(slot, "u", ends.select("pos", "low", "high"), "low", "high", n_slots, n)
     counts = materialise(drawn.groupBy("shard", "pos").agg(F.count("*").alias("n")), "draws")
 
-    sums = sources.join(counts.groupBy("pos").agg(F.sum("n").alias("drawn")), "pos", "left").fillna(0, ["drawn"])
-    before = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sources.select("pos", "slots", "n_blocks").join(counts.groupBy("pos").agg(F.sum("n").alias("drawn")), "pos", "left").fillna(0, ["drawn"])
     over, short = F.greatest(F.col("drawn") - F.col("slots"), F.lit(0)), F.greatest(F.col("slots") - F.col("drawn"), F.lit(0))
-    sums = sums.withColumn("over", over).withColumn("short", short)
-    sums = sums.withColumn("over_before", F.coalesce(F.sum("over").over(before), F.lit(0)))
-    sums = materialise(sums.withColumn("short_end", F.sum("short").over(running)), "sums")
-    short_ends, short_sizes, drawn_all, blocks_all = (sums.agg(ordered(c)).scalar() for c in ("short_end", "short", "drawn", "n_blocks"))
-
-    per_source = Window.partitionBy("pos").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    filled = counts.withColumn("first", F.coalesce(F.sum("n").over(per_source), F.lit(0))).join(sums, "pos")
-    filled = filled.select("shard", "pos", "slots", "over_before", "n_blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("j"))
+    sums = running(sums.withColumn("over", over).withColumn("short", short), ["pos"], {"over": "over_before", "short": "short_low"})
+    sums = materialise(sums.withColumn("short_high", F.col("short_low") + F.col("short")), "sums")
+    n_over = sums.agg(F.coalesce(F.sum("over"), F.lit(0))).first()[0]
+
+    # A source's draws are numbered through its shards: first the spans of shards, then the shards of each span
+    before = lambda *key: Window.partitionBy(*key).rowsBetween(Window.unboundedPreceding, -1)
+    spans = counts.groupBy("pos", F.floor(F.col("shard") / SPAN).alias("span")).agg(F.sum("n").alias("n"))
+    spans = materialise(spans.select("pos", "span", F.coalesce(F.sum("n").over(before("pos").orderBy("span")), F.lit(0)).alias("span_first")), "spans")
+    counts = counts.withColumn("span", F.floor(F.col("shard") / SPAN))
+    counts = counts.withColumn("first", F.coalesce(F.sum("n").over(before("pos", "span").orderBy("shard")), F.lit(0))).join(spans, ["pos", "span"])
+    firsts = materialise(counts.select("shard", "pos", "n", (F.col("first") + F.col("span_first")).alias("first")), "firsts")
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_slots // TASK_SLOTS))
+    filled = firsts.join(sums.select("pos", "slots", "over_before", "n_blocks"), "pos").repartition(tasks, "shard")
+    filled = filled.withColumn("j", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
     kept = filled.filter(F.col("j") < F.col("slots")).select("shard", "pos", "j", "n_blocks")
     excess = filled.filter(F.col("j") >= F.col("slots")).select("shard", (F.col("over_before") + F.col("j") - F.col("slots")).alias("e"))
-    excess = excess.withColumn("ends", short_ends).withColumn("to", _interval(F.col("ends"), F.col("e")).cast("int"))
-    moved = excess.select(
-        "shard", F.col("to").cast("long").alias("pos"),
-        (F.get(drawn_all, F.col("to")) + F.col("e") - F.get(short_ends, F.col("to")) + F.get(short_sizes, F.col("to"))).alias("j"),
-        F.get(blocks_all, F.col("to")).alias("n_blocks"),
-    )
-    key = F.xxhash64(F.lit(seed), F.col("pos"), F.floor(F.col("j") / F.col("n_blocks")))
-    return kept.unionByName(moved).select("shard", "pos", permuted(F.col("j") % F.col("n_blocks"), F.col("n_blocks"), key).alias("block"))
+    moved = _within(excess, "e", sums.select("pos", "n_blocks", "drawn", "short_low", "short_high"), "short_low", "short_high", n_over, n)
+    moved = moved.select("shard", "pos", (F.col("drawn") + F.col("e") - F.col("short_low")).alias("j"), "n_blocks")
+    slots = kept.unionByName(moved).withColumn("key", F.xxhash64(F.lit(seed), F.col("pos"), F.floor(F.col("j") / F.col("n_blocks"))))
+    slots = permute(slots.withColumn("block", F.col("j") % F.col("n_blocks")), "block", "n_blocks", "key").select("shard", "pos", "block")
+    return materialise(slots, "slots")  # a condition that a later join puts on block would be written out through all rounds
 
 
 def place_words(sizes: DataFrame, sources: DataFrame) -> DataFrame:
@@ -129,7 +144,6 @@ def _plan(docs: DataFrame, block_words: int, shard_slots: int, seed: int, doc_id
     src = src.withColumn("slots", F.when(F.col("source_size") > 0, F.round(F.col("target") * F.col("n_blocks") / F.col("source_size"))).otherwise(0).cast("long"))
     src = materialise(src, "sources")
     n_slots = src.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("n")).first()["n"]
-    shard_slots = max(shard_slots, -(-n_slots // 65536))
     return sizes, src, draw_slots(src, n_slots, shard_slots, seed)
 
 
@@ -160,4 +174,4 @@ def mixed_blocks(docs: DataFrame, *, block_words: int = 128, shard_slots: int =
     return slots.join(blocks, ["pos", "block"]).select("shard", "source", "block", "text")
 
 
-__all__ = ["mix", "mixed_blocks", "permuted", "source_targets", "word_count"]
+__all__ = ["mix", "mixed_blocks", "permute", "source_targets", "word_count"]

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberlog.llm.shared import drop, materialise, release
+from emberlog.llm.shared import brief_shuffles, drop, materialise
 from emberlog.llm.words import WordHashes, sequences, slices
 
 PAIR_ROUNDS = 3
@@ -204,46 +204,47 @@ def _kept(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_text`` (the words that stay, joined by a space), one row per document. ``doc_id`` is a whole number."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(F.col(text)).alias("tie"), F.col(text).alias("text"))
+def _removed(rows: DataFrame, window: int) -> DataFrame:
+    """What to remove from texts (id, tie): all of it, or windows at these places. A text that loses nothing has no row.
+
+    Each step is a table of its own: a join with a finished aggregate can be split where a key is hot, and what a step read goes.
+    """
     survey = rows.select("id", "tie", "text").mapInArrow(lambda it: _survey(window, it), "id long, tie long, seq string, n_words long, keys array<long>")
     survey = materialise(survey.withColumn("kind", F.xxhash64("seq")), "survey")
-    least = survey.groupBy("seq").agg(F.min(F.struct("id", "tie")).alias("least"))
-    names = survey.select("id", "tie", "kind", "seq").distinct().join(least, "seq").select("id", "tie", "kind", "seq", F.col("least.id").alias("least_id"), F.col("least.tie").alias("least_tie"))
+    least = materialise(survey.groupBy("seq").agg(F.min(F.struct("id", "tie")).alias("least")), "least")
+    names = survey.select("id", "tie", "kind", "seq").join(least, "seq").select("id", "tie", "kind", "seq", F.col("least.id").alias("least_id"), F.col("least.tie").alias("least_tie")).distinct()
     names = materialise(names, "names")
     first_of = (F.col("id") == F.col("least_id")) & (F.col("tie") == F.col("least_tie"))
     speakers = names.filter(first_of).select("id", "tie", "kind")
 
-    # Each step is a table of its own: a join with a finished aggregate can be split where a key is hot, and what a step read goes.
     own_keys = survey.filter(F.size("keys") > 0).select("id", "tie", "keys").join(speakers, ["id", "tie"]).select("kind", "keys").dropDuplicates(["kind"])
     own_keys = materialise(own_keys, "keys")
+    drop(survey, least)
     keys = own_keys.select("kind", F.explode("keys").alias("key"))
-    drop(survey)
-    release(spark)
     shared = materialise(keys.groupBy("key").agg(F.min("kind").alias("x"), F.max("kind").alias("y")).filter("x != y").select("key"), "shared")
-    release(spark)
     wanted = materialise(keys.join(shared, "key").groupBy("kind").agg(F.collect_set("key").alias("wanted")).join(speakers, "kind"), "wanted")
-    drop(own_keys)
-    drop(shared)
-    release(spark)
+    drop(own_keys, shared)
 
-    texts = rows.select("doc_id", "id", "tie", packed("text").alias("text"))
+    texts = rows.select("id", "tie", packed("text").alias("text"))
     candidates = texts.join(wanted.withColumnsRenamed({"id": "w_id", "tie": "w_tie"}), F.col("id").eqNullSafe(F.col("w_id")) & F.col("tie").eqNullSafe(F.col("w_tie")))
     windows = candidates.select("id", "kind", "text", "wanted").mapInArrow(lambda it: _windows(window, it), "id long, kind long, a long, b long, at int")
     windows = materialise(windows, "windows")
     drop(wanted)
-    release(spark)
     first = windows.groupBy("a", "b").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("a", "b", "first")
     first = materialise(first, "first")
-    release(spark)
     hits = windows.join(first, ["a", "b"]).filter("id > first").groupBy("id", "kind").agg(F.collect_list("at").alias("at"))
     partly = names.filter(F.col("id") == F.col("least_id")).select("id", "tie", "kind").join(hits, ["id", "kind"]).select("id", "tie", F.lit(False).alias("everything"), "at")
     copies = names.filter(F.col("id") > F.col("least_id")).select("id", "tie", F.lit(True).alias("everything"), F.lit(None).cast("array<int>").alias("at"))
-    removed = materialise(copies.unionByName(partly), "removed").withColumnsRenamed({"id": "r_id", "tie": "r_tie"})
-    drop(windows)
-    drop(first)
-    release(spark)
+    removed = materialise(copies.unionByName(partly), "removed")
+    drop(windows, first, names)
+    return removed
+
+
+def remove_repeats(docs: DataFrame, *, window: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n_words, n_removed, kept_text`` (the words that stay, joined by a space), one row per document. ``doc_id`` is a whole number."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(F.col(text)).alias("tie"), F.col(text).alias("text"))
+    with brief_shuffles(docs.sparkSession):
+        removed = _removed(rows, window).withColumnsRenamed({"id": "r_id", "tie": "r_tie"})
+    texts = rows.select("doc_id", "id", "tie", packed("text").alias("text"))
     judged = texts.join(removed, F.col("id").eqNullSafe(F.col("r_id")) & F.col("tie").eqNullSafe(F.col("r_tie")), "left")
     return judged.select("doc_id", "text", "everything", "at").mapInArrow(lambda it: _kept(window, it), "doc_id long, n_words long, n_removed long, kept_text string")
