@@ -7,6 +7,7 @@ markup), the classifier (training). The tests hold these against brute force, ro
 from __future__ import annotations
 
 from emberlog.llm.decontaminate import WINDOW
+from emberlog.llm.line_dedup import MIN_WORDS as MIN_WORDS_OF_A_LINE
 from emberlog.llm.quality_rules import MAX_REPEAT_PERCENT, MIN_WORDS, REPEAT_WINDOW, SYMBOLS
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -20,7 +21,8 @@ l AS (SELECT doc_id, unnest(v) AS line, generate_subscripts(v, 1) AS ix FROM s),
 w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ix) AS pos FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 p AS (SELECT doc_id, pos, line AS a, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM w),
 f AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, pos) AS r FROM p WHERE b IS NOT NULL),
-gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM f, (VALUES (0), (1)) t(k) WHERE r > 1),
+long AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS r FROM w WHERE len(regexp_extract_all(line, '{_WORD}')) >= {MIN_WORDS_OF_A_LINE}),
+gone AS (SELECT doc_id, pos + k AS pos FROM f, (VALUES (0), (1)) t(k) WHERE r > 1 UNION SELECT doc_id, pos FROM long WHERE r > 1),
 gl AS (SELECT w.doc_id, w.ix FROM w JOIN gone USING (doc_id, pos)),
 kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY ix) AS t FROM l ANTI JOIN gl USING (doc_id, ix) GROUP BY doc_id),
 n AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id), g AS (SELECT doc_id, count(*) AS n FROM gl GROUP BY doc_id)
