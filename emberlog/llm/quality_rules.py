@@ -10,13 +10,11 @@ Text figures come from an Arrow UDF over whole texts; the host table is one smal
 measured size is under Spark's broadcast threshold.
 
 Defined results: a null text has no words and so fails; a null source is no host and gets no
-host verdict; repeated rows count as often as they occur.
+host verdict; repeated rows count as often as they occur; a very long text costs 8 bytes a word and its lines.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,43 +22,51 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberlog.llm.shared import materialise
+from emberlog.llm.words import SLICE_CHARS, word_slices
 
 # Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 MIN_WORDS = 10
 REPEAT_WINDOW = 5
+_WEIGHTS = np.random.default_rng(5).integers(1, 1 << 63, REPEAT_WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MAX_REPEAT_PERCENT = 20
 
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def repeat_words(words: list[bytes]) -> int:
-    """Words in windows of REPEAT_WINDOW words that occur twice or more among ``words``, all occurrences counted."""
-    n, k = len(words), REPEAT_WINDOW
+def repeat_words(hashes: np.ndarray) -> int:
+    """Words in windows of REPEAT_WINDOW words that occur twice or more, all occurrences counted. ``hashes``: 64 bits a word.
+
+    A window goes by a sum of its words' hashes with odd weights, so two that differ are one with a chance of 2^-64.
+    """
+    n, k = len(hashes), REPEAT_WINDOW
     if n <= k:
         return 0
-    windows = list(zip(*(words[i:] for i in range(k)), strict=False))
-    if len(set(windows)) == len(windows):
+    windows = np.zeros(n - k + 1, np.uint64)
+    for i, weight in enumerate(_WEIGHTS):
+        windows += hashes[i : n - k + 1 + i] * weight
+    ordered = np.sort(windows)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(twice):
         return 0
-    counts = Counter(windows)
-    covered = np.zeros(n + 1, dtype=np.int64)
-    for i, w in enumerate(windows):
-        if counts[w] > 1:
-            covered[i] += 1
-            covered[min(i + k, n)] -= 1
-    return int((np.cumsum(covered[:n]) > 0).sum())
+    marked = np.isin(windows, twice)
+    covered = np.zeros(n, bool)
+    for i in range(k):
+        covered[i : n - k + 1 + i] |= marked
+    return int(covered.sum())
 
 
-def figures(text: str | None) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a whole text."""
+def figures(text: str | None, limit: int = SLICE_CHARS) -> tuple[int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a whole text. Of a very long text the hashes of words are kept (8 bytes each), not the words."""
     if not text:
         return 0, 0, 0, 0, 0
-    words = text.encode().split()
+    parts = [np.fromiter(map(hash, words), np.int64, len(words)) for words in word_slices(text, limit)]
+    hashes = (np.concatenate(parts) if len(parts) > 1 else parts[0]).view(np.uint64)
     chars = len(text) - sum(map(text.count, SPACES))
     symbols = sum(map(text.count, SYMBOLS))
-    lines = [x for x in text.split("\n") if x.encode().split(None, 1)]
-    return len(words), chars, symbols, len(lines) - len(set(lines)), repeat_words(words)
+    lines = [x for x in text.split("\n") if x.encode().split(None, 1)] if "\n" in text else []
+    return len(hashes), chars, symbols, len(lines) - len(set(lines)), repeat_words(hashes)
 
 
 @F.pandas_udf(T.StructType([T.StructField(x, T.LongType()) for x in FIGURES]))
@@ -78,15 +84,13 @@ def host_rates(failures: DataFrame, host: str, failed: str) -> DataFrame:
     """``host, n, k, rate``: documents, failures and shrunk failure rate of every host that has a name."""
     hosts = failures.filter(F.col(host).isNotNull()).groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), F.sum(F.col(failed).cast("long")).alias("k"))
     hosts = materialise(hosts, "hosts")
-    overall = hosts.agg(F.sum("k").alias("fails"), F.sum("n").alias("docs"), F.avg(F.lit(1.0) / F.col("n")).alias("inv"))
-    stats = hosts.join(F.broadcast(overall)).withColumn("mean", F.col("fails") / F.col("docs"))  # one row
-    prior = stats.groupBy("mean", "inv").agg(F.avg(F.pow(F.col("k") / F.col("n") - F.col("mean"), 2)).alias("spread"))
-    noise = F.col("mean") * (1 - F.col("mean"))
-    between = F.greatest(F.col("spread") - noise * F.col("inv"), noise * F.lit(1e-6))
-    strength = F.when(between <= 0, F.lit(1.0)).otherwise(F.greatest(noise / between - 1, F.lit(1.0)))
-    prior = prior.select("mean", strength.alias("strength"))
-    rate = (F.col("k") + F.col("mean") * F.col("strength")) / (F.col("n") + F.col("strength"))
-    return hosts.join(F.broadcast(prior)).select("host", "n", "k", rate.alias("rate"))  # one row
+    fails, total, inverse = hosts.agg(F.sum("k"), F.sum("n"), F.avg(F.lit(1.0) / F.col("n"))).first()
+    mean = (fails or 0) / total if total else 0.0
+    spread = hosts.agg(F.avg(F.pow(F.col("k") / F.col("n") - F.lit(mean), 2))).first()[0] or 0.0
+    noise = mean * (1 - mean)
+    between = max(spread - noise * (inverse or 0.0), noise * 1e-6)
+    strength = max(noise / between - 1, 1.0) if between > 0 else 1.0
+    return hosts.select("host", "n", "k", ((F.col("k") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))).alias("rate"))
 
 
 def rejected_hosts(failures: DataFrame, host: str, failed: str, max_host_rate: float) -> DataFrame:

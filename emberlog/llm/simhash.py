@@ -1,19 +1,28 @@
 """SimHash near-dedup by anchor-point covering.
 
-A fingerprint has 64 bits. If two differ in two bits or fewer, then in one of their halves of 32
-bits they differ in one bit or none. In each half, 31 bits are covered by the Hamming code
-[31, 26], whose words are the anchors (covering radius 1), and the last bit stands for itself. A
-fingerprint's home is the anchor nearest to it. It is copied to every anchor within covering
-radius plus threshold, 1 + 1 = 2 (about 16 of the 2^27 anchors of each half), and the comparison
-of homes with copies, anchor by anchor, finds every pair: the nearest anchor of one is within
-radius + threshold of the other. Only pairs within the threshold leave the join. Linked
+A fingerprint has 64 bits. Of two that differ in ``max_bits`` t of them or fewer, each half of 32 bits takes a
+share. There are two cases for each half.
+
+- The half differs in one bit at most. 31 of its bits are covered by the Hamming code [31, 26], whose words are
+  the anchors (covering radius 1), and its last bit stands for itself. A fingerprint's home is the anchor
+  nearest to it; it is copied to every anchor within covering radius plus threshold, 1 + 1 = 2 (about 17 of the 2^27
+  anchors). The nearest anchor of one is within radius + threshold of the other. The other half then differs in
+  t - 1 bits at most, so that one of t blocks of it is equal in both: the block's bits are part of the anchor.
+- The half is equal in both (radius and threshold 0: it is its own anchor). The other half differs in t bits at
+  most, and one of t + 1 blocks of it, again part of the anchor, is equal.
+
+For t = 2 one bit in either half is one case, so anchors of one half are enough: 42 rows a fingerprint, and an anchor
+says 43 bits or more, so that two fingerprints that are not close hardly ever meet. The
+comparison of homes with copies, anchor by anchor, finds every pair; only pairs within the threshold leave the
+join. Homes and copies are read from a table, and a hot anchor is a skewed join, which adaptive execution splits. Linked
 fingerprints become groups by distributed connected components over distinct fingerprints; exact
 copies of a fingerprint are one node, so groups of copies of any size add no pairs.
 
-The first n parameters: ``shingle`` words to a shingle, ``max_bits`` (at most 3: then one half differs
-in one bit at most). Defined results: texts without words (null, too) have fingerprint zero and link
+Parameters: ``shingle`` words to a shingle, ``max_bits`` (0 to 3; more would need a third case and is refused).
+Defined results: texts without words (null, too) have fingerprint zero and link
 like any other; a null id is passed over when the least id of a group is taken, and a group without
-any id has a null component; rows that repeat an id are links of one group if their texts are.
+any id has a null component; rows that repeat an id are links of one group if their texts are; a very long text is
+worked on in slices, which hold its words and shingles a few million characters at a time.
 """
 
 from __future__ import annotations
@@ -30,28 +39,35 @@ from pyspark.sql import types as T
 
 from emberlog.llm.components import connected_components
 from emberlog.llm.shared import materialise
+from emberlog.llm.words import SLICE_CHARS, word_slices
 
 SEED = 42
 CODE_BITS = 31
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
+def fingerprint(text: str | None, shingle: int = 3, limit: int = SLICE_CHARS) -> int:
     """SimHash of a whole text, as a signed 64-bit integer: a bit is set if it is in over half of the shingles' XXH64."""
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return 0
-    if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
-    else:
-        digest, joined = xxhash.xxh64_intdigest, memoryview(b" ".join(words))
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate(([0], ends[:-1]))
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - shingle].tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)]
-    h = np.array(hashes, dtype="<u8")
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(h), 1 << 16):
-        ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
+    digest, ones, total, carry = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64), 0, []
+
+    def count(hashes: list[int]) -> None:
+        nonlocal ones, total
+        h = np.array(hashes, dtype="<u8")
+        for i in range(0, len(h), 1 << 16):
+            ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        total += len(h)
+
+    for part in word_slices(text, limit):
+        words = carry + [w.lower() for w in part] if carry else b" ".join(part).lower().split()
+        carry = words[max(0, len(words) - shingle + 1) :] if shingle > 1 else []
+        if len(words) >= shingle:
+            joined = memoryview(b" ".join(words))
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+            starts = np.concatenate(([0], ends[:-1]))
+            last = len(words) - shingle + 1
+            count([digest(joined[a:b], SEED) for a, b in zip(starts[:last].tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)])
+    if not total and carry:  # fewer words than a shingle has
+        count([digest(b" ".join(carry), SEED)])
+    return int(np.packbits(2 * ones > total, bitorder="little").view("<i8")[0])
 
 
 @F.pandas_udf(T.LongType())
@@ -87,26 +103,49 @@ def near_anchors(half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(index), np.concatenate(anchors)
 
 
-def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _block(half: np.ndarray, k: int, n: int) -> np.ndarray:
+    """Bits of the k-th of n blocks of a half, with the block's number."""
+    low, high = 32 * k // n, 32 * (k + 1) // n
+    return ((half >> low) & ((1 << (high - low)) - 1)) | (k << 32)
+
+
+#: What a row is at its anchor: its home, a copy, or both (equal halves).
+HOME, COPY, BOTH = 1, 2, 3
+
+
+def _copies(max_bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The anchor as two numbers: the half's anchor with the case's number, and the other half's block with the block's number."""
+
+    def rows(case: int, anchor: np.ndarray, block: np.ndarray, fp: np.ndarray, role: int) -> pa.RecordBatch:
+        columns = [anchor | np.int64(case << 32), block, fp, np.full(len(fp), role, np.int8)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "block", "fp", "role"])
+
     for batch in batches:
         f = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         bits = f.view(np.uint64)
+        halves = [((bits >> np.uint64(32 * side)) & np.uint64(0xFFFFFFFF)).astype(np.int64) for side in (0, 1)]
         for side in (0, 1):
-            half = ((bits >> np.uint64(32 * side)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            tag = np.int64(side) << 32
-            index, anchors = near_anchors(half)
-            homes = home_anchors(half)
-            yield pa.RecordBatch.from_arrays([pa.array(homes | tag), pa.array(f), pa.array(np.ones(len(f), bool))], names=["anchor", "fp", "home"])
-            yield pa.RecordBatch.from_arrays([pa.array(anchors | tag), pa.array(f[index]), pa.array(np.zeros(len(index), bool))], names=["anchor", "fp", "home"])
+            half, other = halves[side], halves[1 - side]
+            for k in range(max_bits + 1):
+                yield rows(2 + side, half, _block(other, k, max_bits + 1), f, BOTH)
+            if max_bits > 1 and (side == 0 or max_bits > 2):
+                index, anchors = near_anchors(half)
+                homes = home_anchors(half)
+                for k in range(max_bits):
+                    block = _block(other, k, max_bits)
+                    yield rows(side, homes, block, f, HOME)
+                    yield rows(side, anchors, block[index], f[index], COPY)
 
 
 def linked_pairs(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     """Pairs (a > b) of the distinct values of ``fp`` that differ in ``max_bits`` bits or fewer."""
-    copies = materialise(fps.mapInArrow(_copies, "anchor long, fp long, home boolean"), "anchors")
-    homes = copies.filter("home").select("anchor", F.col("fp").alias("a"))
-    near = copies.filter("not home").select("anchor", F.col("fp").alias("b"))
+    if not 0 <= max_bits <= 3:
+        raise ValueError("max_bits must be 0 to 3")
+    copies = materialise(fps.mapInArrow(lambda it: _copies(max_bits, it), "anchor long, block long, fp long, role byte"), "anchors")
+    homes = copies.filter(F.col("role") != COPY).select("anchor", "block", F.col("fp").alias("a"))
+    near = copies.filter(F.col("role") != HOME).select("anchor", "block", F.col("fp").alias("b"))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    met = homes.join(near, "anchor").filter(close & (F.col("a") != F.col("b")))
+    met = homes.join(near, ["anchor", "block"]).filter(close & (F.col("a") != F.col("b")))
     return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -35,6 +36,21 @@ def split(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
+_SPACE = re.compile(r"[\x20\x09-\x0D]")
+
+
+def word_slices(text: str | None, limit: int = SLICE_CHARS) -> Iterator[list[bytes]]:
+    """The words of a text in turn, from about ``limit`` characters at a time, so that the words of a very long text are never all in memory."""
+    start = 0
+    while text and start < len(text):
+        end = len(text)
+        if end - start > limit:
+            cut = _SPACE.search(text, start + limit)
+            end = cut.start() if cut else end
+        yield text[start:end].encode().split()
+        start = end
+
+
 def slices(batch: pa.RecordBatch, text: int, size: Callable[[memoryview], int] = len, limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """Parts of a batch that hold ``limit`` characters or one row, whichever is more. ``size``: a text's length from its bytes."""
     column = batch.column(text)
