@@ -4,19 +4,25 @@ The automaton holds all substrings of the normalised test items, over words. Tra
 through it; after each word its state and the length matched so far say the longest end of the text so far that
 is in an item. Where that length reaches the window, or a whole short item ends, the words are hit.
 
-The items come in shards of at most ``shard_words`` words, so that what is broadcast has a bound; one
-pass over the documents per shard, and the hits of all passes are united. Benchmarks fit one shard as a rule, and then
-the documents are read once and nothing but the result moves. Stretches of text in which no two neighbouring words
+A Spark job deals the items out to shards of about ``shard_words`` words (an item that is longer is cut into pieces that
+overlap by a window less one word, which loses no window), and a task builds the automaton of each shard as
+arrays. The driver holds one shard's arrays at a time, to broadcast them: 100,000 words took 6 MB there,
+51 MB in each Python worker and 122 MB in the task that built them, whatever the benchmark's size. A benchmark of one shard, as is usual, is one pass over the documents in which
+nothing but the result moves. A larger one takes a pass per shard: each writes the few rows that have hits, its broadcast is
+released before the next pass, and the hits of all passes are united by a row number. Stretches of text in which no two neighbouring words
 are neighbours in an item too are passed over by array comparisons, without a step of the automaton.
 
 Defined results: null and wordless texts and items have no words and no hit; a null item id matches
-as any other, and is left out of the list of ids; rows that repeat an item id count once.
+as any other, and is left out of the list of ids; rows that repeat an item id count once; repeated documents are judged each;
+columns are carried along whatever their names are; of a very long text the word numbers are kept (8 bytes each) and its words a slice at a time.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -25,7 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from emberlog.llm.shared import drop, materialise, running
+
 WINDOW = 13
+#: Words of items in one automaton; this bounds what the driver holds and what is broadcast.
+SHARD_WORDS = 100_000
+#: Bytes of a text whose words are looked up at a time.
+SLICE = 3_000_000
 FOUND = ["emberlog_n", "emberlog_spans", "emberlog_items"]
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -35,163 +47,216 @@ def normalised(text: str | None) -> list[bytes]:
     return text.encode().translate(_BYTES).split() if text else []
 
 
-class SuffixAutomaton:
-    """Generalised suffix automaton of items, as word numbers; ``window`` is the length from which a match counts."""
+class Arrays(NamedTuple):
+    """A finished automaton: what tasks build, and what is broadcast."""
+
+    window: int
+    shortest: int  # words of the shortest item
+    items: list[str | None]
+    vocabulary: list[bytes]
+    pairs: np.ndarray  # neighbouring words, as one number each, sorted
+    keys: np.ndarray  # steps: state x words + word, sorted
+    to: np.ndarray  # and the state that each leads to
+    link: np.ndarray
+    length: np.ndarray
+    top: np.ndarray  # of states of a window's length or more: the state on the chain of links that the last ``window`` words are in; else -1
+    ends: dict[int, list[int]]  # top state -> long items with a window that ends in it
+    shorts: dict[int, dict[int, list[int]]]  # state -> length -> short items that are this state's last words
 
-    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
-        self.window = window
-        self.vocabulary: dict[bytes, int] = {}
-        self.step: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        self.items = [i for i, _ in items]
-        self.ends: list[set[int]] = [set()]  # long items with an end position in this very state
-        self.whole: list[set[int]] = [set()]  # short items that are this state's longest word sequence or end in it
-        pairs = set()
-        words_of = []
-        for number, (_, words) in enumerate(items):
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
-            words_of.append(ids)
-            pairs.update(zip(ids, ids[1:], strict=False))
-            last = 0
-            for w in ids:
-                last = self._extend(last, w)
-                if len(ids) >= window:
-                    self.ends[last].add(number)
-        self.shortest = min((len(x) for x in words_of if x), default=0)
-        order = sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True)
-        for s in order:  # a state's items end in the states that its link leads to as well
-            if self.link[s] > 0:
-                self.ends[self.link[s]] |= self.ends[s]
-        short: dict[int, set[int]] = {}
-        for number, ids in enumerate(words_of):
-            if 0 < len(ids) < window:
-                state = 0
-                for w in ids:
-                    state = self.step[state][w]
-                short.setdefault(state, set()).add(number)
-                self.whole[state].add(number)
-        self.short_lengths = {s: {len(words_of[i]) for i in found} for s, found in short.items()}
-        v = max(1, len(self.vocabulary))
-        self.pairs = np.array(sorted(a * v + b for a, b in pairs), dtype=np.int64)
-        self._chain: dict[int, list[int]] = {}
 
-    def _state(self, length: int, link: int, step: dict[int, int]) -> int:
-        self.step.append(step)
-        self.link.append(link)
-        self.length.append(length)
-        self.ends.append(set())
-        self.whole.append(set())
-        return len(self.length) - 1
-
-    def _clone(self, p: int, w: int, q: int) -> int:
-        c = self._state(self.length[p] + 1, self.link[q], dict(self.step[q]))
-        self.link[q] = c
-        while p >= 0 and self.step[p].get(w) == q:
-            self.step[p][w] = c
-            p = self.link[p]
+def build(items: list[tuple[str | None, list[bytes]]], window: int = WINDOW) -> Arrays:
+    """Generalised suffix automaton of items, as word numbers; ``window`` is the length from which a match counts."""
+    vocabulary: dict[bytes, int] = {}
+    step: list[dict[int, int]] = [{}]
+    link, length = [-1], [0]
+
+    def state(n: int, to: int, steps: dict[int, int]) -> int:
+        step.append(steps)
+        link.append(to)
+        length.append(n)
+        return len(length) - 1
+
+    def clone(p: int, w: int, q: int) -> int:
+        c = state(length[p] + 1, link[q], dict(step[q]))
+        link[q] = c
+        while p >= 0 and step[p].get(w) == q:
+            step[p][w] = c
+            p = link[p]
         return c
 
-    def _extend(self, last: int, w: int) -> int:
-        q = self.step[last].get(w)
+    def extend(last: int, w: int) -> int:
+        q = step[last].get(w)
         if q is not None:
-            return q if self.length[q] == self.length[last] + 1 else self._clone(last, w, q)
-        new = self._state(self.length[last] + 1, 0, {})
-        p = last
-        while p >= 0 and w not in self.step[p]:
-            self.step[p][w] = new
-            p = self.link[p]
+            return q if length[q] == length[last] + 1 else clone(last, w, q)
+        new, p = state(length[last] + 1, 0, {}), last
+        while p >= 0 and w not in step[p]:
+            step[p][w] = new
+            p = link[p]
         if p >= 0:
-            q = self.step[p][w]
-            self.link[new] = q if self.length[q] == self.length[p] + 1 else self._clone(p, w, q)
+            q = step[p][w]
+            link[new] = q if length[q] == length[p] + 1 else clone(p, w, q)
         return new
 
+    sequences, pairs = [], set()
+    for _, words in items:
+        ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words]
+        sequences.append(ids)
+        pairs.update(zip(ids, ids[1:], strict=False))
+        last = 0
+        for w in ids:
+            last = extend(last, w)
+    v = max(1, len(vocabulary))
+    top = np.full(len(length), -1, np.int64)
+    for s in sorted(range(1, len(length)), key=length.__getitem__):
+        if length[s] >= window:
+            top[s] = s if length[link[s]] < window else top[link[s]]
+    # Every window of an item ends in one state; its items are kept at that state's top, and nowhere else
+    ends: dict[int, set[int]] = {}
+    shorts: dict[int, dict[int, set[int]]] = {}
+    for number, ids in enumerate(sequences):
+        s = 0
+        for n, w in enumerate(ids, 1):
+            s = step[s][w]
+            if n >= window and len(ids) >= window:
+                ends.setdefault(int(top[s]), set()).add(number)
+        if 0 < len(ids) < window:
+            shorts.setdefault(s, {}).setdefault(len(ids), set()).add(number)
+    flat = sorted((s * v + w, to) for s, steps in enumerate(step) for w, to in steps.items())
+    keys, to = (np.array([x[k] for x in flat], np.int64) for k in (0, 1))
+    return Arrays(
+        window, min((len(x) for x in sequences if x), default=0), [i for i, _ in items], list(vocabulary), np.array(sorted(a * v + b for a, b in pairs), np.int64), keys, to.astype(np.int32),
+        np.array(link, np.int32), np.array(length, np.int32), top.astype(np.int32), {s: sorted(x) for s, x in ends.items()}, {s: {n: sorted(x) for n, x in y.items()} for s, y in shorts.items()},
+    )
+
+
+class Matcher:
+    """Streams words through an automaton."""
+
+    def __init__(self, arrays: Arrays):
+        self.a = arrays
+        self.vocabulary = {w: i for i, w in enumerate(arrays.vocabulary)}
+        self.size = max(1, len(arrays.vocabulary))
+        self.step = dict(zip(arrays.keys.tolist(), arrays.to.tolist(), strict=True))
+        self._chain: dict[int, list[int]] = {}
+
+    def numbers(self, text: str | None) -> np.ndarray:
+        """The text's words as numbers; -1 for words that are in no item."""
+        raw = text.encode().translate(_BYTES) if text else b""
+        parts, start, get = [], 0, self.vocabulary.get
+        while start < len(raw):
+            end = raw.find(b" ", start + SLICE)
+            end = len(raw) if end < 0 else end
+            words = raw[start:end].split()
+            parts.append(np.fromiter((get(w, -1) for w in words), np.int64, len(words)))
+            start = end
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
     def _shorts(self, state: int) -> list[int]:
         """States on the chain of links from here (this one first) in which a short item ends."""
         found = self._chain.get(state)
         if found is None:
             found, s = [], state
             while s > 0:
-                if s in self.short_lengths:
+                if s in self.a.shorts:
                     found.append(s)
-                s = self.link[s]
-            self._chain[state] = found
+                s = int(self.a.link[s])
+            if len(self._chain) < 100_000:
+                self._chain[state] = found
         return found
 
     def _stretches(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
         """Stretches [a, b) of the text that can hold a match of the shortest item's length."""
-        if not self.shortest or not len(ids):
+        shortest, pairs = self.a.shortest, self.a.pairs
+        if not shortest or not len(ids):
             return
-        if self.shortest == 1:
+        if shortest == 1:
             ok, extra = ids >= 0, 0
         else:
-            code = np.where((ids[:-1] >= 0) & (ids[1:] >= 0), ids[:-1] * max(1, len(self.vocabulary)) + ids[1:], -1)
-            at = np.minimum(np.searchsorted(self.pairs, code), max(0, len(self.pairs) - 1))
-            ok, extra = (self.pairs[at] == code) if len(self.pairs) else np.zeros(len(code), bool), 1
+            code = np.where((ids[:-1] >= 0) & (ids[1:] >= 0), ids[:-1] * self.size + ids[1:], -1)
+            at = np.minimum(np.searchsorted(pairs, code), max(0, len(pairs) - 1))
+            ok, extra = (pairs[at] == code) if len(pairs) else np.zeros(len(code), bool), 1
         edge = np.diff(np.concatenate(([0], ok.astype(np.int8), [0])))
-        least = min(self.shortest, self.window)
+        least = min(shortest, self.a.window)
         for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
             if b - a + extra >= least:
                 yield int(a), int(b) + extra
 
-    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
+    def hits(self, ids: np.ndarray) -> tuple[list[tuple[int, int]], set[int]]:
         """Hit spans (may overlap) and numbers of the items with an occurring window."""
         spans: list[tuple[int, int]] = []
         items: set[int] = set()
-        ids = np.fromiter((self.vocabulary.get(w, -1) for w in words), np.int64, len(words))
+        link, length, top, ends, shorts, window = self.a.link, self.a.length, self.a.top, self.a.ends, self.a.shorts, self.a.window
         for a, b in self._stretches(ids):
             state = matched = 0
-            for i in range(a, b):
-                w = int(ids[i])
-                while state and w not in self.step[state]:
-                    state = self.link[state]
-                    matched = self.length[state]
-                if (follow := self.step[state].get(w)) is None:
+            for i, w in enumerate(ids[a:b].tolist(), a):
+                if w < 0:
+                    state = matched = 0
+                    continue
+                follow = self.step.get(state * self.size + w)
+                while follow is None and state:
+                    state = int(link[state])
+                    matched = int(length[state])
+                    follow = self.step.get(state * self.size + w)
+                if follow is None:
                     continue
                 state, matched = follow, matched + 1
-                if matched >= self.window:
-                    s = state
-                    while self.length[self.link[s]] >= self.window:
-                        s = self.link[s]
-                    if self.ends[s]:
-                        spans.append((i + 1 - self.window, i + 1))
-                        items |= self.ends[s]
-                for s in self._shorts(state):
-                    for n in self.short_lengths[s]:
+                if matched >= window and (found := ends.get(int(top[state]))):
+                    spans.append((i + 1 - window, i + 1))
+                    items.update(found)
+                for s in self._shorts(state) if shorts else ():
+                    for n, found in shorts[s].items():
                         if n <= matched:
                             spans.append((i + 1 - n, i + 1))
-                            items |= self.whole[s]
+                            items.update(found)
         return spans, items
 
 
-def _shards(benchmark: DataFrame, item_id: str, text: str, shard_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
-    """The items in shards of at most ``shard_words`` words (a longer item is a shard of its own), streamed through the driver one at a time."""
-    shard, size = [], 0
-    for row in benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).filter("t is not null").toLocalIterator():
-        words = normalised(row["t"])
-        if shard and size + len(words) > shard_words:
-            yield shard
-            shard, size = [], 0
-        if words:
-            shard.append((row["i"], words))
-            size += len(words)
-    if shard:
-        yield shard
-
-
-def _scan(automaton, carry_text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The text is the first column; the others are carried along."""
-    found = automaton.value
+def _pieces(window: int, shard_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items as (item, piece, words, n): one piece, or several that overlap by a window less one word."""
+    for batch in batches:
+        rows = []
+        for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words = normalised(text)
+            most = max(shard_words, 2 * window)
+            for k, start in enumerate(range(0, max(1, len(words) - window + 1), most - window + 1)):
+                if part := words[start : start + most]:
+                    rows.append((item, k, b" ".join(part), len(part)))
+        cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
+        kinds = (pa.string(), pa.int64(), pa.binary(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["item", "piece", "words", "n"])
+
+
+def automata(benchmark: DataFrame, *, window: int = WINDOW, item_id: str = "item_id", text: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
+    """A row per shard: ``shard`` and ``arrays`` (pickled). Items go to shards in the order of (id, hash of the words), repeated ones once."""
+    items = benchmark.select(F.col(item_id).cast("string"), F.col(text)).filter(F.col(text).isNotNull())
+    pieces = items.mapInArrow(lambda it: _pieces(window, shard_words, it), "item string, piece long, words binary, n long").distinct()
+    pieces = running(pieces.withColumn("hash", F.xxhash64("words")), ["item", "hash", "piece", "words"], {"n": "before"})
+    pieces = pieces.withColumn("shard", F.floor(F.col("before") / shard_words))
+
+    def made(group: pd.DataFrame) -> pd.DataFrame:
+        rows = [(i, w.split()) for i, w in zip(group["item"], group["words"], strict=True)]
+        return pd.DataFrame({"shard": group["shard"].iloc[:1], "arrays": [pickle.dumps(build(rows, window), 5)]})
+
+    return materialise(pieces.groupBy("shard").applyInPandas(made, "shard long, arrays binary"), "automata")
+
+
+def _scan(broadcast, keep: int, only_hits: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text is the first column; the last ``keep`` columns are carried along."""
+    found = Matcher(pickle.loads(broadcast.value)) if broadcast else None
     for batch in batches:
-        n, spans, items = [], [], []
+        rows, n, spans, items = [], [], [], []
         for i in range(batch.num_rows):
-            words = normalised(batch.column(0)[i].as_py())
-            s, which = found.hits(words)
-            n.append(len(words))
-            spans.append([{"a": a, "b": b} for a, b in _united(s)])
-            items.append(sorted({found.items[k] for k in which} - {None}))
-        skip = 0 if carry_text else 1
+            ids = found.numbers(batch.column(0)[i].as_py()) if found else np.zeros(len(normalised(batch.column(0)[i].as_py())))
+            s, which = found.hits(ids) if found else ([], set())
+            if s or not only_hits:
+                rows.append(i)
+                n.append(len(ids))
+                spans.append([{"a": a, "b": b} for a, b in _united(s)])
+                items.append(sorted({found.a.items[k] for k in which} - {None}) if which else [])
         arrays = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(items, pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays([*batch.columns[skip:], *arrays], names=[*batch.schema.names[skip:], *FOUND])
+        kept = batch.select(range(batch.num_columns - keep, batch.num_columns))
+        kept = kept if len(rows) == batch.num_rows else kept.take(pa.array(rows, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*kept.columns, *arrays], names=[*kept.schema.names, *FOUND])
 
 
 def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -205,33 +270,48 @@ def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+_FOUND = [T.StructField("emberlog_n", T.LongType()), T.StructField("emberlog_spans", _SPANS), T.StructField("emberlog_items", T.ArrayType(T.StringType()))]
+
+
+@F.pandas_udf(_SPANS)
+def _unite(spans: pd.Series) -> pd.Series:
+    return pd.Series([[{"a": a, "b": b} for a, b in _united([(s["a"], s["b"]) for s in row])] for row in spans], dtype=object)
 
 
-@F.udf(_SPANS)
-def _unite(p, q):
-    return _united([(s["a"], s["b"]) for s in [*p, *q]])
+def _pass(docs: DataFrame, arrays: bytes | None, keep: list[str], only_hits: bool):
+    """One pass over ``emberlog_text`` and the columns ``keep``, and its broadcast."""
+    sent = docs.sparkSession.sparkContext.broadcast(arrays) if arrays else None
+    schema = T.StructType([*(docs.schema[c] for c in keep), *_FOUND])
+    n = len(keep)
+    return docs.select("emberlog_text", *keep).mapInArrow(lambda it: _scan(sent, n, only_hits, it), schema), sent
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, keep: list[str] | None = None, window: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text", shard_words: int = 2_000_000) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, *, keep: list[str] | None = None, window: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all by default), and ``emberlog_n`` (words), ``emberlog_spans`` (hit word spans a..b,
     apart and in order) and ``emberlog_items`` (ids of items with an occurring window)."""
-    spark = docs.sparkSession
     keep = docs.columns if keep is None else keep
-    out = docs.select(F.col(text).alias("emberlog_text"), *keep)
-    shards = _shards(benchmark, item_id, item_text, shard_words)
-    shard, rounds = next(shards, []), 0
-    while True:
-        following = next(shards, None)
-        automaton, carry = spark.sparkContext.broadcast(SuffixAutomaton(shard, window)), following is not None
-        schema = T.StructType([*out.schema.fields[0 if carry else 1 :], T.StructField("emberlog_n", T.LongType()), T.StructField("emberlog_spans", _SPANS), T.StructField("emberlog_items", T.ArrayType(T.StringType()))])
-        out = out.mapInArrow(lambda it, x=automaton, c=carry: _scan(x, c, it), schema)
-        if rounds:
-            out = out.withColumn("emberlog_spans", _unite("emberlog_old_spans", "emberlog_spans")).withColumn("emberlog_items", F.array_distinct(F.concat("emberlog_old_items", "emberlog_items")))
-            out = out.drop("emberlog_old_spans", "emberlog_old_items")
-        if following is None:
-            return out
-        out = out.drop("emberlog_n").withColumnsRenamed({"emberlog_spans": "emberlog_old_spans", "emberlog_items": "emberlog_old_items"})
-        shard, rounds = following, rounds + 1
+    rows = docs.select(F.col(text).alias("emberlog_text"), *keep)
+    shards = automata(benchmark, window=window, item_id=item_id, text=item_text, shard_words=shard_words)
+    numbers = [r["shard"] for r in shards.select("shard").orderBy("shard").collect()]  # one number a shard
+    arrays = lambda k: bytes(shards.filter(F.col("shard") == k).first()["arrays"])
+    if len(numbers) < 2:
+        return _pass(rows, arrays(numbers[0]) if numbers else None, keep, False)[0]
+    rows = materialise(rows.withColumn("emberlog_row", F.monotonically_increasing_id()), "rows")
+    passes = []
+    for k in numbers:
+        found, sent = _pass(rows, arrays(k), ["emberlog_row"], True)
+        passes.append(materialise(found, "hits"))
+        sent.destroy()
+    hits = passes[0]
+    for p in passes[1:]:
+        hits = hits.unionByName(p)
+    hits = hits.groupBy("emberlog_row").agg(F.flatten(F.collect_list("emberlog_spans")).alias("s"), F.array_distinct(F.flatten(F.collect_list("emberlog_items"))).alias("emberlog_items"))
+    hits = materialise(hits.select("emberlog_row", _unite("s").alias("emberlog_spans"), "emberlog_items"), "hits")
+    drop(shards, *passes)
+    counted = _pass(rows, None, ["emberlog_row", *keep], False)[0].select("emberlog_row", *keep, "emberlog_n")
+    found = counted.join(hits, "emberlog_row", "left")
+    none = F.array().cast(_SPANS), F.array().cast("array<string>")
+    return found.select(*keep, "emberlog_n", F.coalesce("emberlog_spans", none[0]).alias("emberlog_spans"), F.coalesce("emberlog_items", none[1]).alias("emberlog_items"))
 
 
 def n_hit():
