@@ -10,12 +10,18 @@ content-length, checks that a record ends where its gzip member ends, and verifi
 payload digests as the bytes pass. It never holds more than one record's header and, on request,
 its payload. Archives are opened with pyarrow's file systems (file, hdfs, s3, gs), by URI.
 
+It reads other writers' archives too: records of any type (their payload is the block, or what follows the headers of an HTTP
+message), with or without digests, in base 32 or hexadecimal, of SHA-1, SHA-256, SHA-512 or MD5 (others are passed over), and HTTP
+messages with or without a content-length. A response that is not cut short and has no digest is held to its content-length; of an encoded
+body the stored bytes are the payload. Records that don't have our ids get a null page_id.
+
 Equal payloads of ``min_revisit`` bytes or more are stored once: the record with the largest id is a
 response, others are revisits that refer to it. The choice is an aggregate on digests (combined
 before the shuffle, only digests that occur twice remain) and a join back.
 
 Defined results: null html is an empty payload; a null id is less than any other; rows that
-repeat the largest id with the same payload are responses all.
+repeat the largest id with the same payload are responses all; other columns are not stored; a very long payload is inflated and
+hashed a chunk at a time when it is read, and is in memory once when its record is written.
 """
 
 from __future__ import annotations
@@ -43,10 +49,17 @@ MANIFEST = "path string, records long, bytes long"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 
 
+#: Bytes of an HTTP message's headers that are looked into at most; the rest is passed over, as long as it may be.
+HEAD_BYTES = 1 << 20
+_DIGESTS = {"sha1": hashlib.sha1, "sha256": hashlib.sha256, "sha-256": hashlib.sha256, "sha512": hashlib.sha512, "md5": hashlib.md5}
+
+
 class Record(NamedTuple):
+    """``payload_bytes`` and ``payload_digest`` (SHA-1) are those of the full payload, of a revisit too if its headers say them."""
+
     headers: dict[str, str]
     payload_bytes: int
-    payload_digest: str
+    payload_digest: str | None
     payload: bytes | None
 
 
@@ -59,7 +72,8 @@ def _urn(page_id: int | None) -> str:
 
 
 def _page(urn: str) -> int | None:
-    return int(x) if (x := urn.removeprefix("<urn:page:").removesuffix(">")) else None
+    number = urn.removeprefix("<urn:page:").removesuffix(">")
+    return int(number) if number.removeprefix("-").isdecimal() else None
 
 
 def _one_line(value: str) -> str:
@@ -132,35 +146,97 @@ class _Members:
             raise ValueError("record does not end where its content-length says")
 
 
+def _hex_digest(value: str | None) -> tuple[str, str] | None:
+    """Algorithm and lower-case hex of a labelled digest, or None if there is none that can be checked."""
+    name, _, text = (value or "").partition(":")
+    name = name.strip().lower()
+    if name not in _DIGESTS or not text:
+        return None
+    width = 2 * _DIGESTS[name]().digest_size
+    if len(text) == width:
+        return name, text.lower()
+    try:
+        return name, base64.b32decode(text.upper() + "=" * (-len(text) % 8)).hex()
+    except ValueError:
+        return None
+
+
+class _Checked:
+    """Digests of bytes as they pass: SHA-1, and the one that a header says."""
+
+    def __init__(self, said: str | None):
+        self.said = _hex_digest(said)
+        self.sha1 = hashlib.sha1()
+        self.other = _DIGESTS[self.said[0]]() if self.said and self.said[0] != "sha1" else self.sha1
+
+    def update(self, chunk: bytes) -> None:
+        self.sha1.update(chunk)
+        if self.other is not self.sha1:
+            self.other.update(chunk)
+
+    def wrong(self) -> bool:
+        return self.said is not None and self.other.hexdigest() != self.said[1]
+
+
+class _Http:
+    """Finds the end of an HTTP message's headers in chunks, and the content-length that they say."""
+
+    def __init__(self):
+        self.head, self.open, self.length = bytearray(), True, None
+
+    def body(self, chunk: bytes) -> bytes:
+        if not self.open:
+            return chunk
+        self.head += chunk
+        at = self.head.find(CRLF + CRLF, max(0, len(self.head) - len(chunk) - 3))
+        if at < 0:
+            if len(self.head) > HEAD_BYTES:
+                del self.head[:-3]  # too long to look into; its end still counts
+            return b""
+        self.open, rest = False, bytes(self.head[at + 4 :])
+        for line in bytes(self.head[:at]).split(CRLF)[1:]:
+            name, _, value = line.partition(b":")
+            if name.strip().lower() == b"content-length" and value.strip().isdigit():
+                self.length = int(value)
+        self.head = bytearray()
+        return rest
+
+
 def read_records(file: IO[bytes], with_payload: bool = False) -> Iterator[Record]:
     members = _Members(file)
     while members.start():
-        if not members.line().startswith(b"WARC/1."):
+        if not members.line().startswith(b"WARC/"):
             raise ValueError("not a WARC record")
-        headers = {}
+        headers: dict[str, str] = {}
         while line := members.line():
-            name, _, value = line.decode().partition(":")
-            headers[name.lower()] = value.strip()
-        block, payload, size, head, held = hashlib.sha1(), hashlib.sha1(), 0, b"", []
-        in_head, full = True, 0
+            name, colon, value = line.decode("utf-8", "replace").partition(":")
+            if colon:
+                headers[name.strip().lower()] = value.strip()
+        kind, named = headers.get("warc-type", ""), headers.get("warc-record-id", "a record")
+        if not headers.get("content-length", "").isdecimal():
+            raise ValueError(f"{named} has no content-length")
+        http = _Http() if headers.get("content-type", "").lower().startswith("application/http") else None
+        block, payload, size, held = _Checked(headers.get("warc-block-digest")), _Checked(headers.get("warc-payload-digest")), 0, []
         for chunk in members.take(int(headers["content-length"])):
             block.update(chunk)
-            if in_head:
-                head += chunk
-                if (at := head.find(CRLF + CRLF)) < 0:
-                    continue
-                in_head, chunk, head = False, head[at + 4 :], head[:at]
-                full = next(int(x.partition(":")[2]) for x in head.decode().split("\r\n")[1:] if x.lower().startswith("content-length:"))
+            if http:
+                chunk = http.body(chunk)
             payload.update(chunk)
             size += len(chunk)
             if with_payload:
                 held.append(chunk)
         members.finish()
-        digest = base64.b32decode(headers["warc-payload-digest"].removeprefix("sha1:")).hex()
-        if headers["warc-block-digest"] != f"sha1:{_base32(block.hexdigest())}":
-            raise ValueError(f"block digest of {headers['warc-record-id']} is wrong")
-        if headers["warc-type"] == "response" and (digest != payload.hexdigest() or size != full):
-            raise ValueError(f"payload of {headers['warc-record-id']} is not what its digest and length say")
+        if block.wrong():
+            raise ValueError(f"block digest of {named} is wrong")
+        full, digest = size, payload.sha1.hexdigest()
+        if kind == "revisit":  # the payload is elsewhere; the headers say what it is
+            full = http.length if http and http.length is not None else size
+            digest = payload.said[1] if payload.said and payload.said[0] == "sha1" else None
+        elif "warc-truncated" not in headers:
+            if payload.wrong():
+                raise ValueError(f"payload of {named} is not what its digest says")
+            if payload.said is None and kind == "response" and http and http.length not in (None, size):
+                raise ValueError(f"payload of {named} is not as long as its content-length says")
         yield Record(headers, full, digest, b"".join(held) if with_payload else None)
 
 
@@ -202,7 +278,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with fs.open_input_stream(at, compression=None) as file:
                 for r in read_records(file):
                     refers = r.headers.get("warc-refers-to")
-                    rows.append((_page(r.headers["warc-record-id"]), r.payload_bytes, r.payload_digest, r.headers["warc-type"], _page(refers) if refers else None, r.headers["warc-target-uri"]))
+                    rows.append((_page(r.headers.get("warc-record-id", "")), r.payload_bytes, r.payload_digest, r.headers.get("warc-type"), _page(refers) if refers else None, r.headers.get("warc-target-uri")))
                     n += 1
                     if len(rows) == 5000:
                         yield batch(rows)
