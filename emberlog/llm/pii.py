@@ -1,15 +1,21 @@
 """Personal data with offset-preserving deobfuscation.
 
-A transducer reads a whole text and writes its plain form: homoglyphs and full-width or styled
-letters and digits become ASCII, one character for one; runs of spelled digits become digits; at/dot
-disguises become ``@`` and ``.``. It keeps for each piece of the plain form the piece of the source
-it came from. Identifiers are found in the text as it is (base spans) and in its plain form; a span
-found in the plain form is mapped back to source characters and added unless it lies within a base span. Texts go through
-an Arrow UDF one by one; there is no shuffle.
+Transducers read a whole text and write its plain form, one after the other:
+
+1. characters that are not one for one: character references (``&#64;``) become their character, zero-width characters,
+   soft hyphens and combining marks go, and compatibility characters become what they stand for (``\u2488`` is ``1.``);
+2. homoglyphs and full-width or styled letters and digits become ASCII, one character for one;
+3. runs of spelled digits (with ``double`` and ``triple``) become digits; at/dot disguises, in brackets, bare or between underscores or
+   hyphens, become ``@`` and ``.``.
+
+Each keeps for every piece of its output the piece of its input it came from, and the maps are composed. Identifiers are
+found in the text as it is (base spans) and in its plain form; a span found in the plain form is mapped back to source
+characters and added unless it lies within a base span. Texts go through an Arrow UDF one by one; there is no shuffle.
 
 All scans are linear in the length of the text, also for long runs of digits or address characters.
 
-Defined results: null and empty texts have no spans; offsets are code points, end exclusive.
+Defined results: null and empty texts have no spans; offsets are code points, end exclusive; repeated rows are read each;
+other columns are ignored; a very long text is worked on whole, in memory that is a small multiple of its size.
 """
 
 from __future__ import annotations
@@ -44,39 +50,79 @@ _SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four"
 #: Spelled digits count from so many in a row on (the shortest phone number has eight digits, the shortest address four).
 _MIN_SPELLED = 4
 
+_TIMES = {"double": 2, "triple": 3}
 _DIGIT = "|".join(_SPELLED)
-_SPELLED_RUN = re.compile(rf"(?<![A-Za-z0-9])(?:plus[\x20-]{{1,3}})?(?:{_DIGIT})(?:[\x20,-]{{1,3}}(?:{_DIGIT}|dot|point|dash|[0-9](?![0-9A-Za-z]))(?![A-Za-z0-9])){{{_MIN_SPELLED - 1},}}(?![A-Za-z0-9])", re.I)
-_SPELLED_PART = re.compile(rf"({_DIGIT}|[0-9])|(dot|point)|(plus)|(dash)", re.I)
-_BRACKETED = re.compile(r"\s{0,2}[\[({<]\s?(?:(at)|(dot|period|point))\s?[\])}>]\s{0,2}", re.I)
+_ONE = rf"(?:(?:{'|'.join(_TIMES)})[\x20-]{{1,3}})?(?:{_DIGIT})"
+_SPELLED_RUN = re.compile(rf"(?<![A-Za-z0-9])(?:plus[\x20-]{{1,3}})?{_ONE}(?:[\x20,-]{{1,3}}(?:{_ONE}|dot|point|dash|[0-9](?![0-9A-Za-z]))(?![A-Za-z0-9])){{{_MIN_SPELLED - 1},}}(?![A-Za-z0-9])", re.I)
+_SPELLED_PART = re.compile(rf"({_DIGIT}|[0-9])|(dot|point)|(plus)|(dash)|({'|'.join(_TIMES)})", re.I)
+_BRACKETED = re.compile(r"\s{0,2}[\[({<]\s?(?:(at|@)|(dot|period|point|\.))\s?[\])}>]\s{0,2}", re.I)
+#: An at between underscores or hyphens, with a domain behind it that has a dot of the same make.
+_JOINED_AT = re.compile(r"([_-])at\1(?=([A-Za-z0-9]+(?:(?:\1dot\1|\.)[A-Za-z0-9]+)+))", re.I)
 # What bracketed marks become while bare ones are looked for, as that asks which at and dot the writer disguised.
 _AT, _DOT = "\ufdd0", "\ufdd1"
 _MARKS = str.maketrans(_AT + _DOT, "@.")
 _NO_MARKS = str.maketrans(_AT + _DOT, "\ufffd\ufffd")
+# References by name to the signs that identifiers have.
+_NAMED = {"commat": "@", "period": ".", "plus": "+", "lowbar": "_", "percnt": "%", "nbsp": " ", "hyphen": "-", "dash": "-", "shy": "", "ZeroWidthSpace": ""}
+_REFERENCE = re.compile(rf"&(?:#([0-9]{{1,7}})|#[xX]([0-9A-Fa-f]{{1,6}})|({'|'.join(_NAMED)}));")
 _BARE_DOT = re.compile(r"\sdot\s", re.I)
 _AT_DOMAIN = re.compile(rf"(\sat\s|[@{_AT}])([A-Za-z0-9-]+(?:(?:\sdot\s|[.{_DOT}])[A-Za-z0-9-]+)*)", re.I)
 _BEFORE_LOCAL = frozenset("[({<,;:\"'")
 
 
-class _Plain(dict):
-    """One-to-one map of characters to ASCII for str.translate, made from the compatibility forms as characters are met."""
+def _form(ch: str) -> str:
+    """What a character that is not ASCII stands for: ASCII, nothing, or itself."""
+    if ch in _LOOKALIKES:
+        return _LOOKALIKES[ch]
+    if unicodedata.category(ch) in ("Cf", "Mn", "Me") or ch == "\u3164":
+        return ""  # formats (zero width, soft hyphen, directions), marks above or around another character, and the empty letter
+    form = "".join(_LOOKALIKES.get(c, c) for c in unicodedata.normalize("NFKC", ch))
+    if form.isascii() and form:
+        return form
+    return str(unicodedata.decimal(ch)) if ch.isdecimal() else ch
+
+
+class _Forms(dict):
+    """Characters' forms, made as they are met; bounded."""
 
     def __missing__(self, code: int):
         ch = chr(code)
-        out = code
-        if code > 127:
-            form = _LOOKALIKES.get(ch) or unicodedata.normalize("NFKC", ch)
-            if len(form) == 1 and (ord(form) < 128 or (form := _LOOKALIKES.get(form, form)).isascii()):
-                out = ord(form)
-            elif ch.isdecimal():
-                out = ord(str(unicodedata.decimal(ch)))
+        out = ch if code < 128 else _form(ch)
+        if len(self) < 100_000:
+            self[code] = out
+        return out
+
+
+class _Plain(dict):
+    """One-to-one map of characters to ASCII for str.translate."""
+
+    def __missing__(self, code: int):
+        form = _FORMS[code]
+        out = ord(form) if len(form) == 1 else code
         if len(self) < 100_000:
             self[code] = out
         return out
 
 
+_FORMS = _Forms()
 _PLAIN = _Plain()
 
 
+def _uneven(text: str) -> list[tuple[int, int, str]]:
+    """Replacements of what is not one character for one: references, and characters that stand for none or for several."""
+    found = []
+    if "&" in text:
+        for m in _REFERENCE.finditer(text):
+            code = int(m.group(1)) if m.group(1) else int(m.group(2), 16) if m.group(2) else -1
+            if code < 0:
+                found.append((m.start(), m.end(), _NAMED[m.group(3)]))
+            elif 32 <= code < 0x110000 and not 0xD800 <= code < 0xE000:
+                found.append((m.start(), m.end(), _FORMS[code]))
+    if not text.isascii() and (odd := [c for c in set(text) if len(_FORMS[ord(c)]) != 1]):
+        found += [(m.start(), m.end(), _FORMS[ord(m.group())]) for m in re.finditer("[" + "".join(map(re.escape, odd)) + "]", text)]
+    return sorted(found)
+
+
 def _luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(reversed(digits)):
@@ -183,6 +229,31 @@ def _bare(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def _joined(text: str) -> list[tuple[int, int, str]]:
+    """At and dot between underscores or hyphens: ``john_at_site_dot_org``. The domain must have such a dot."""
+    found, floor = [], 0
+    for m in _JOINED_AT.finditer(text):
+        sign, dot = m.group(1), m.group(1) + "dot" + m.group(1)
+        domain = m.group(2).lower()
+        if m.start() <= floor or dot not in domain or not text[m.start() - 1].isalnum():
+            continue
+        found.append((m.start(), m.end(), _AT))
+        at = domain.find(dot)
+        while at >= 0:
+            found.append((m.start(2) + at, m.start(2) + at + len(dot), _DOT))
+            at = domain.find(dot, at + len(dot))
+        start = m.start()
+        while True:  # words before it that such dots join
+            while start > floor and text[start - 1] in _LOCAL_CHARS and text[start - 1] not in "_-":
+                start -= 1
+            if start - len(dot) <= floor or text[start - len(dot) : start].lower() != dot:
+                break
+            found.append((start - len(dot), start, _DOT))
+            start -= len(dot)
+        floor = m.end(2)
+    return sorted(found)
+
+
 def _replacements(text: str) -> list[tuple[int, int, str]]:
     """Disguises in ``text`` (already one-to-one plain): (start, end, what it stands for), by start, without overlap."""
     if _AT in text or _DOT in text:
@@ -190,9 +261,18 @@ def _replacements(text: str) -> list[tuple[int, int, str]]:
     found: list[tuple[int, int, str]] = []
     low = text.lower()
     for m in _SPELLED_RUN.finditer(text):
-        parts = [(p.lastindex, p.group().lower()) for p in _SPELLED_PART.finditer(m.group())]
-        found.append((m.start(), m.end(), "".join(_SPELLED.get(w, w) if k == 1 else {2: ".", 3: "+", 4: "-"}[k] for k, w in parts)))
-    if "at" in low and "dot" in low or any(c in text for c in "[({<"):
+        out, times = [], 1
+        for p in _SPELLED_PART.finditer(m.group()):
+            kind, w = p.lastindex, p.group().lower()
+            if kind == 5:
+                times = _TIMES[w]
+                continue
+            out.append(_SPELLED.get(w, w) * times if kind == 1 else {2: ".", 3: "+", 4: "-"}[kind])
+            times = 1
+        found.append((m.start(), m.end(), "".join(out)))
+    if "_at_" in low or "-at-" in low:
+        found += _joined(text)
+    if any(c in text for c in "[({<"):
         found += [(m.start(), m.end(), _AT if m.group(1) else _DOT) for m in _BRACKETED.finditer(text)]
     found = _apart(found)
     marked = any(w in (_AT, _DOT) for _, _, w in found)
@@ -203,34 +283,43 @@ def _replacements(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, w.translate(_MARKS)) for a, b, w in found] if marked else found
 
 
-def plain_form(text: str) -> tuple[str, list[tuple[int, int, int, bool]]]:
-    """The plain form and its pieces in order: (start in it, start in the source, end in the source, is a replacement)."""
-    shown = text if text.isascii() else text.translate(_PLAIN)
-    return _applied(shown, _replacements(shown))
-
-
 def _source(pieces: list[tuple[int, int, int, bool]], at: list[int], start: int, end: int) -> tuple[int, int]:
     """The source span of a span of the plain form; a replacement that is met is covered whole."""
     p, q = pieces[bisect_right(at, start) - 1], pieces[bisect_right(at, end - 1) - 1]
     return (p[1] if p[3] else p[1] + start - p[0]), (q[2] if q[3] else q[1] + end - q[0])
 
 
+def plain_form(text: str) -> tuple[str, list[list[tuple[int, int, int, bool]]]]:
+    """The plain form, and the maps that lead from it back to the source, one after the other: pieces in order,
+    (start in the output, start in the input, end in the input, is a replacement)."""
+    maps = []
+    if uneven := _uneven(text):
+        text, pieces = _applied(text, uneven)
+        maps.append(pieces)
+    shown = text if text.isascii() else text.translate(_PLAIN)
+    if found := _replacements(shown):
+        shown, pieces = _applied(shown, found)
+        maps.insert(0, pieces)
+    return shown, maps
+
+
 def spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans (with those that only the plain form shows), each by kind and start."""
     if not text:
         return [], []
     base = identifiers(text)
-    plain, pieces = plain_form(text)
+    plain, maps = plain_form(text)
     if plain == text:
         return base, base
-    at = [p[0] for p in pieces]
+    maps = [(pieces, [p[0] for p in pieces]) for pieces in maps]
     taken = sorted((a, -b) for _, a, b in base)
     starts, reach, far = [a for a, _ in taken], [], -1
     for _, b in taken:
         reach.append(far := max(far, -b))  # the furthest end of the base spans up to here
     added = []
     for kind, a, b in identifiers(plain):
-        a, b = _source(pieces, at, a, b)
+        for pieces, at in maps:
+            a, b = _source(pieces, at, a, b)
         i = bisect_right(starts, a) - 1
         if i < 0 or reach[i] < b:
             added.append((kind, a, b))
