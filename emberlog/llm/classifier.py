@@ -8,12 +8,14 @@ table of vectors has ``buckets`` x ``DIM`` numbers whatever the corpus, which bo
 collected and broadcast. A document is the mean and the spread of its words' vectors, and the logarithm of their number.
 
 The network is fitted on at most ``max_train_rows`` labelled documents (those of least hash of the
-id), and a temperature on a fifth of them makes its scores probabilities. Labels are learned only from
+id), and a temperature on a fifth of them, which the network doesn't learn from, makes its scores probabilities. Labels are learned only from
 rows whose crc32(id as text) mod 5 is not 0.
 
 Defined results: null and empty texts are scored like any (as no words); a null id is not held out
 and teaches nothing; labels of one document are averaged, null labels ignored; without labels, or with labels of one
-kind only, every score is the mean label (0.5 without any). Repeated rows are scored each.
+kind only, every score is the mean label (0.5 without any). Repeated rows are scored each; of the texts of one
+labelled id the one of least hash teaches. Ids may be of any type that casts to a string. Other columns are ignored. A very
+long text is tokenised whole, in memory that is a multiple of its size.
 """
 
 from __future__ import annotations
@@ -139,7 +141,7 @@ def fit(table: np.ndarray, x: np.ndarray, y: np.ndarray, check: np.ndarray, *, h
     m, v = [np.zeros_like(q) for q in p], [np.zeros_like(q) for q in p]
     z = (x - centre) / scale
     xt, yt = z[~check], y[~check]
-    xc, yc = (z[check], y[check]) if check.any() else (xt, yt)
+    xc, yc = z[check], y[check]
     run = lambda q, a: np.maximum(a @ q[0] + q[1], 0) @ q[2] + q[3]
     best, step = (np.inf, p), 0
     for _ in range(epochs):
@@ -165,7 +167,7 @@ def fit(table: np.ndarray, x: np.ndarray, y: np.ndarray, check: np.ndarray, *, h
 def train(docs: DataFrame, labels: DataFrame, *, max_train_rows: int = 20_000, buckets: int = 1 << 14, seed: int = 7, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model | float:
     """The fitted model, or a constant score if the labels can't teach one."""
     known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
-    known = known.groupBy(F.col(doc_id).cast("long").alias("l_id")).agg((F.avg(F.col(label)) >= 0.5).cast("int").alias("y"))
+    known = known.groupBy(F.col(doc_id).cast("string").alias("l_id")).agg((F.avg(F.col(label)) >= 0.5).cast("int").alias("y"))
     sample = materialise(known.orderBy(F.xxhash64("l_id"), "l_id").limit(max_train_rows), "sample")
     table = word_vectors(docs, text, buckets, seed)
     broadcast = docs.sparkSession.sparkContext.broadcast(table)
@@ -178,11 +180,12 @@ def train(docs: DataFrame, labels: DataFrame, *, max_train_rows: int = 20_000, b
             yield pd.Series(list(np.concatenate(rows))) if rows else pd.Series([], dtype=object)
 
     # The sample has max_train_rows rows at most, so it may be broadcast.
-    taught = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).join(F.broadcast(sample), F.col("d") == F.col("l_id"))
-    rows = taught.select("d", "y", features("t").alias("x")).dropDuplicates(["d"]).toPandas().sort_values("d")
+    taught = docs.select(F.col(doc_id).cast("string").alias("d"), F.col(text).alias("t"), F.xxhash64(text).alias("tie")).join(F.broadcast(sample), F.col("d") == F.col("l_id"))
+    one = taught.select("d", "y", "tie", features("t").alias("x")).groupBy("d", "y").agg(F.min(F.struct("tie", "x")).alias("one"))
+    rows = one.select("d", "y", F.col("one.x").alias("x")).toPandas().sort_values("d")
     if not len(rows) or rows["y"].nunique() < 2:
         return float(rows["y"].mean()) if len(rows) else 0.5
-    check = np.array([hash_ % 5 == 0 for hash_ in np.random.default_rng(seed).permutation(len(rows))]) if len(rows) >= 50 else np.zeros(len(rows), bool)
+    check = np.random.default_rng(seed).permutation(len(rows)) % 5 == 0  # one row at least, as there are two or more
     return fit(table, np.stack(rows["x"].to_numpy()).astype(np.float64), rows["y"].to_numpy(np.float64), check, seed=seed)
 
 

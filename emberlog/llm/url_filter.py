@@ -8,10 +8,12 @@ precedence over any block; without either, the page is allowed.
 
 Rules are parameters (their number is bounded by the caller and they become one expression); edges,
 components and decisions stay in tables. Only URLs that have an edge take part in the components.
-URLs are one node if they are alike after scheme and host are lower-cased, dot segments resolved and the fragment cut.
+URLs are one node if they are alike after scheme and host are lower-cased, the scheme's default port goes, dot segments are resolved, escapes
+of unreserved characters are undone (others are upper-cased) and the fragment is cut.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule and has no alias;
-null html has no links; repeated pages are judged each; edges to oneself say nothing.
+null html has no links; repeated pages are judged each; edges to oneself say nothing; other columns are ignored; html of any
+length is scanned in linear time (a tag with a bare ``<`` or ``>`` in it is no tag).
 """
 
 from __future__ import annotations
@@ -57,11 +59,22 @@ def resolved_path(path: Column) -> Column:
     return F.when(path == "", "/").when(path.rlike(r"/\.\.?(/|$)"), text).otherwise(path)
 
 
+def plain_escapes(url: Column) -> Column:
+    """Escapes of letters, digits and ``-._~`` written as such, other escapes in upper case (RFC 3986, 6.2.2)."""
+    escape = r"%[0-9A-Fa-f]{2}"
+    parts = F.regexp_extract_all(url, F.lit(rf"(?s){escape}|%|[^%]+"), F.lit(0))
+    sign = lambda x: F.decode(F.unhex(F.substring(x, 2, 2)), "ISO-8859-1")
+    plain = lambda x: F.when(~x.rlike(f"^{escape}$"), x).when(sign(x).rlike(r"^[A-Za-z0-9._~-]$"), sign(x)).otherwise(F.upper(x))
+    return F.when(url.contains("%"), F.array_join(F.transform(parts, plain), "")).otherwise(url)
+
+
 def normal_url(url: Column) -> Column:
-    """The key under which a URL is an alias: scheme and host lower-cased, dot segments resolved, no fragment."""
+    """The key under which a URL is an alias: scheme and host lower-cased, no default port, escapes plain, dot segments resolved, no fragment."""
     scheme = F.translate(F.regexp_extract(url, r"(?s)^(.*?)://", 1), UPPER, LOWER)
+    port = F.when(scheme == "http", F.lit(r":(80)?$")).when(scheme == "https", F.lit(r":(443)?$")).otherwise(F.lit(r":$"))
+    host = F.regexp_replace(host_of(url), port, F.lit(""))
     search = F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)?", 1)
-    return F.when(url.contains("://"), F.concat(scheme, F.lit("://"), host_of(url), resolved_path(path_of(url)), search)).otherwise(url)
+    return F.when(url.contains("://"), F.concat(scheme, F.lit("://"), host, resolved_path(plain_escapes(path_of(url))), plain_escapes(search))).otherwise(url)
 
 
 def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
@@ -96,8 +109,9 @@ def _absolute(target: Column, base: Column) -> Column:
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``a`` (page) and ``b`` (what its canonical links and meta refreshes name), as URLs. Read from the pages' own columns only."""
     page, body = F.col(url), F.col(html)
-    tags = F.regexp_extract_all(body, F.lit(r"(?is)<link\b[^>]*\bcanonical\b[^>]*>|<meta\b[^>]*\brefresh\b[^>]*>"), F.lit(0))
+    tags = F.regexp_extract_all(body, F.lit(r"(?is)<(?:link|meta)\b[^<>]*+>"), F.lit(0))
     named = pages.filter(body.isNotNull() & page.contains("://") & body.rlike(r"(?i)canonical|refresh")).select(page.alias("a"), F.explode(tags).alias("tag"))
+    named = named.filter(F.col("tag").rlike(r"(?i)canonical|refresh"))
     canonical = F.when(_attribute(F.col("tag"), "rel").rlike(r"(?i)(^|\s)canonical(\s|$)"), _attribute(F.col("tag"), "href"))
     refresh = F.when(F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh", F.nullif(F.regexp_extract(_attribute(F.col("tag"), "content"), r"(?is)url\s*=\s*['\"]?([^'\"]+)", 1), F.lit("")))
     target = F.when(F.lower(F.col("tag")).startswith("<link"), canonical).otherwise(refresh)
