@@ -201,11 +201,11 @@ def unhealthy_dependencies(spark, d):
     return Z.unhealthy_dependencies(rate).select("source", "target", R("failure_rate").alias("failure_rate"))
 
 
-@query("SELECT o_orderkey AS cascade_id, coalesce(c_name, '-') AS title FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON c_custkey = o_custkey WHERE o_orderstatus = 'O'")
+@query("SELECT o_orderkey AS cascade_id, coalesce(c_name, '-') AS title FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'O'")
 def active_cascades(spark, d):
     """Open orders stand for cascades."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("cascade_id"), F.col("o_custkey").alias("issue_id"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate")).alias("ended_at"))
-    issues = table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("issue_id"), F.col("c_name").alias("title"))
+    issues = table(spark, d, "customer").select(F.col("c_custkey").alias("issue_id"), F.col("c_name").alias("title"))
     return Z.active_cascades(o, issues).select("cascade_id", F.coalesce("title", F.lit("-")).alias("title"))
 
 
@@ -226,14 +226,14 @@ def known_peaks(spark, d):
     return Z.known_peak_match(p, known)
 
 
-@query("""WITH a AS (SELECT o_custkey % 50 AS namespace, epoch_us(o_orderdate) // 1000000 AS s, epoch_us(o_orderdate) // 1000000 + 86400 * 3 AS e, o_orderkey AS id FROM orders WHERE o_orderkey % 4 = 0),
-    b AS (SELECT o_custkey % 50 AS namespace, epoch_us(o_orderdate) // 1000000 AS s, epoch_us(o_orderdate) // 1000000 + 86400 * 2 AS e, o_orderkey AS id FROM orders WHERE o_orderkey % 4 = 1)
+@query("""WITH a AS (SELECT o_custkey % 50 AS namespace, epoch_us(o_orderdate) // 1000000 AS s, epoch_us(o_orderdate) // 1000000 + 86400 * 3 AS e, o_orderkey AS id FROM orders),
+    b AS (SELECT o_custkey % 50 AS namespace, epoch_us(o_orderdate) // 1000000 AS s, epoch_us(o_orderdate) // 1000000 + 86400 * 2 AS e, o_orderkey AS id FROM orders)
     SELECT a.id AS a_id, b.id AS b_id FROM a JOIN b ON a.namespace = b.namespace AND a.s < b.e AND b.s < a.e""")
 def overlapping_windows(spark, d):
-    """Orders stand for windows of namespaces."""
+    """Orders stand for windows of namespaces, all of them as buckets and all as peaks."""
     o = table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("namespace"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("start"), F.col("o_orderkey").alias("id"))
-    a = o.filter("id % 4 = 0").withColumn("end", F.col("start") + 86400 * 3).withColumnRenamed("id", "a_id")
-    b = o.filter("id % 4 = 1").withColumn("end", F.col("start") + 86400 * 2).withColumnRenamed("id", "b_id")
+    a = o.withColumn("end", F.col("start") + 86400 * 3).withColumnRenamed("id", "a_id")
+    b = o.withColumn("end", F.col("start") + 86400 * 2).withColumnRenamed("id", "b_id")
     return N.overlapping(a, b).select("a_id", "b_id")
 
 

@@ -189,11 +189,12 @@ def slot_lines(spark, d):
     return m.select("dow", "hour", "quarter", "namespace", R("mean").alias("mean"), "stddev", "samples")
 
 
-@query("WITH o AS (SELECT o_orderkey AS k, o_custkey AS v FROM orders WHERE o_orderkey % 3 <> 0) SELECT k, v FROM o WHERE k % 5 <> 1 UNION ALL SELECT o_orderkey, -o_custkey FROM orders WHERE o_orderkey % 5 = 1")
+@query("SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN o_custkey ELSE -o_custkey END AS v FROM orders")
 def upserted_rows(spark, d):
-    """New rows take the place of old ones with equal keys."""
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("v"))
-    return L.upserted(o.filter("k % 3 != 0"), o.filter("k % 5 = 1").withColumn("v", -F.col("v")), ["k"])
+    """New rows take the place of old ones with equal keys. Finished and open orders are stored; open ones come again, and pending ones are new."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("v"), "o_orderstatus")
+    old, new = o.filter("o_orderstatus != 'P'").select("k", "v"), o.filter("o_orderstatus != 'F'").select("k", (-F.col("v")).alias("v"))
+    return L.upserted(old, new, ["k"])
 
 
 @query("SELECT CAST(d AS VARCHAR) AS day FROM (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events) WHERE day(d) <= 20")
