@@ -159,16 +159,17 @@ def problem_keys(spark, d):
 
 
 @query(
-    S.ctes("errs") + """, v AS (SELECT DISTINCT app_version AS v FROM errs WHERE app_version IS NOT NULL), p AS (SELECT v, list_transform(regexp_extract_all(v, '\\d+'), lambda x: CAST(x AS BIGINT)) AS n FROM v)
-    SELECT a.v AS version, b.v AS other, a.n >= b.n AS at_least, CASE WHEN regexp_matches(a.v, '^\\d+\\.\\d+') THEN a.v ELSE '-' END AS loose,
-    coalesce(regexp_extract(a.v, '^v?(\\d+)\\.(\\d+)\\.(\\d+)', 2), '') AS minor FROM p a, p b"""
+    S.ctes("errs") + """, v AS (SELECT DISTINCT app_name, app_version AS v FROM errs WHERE app_version IS NOT NULL), p AS (SELECT *, list_transform(regexp_extract_all(v, '\\d+'), lambda x: CAST(x AS BIGINT)) AS n FROM v),
+    b AS (SELECT *, lead(v) OVER (PARTITION BY app_name ORDER BY v) AS o, lead(n) OVER (PARTITION BY app_name ORDER BY v) AS m FROM p)
+    SELECT app_name, v AS version, o AS other, n >= m AS at_least, CASE WHEN regexp_matches(v, '^\\d+\\.\\d+') THEN v ELSE '-' END AS loose,
+    coalesce(regexp_extract(v, '^v?(\\d+)\\.(\\d+)\\.(\\d+)', 2), '') AS minor FROM b WHERE o IS NOT NULL"""
 )
 def version_order(spark, d):
-    """Every two versions compared by their numbers (a few distinct versions of each application)."""
-    v = errors(spark, d).filter("app_version is not null").select(F.col("app_version").alias("version")).distinct()
-    both = v.join(v.select(F.col("version").alias("other"), F.lit(1).alias("one")), F.lit(1) == F.col("one")).drop("one")
+    """Each version of an application and the next one by spelling, compared by their numbers."""
+    v = errors(spark, d).filter("app_version is not null").select("app_name", F.col("app_version").alias("version")).distinct()
+    both = v.withColumn("other", F.lead("version").over(Window.partitionBy("app_name").orderBy("version"))).filter("other is not null")
     minor = F.coalesce(X.semver(F.col("version"))["minor"].cast("string"), F.lit(""))
-    return both.select("version", "other", X.version_at_least(F.col("version"), F.col("other")).alias("at_least"), F.coalesce(X.loose_version(F.col("version")), F.lit("-")).alias("loose"), minor.alias("minor"))
+    return both.select("app_name", "version", "other", X.version_at_least(F.col("version"), F.col("other")).alias("at_least"), F.coalesce(X.loose_version(F.col("version")), F.lit("-")).alias("loose"), minor.alias("minor"))
 
 
 @query(S.ctes("facts") + " SELECT w AS window_start, namespace, app_name, fingerprint, n AS error_count, first_us, last_us, error_type FROM facts")
