@@ -23,12 +23,20 @@ def trace_overlaps(problem_traces: DataFrame, share: float = 0.5) -> DataFrame:
 
 
 def same_events(problem_rows: DataFrame, least_run: int = 5) -> DataFrame:
-    """Pairs a < b of problems of equal volume that share an application, a namespace and a run of cause tokens: other words for the same events."""
-    rows = problem_rows.filter("total_occurrences > 0").select("problem_key", "total_occurrences", "apps", "namespaces", X.cause_tokens(F.col("normalized_message")).alias("tokens"))
-    keyed = rows.withColumn("app", F.explode("apps"))
-    other = keyed.withColumnsRenamed({"problem_key": "other", "namespaces": "o_ns", "tokens": "o_tokens"}).select("total_occurrences", "app", "other", "o_ns", "o_tokens")
-    met = keyed.join(other, ["total_occurrences", "app"]).filter("problem_key < other").filter(F.arrays_overlap("namespaces", "o_ns")).dropDuplicates(["problem_key", "other"])
-    return met.filter(X.longest_shared_run(F.col("tokens"), F.col("o_tokens")) >= least_run).select(F.col("problem_key").alias("a"), F.col("other").alias("b"))
+    """Pairs a < b of problems of equal volume that share an application, a namespace and a run of cause tokens in any of their messages: other words for the same events.
+
+    Messages share a run of ``least_run`` tokens if and only if they share a shingle of so many, so an equi-join on (volume, shingle) finds the pairs.
+    """
+    messages = F.concat(F.array("normalized_message"), F.coalesce("sample_messages", F.array().cast("array<string>")))
+    rows = problem_rows.filter("total_occurrences > 0").select("problem_key", "total_occurrences", "apps", "namespaces", F.explode(F.array_distinct(messages)).alias("message"))
+    rows = rows.filter("message is not null").withColumn("tokens", X.cause_tokens(F.col("message")))
+    starts = F.sequence(F.lit(1), F.size("tokens") - (least_run - 1))
+    shingles = F.when(F.size("tokens") >= least_run, F.transform(starts, lambda i: F.array_join(F.slice("tokens", i, least_run), " ")))
+    keyed = rows.select("problem_key", "total_occurrences", "apps", "namespaces", F.explode(shingles).alias("shingle"))
+    keyed = staged(keyed.dropDuplicates(["problem_key", "shingle"]), "alert-shingles")
+    other = keyed.select("total_occurrences", "shingle", F.col("problem_key").alias("other"), F.col("apps").alias("o_apps"), F.col("namespaces").alias("o_ns"))
+    met = keyed.join(other, ["total_occurrences", "shingle"]).filter("problem_key < other").filter(F.arrays_overlap("apps", "o_apps") & F.arrays_overlap("namespaces", "o_ns"))
+    return met.select(F.col("problem_key").alias("a"), F.col("other").alias("b")).distinct()
 
 
 def components(nodes: DataFrame, edges: DataFrame, node: str = "problem_key", max_rounds: int = 50) -> DataFrame:
@@ -37,7 +45,7 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "problem_key", ma
     labels = staged(nodes.select(F.col(node).alias("n"), F.col(node).alias("cluster")), "labels")
     for _ in range(max_rounds):
         near = both.join(labels, F.col("b") == F.col("n")).groupBy("a").agg(F.min("cluster").alias("m"))
-        step = labels.join(near, F.col("n") == F.col("a"), "left").select("n", F.least("cluster", F.coalesce("m", "cluster")).alias("cluster"))
+        step = staged(labels.join(near, F.col("n") == F.col("a"), "left").select("n", F.least("cluster", F.coalesce("m", "cluster")).alias("cluster")), "labels")
         # A label's own label is as good
         jump = step.join(step.select(F.col("n").alias("k"), F.col("cluster").alias("c2")), F.col("cluster") == F.col("k")).select("n", F.least("cluster", "c2").alias("cluster"))
         new = staged(jump, "labels")

@@ -183,7 +183,10 @@ def test_alert_clusters_equal_union_find(spark, data):
     traces_of, info = defaultdict(set), {r["problem_key"]: r for r in rows.collect()}
     for r in tr.collect():
         traces_of[r["problem_key"]].add(r["trace_id"])
-    tokens = {r["problem_key"]: r["t"] for r in rows.select("problem_key", X.cause_tokens(F.col("normalized_message")).alias("t")).collect()}
+    said = rows.select("problem_key", F.explode(F.concat(F.array("normalized_message"), F.col("sample_messages"))).alias("m")).select("problem_key", X.cause_tokens(F.col("m")).alias("t"))
+    tokens = defaultdict(list)
+    for r in said.filter("m is not null").collect():
+        tokens[r["problem_key"]].append(r["t"])
 
     def run(a, b):
         best, prev = 0, [0] * (len(b) + 1)
@@ -204,7 +207,7 @@ def test_alert_clusters_equal_union_find(spark, data):
             x, y = traces_of[a], traces_of[b]
             linked = bool(x and y) and len(x & y) / min(len(x), len(y)) >= 0.5
             p, q = info[a], info[b]
-            same = p["total_occurrences"] == q["total_occurrences"] and set(p["apps"]) & set(q["apps"]) and set(p["namespaces"]) & set(q["namespaces"]) and run(tokens[a], tokens[b]) >= 5
+            same = p["total_occurrences"] == q["total_occurrences"] and set(p["apps"]) & set(q["apps"]) and set(p["namespaces"]) & set(q["namespaces"]) and any(run(s, t) >= 5 for s in tokens[a] for t in tokens[b])
             if linked or same:
                 ra, rb = sorted((find(a), find(b)))
                 parent[rb] = ra
