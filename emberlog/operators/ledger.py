@@ -49,16 +49,23 @@ def is_processed(days: DataFrame, authority: DataFrame) -> DataFrame:
 def fingerprint_rates(fingerprints: DataFrame, fact_rows: DataFrame, authority: DataFrame, as_of: str, days: int = 7, min_samples: int = 3) -> DataFrame:
     """``fingerprint, rates``: counts in every complete window of the ``days`` before ``as_of``, zeros included.
 
-    Zeros come from the number of windows: per fingerprint the windows' positions are laid out in one array, after counting.
+    Only windows with events are rows. Zeros are laid between them in each fingerprint's array, by the windows' numbers.
     """
     end = F.lit(as_of).cast("timestamp")
     inside = (F.col("window_start") >= end - F.expr(f"INTERVAL {int(days)} DAYS")) & (F.col("window_start") < end)
     held = authority.filter(inside)
     n = complete_rows(fact_rows.filter(inside), held).groupBy("fingerprint", "window_start").agg(F.sum("error_count").alias("n"))
-    grid = fingerprints.select("fingerprint").distinct().crossJoin(F.broadcast(held.select("window_start").distinct()))  # 96 windows a day at most
-    rows = grid.join(n, ["fingerprint", "window_start"], "left")
-    out = rows.groupBy("fingerprint").agg(F.array_sort(F.collect_list(F.struct("window_start", F.coalesce("n", F.lit(0)).cast("double").alias("n")))).alias("v"))
-    return out.filter(F.size("v") >= min_samples).select("fingerprint", F.transform("v", lambda x: x["n"]).alias("rates"))
+    numbered = held.select("window_start").distinct().withColumn("i", F.row_number().over(Window.orderBy("window_start")))  # 96 windows a day at most
+    size = numbered.count()
+    if size < min_samples:
+        return fingerprints.select("fingerprint").distinct().withColumn("rates", F.array().cast("array<double>")).limit(0)
+    some = n.join(numbered, "window_start").groupBy("fingerprint").agg(F.array_sort(F.collect_list(F.struct("i", F.col("n").cast("double").alias("n")))).alias("v"))
+    zeros = lambda k: F.array_repeat(F.lit(0.0), k)
+    before = lambda k: F.when(k > 0, F.get("v", k - 1)["i"]).otherwise(0)
+    filled = F.flatten(F.transform("v", lambda x, k: F.concat(zeros(x["i"] - before(k) - 1), F.array(x["n"]))))
+    rates = F.concat(filled, zeros(F.lit(size) - F.element_at("v", -1)["i"]))
+    out = fingerprints.select("fingerprint").distinct().join(some, "fingerprint", "left")
+    return out.select("fingerprint", F.when(F.col("v").isNull(), zeros(F.lit(size))).otherwise(rates).alias("rates"))
 
 
 def baseline_stats(rates: DataFrame) -> DataFrame:

@@ -26,6 +26,12 @@ def _union(c: str) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
 
 
+_PROBLEM_COLUMNS = (
+    "problem_key", "category", "flow", "error_class", "incident_count", "total_occurrences", "fingerprints", "first_seen", "last_seen", "apps", "namespaces", "versions", "has_spike", "has_burst", "has_new", "has_regression",
+    "has_cascade", "is_cross_namespace", "max_score", "max_severity", "sample_messages", "normalized_message", "error_type", "app_counts",
+)
+
+
 def problems(found: DataFrame) -> DataFrame:
     """One row per problem key: totals, sets, flags of any incident, the highest score with its severity (of equals the earliest incident's)."""
     rows = found.withColumn("n", occurrences(F.col("total_count"), F.lit(0), F.lit(1)))
@@ -36,10 +42,21 @@ def problems(found: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("fingerprint")).alias("fingerprints"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), _union("apps").alias("apps"), _union("namespaces").alias("namespaces"),
         _union("versions").alias("versions"), flag("is_spike").alias("has_spike"), flag("is_burst").alias("has_burst"), flag("is_new").alias("has_new"), flag("is_regression").alias("has_regression"),
         flag("is_cascade").alias("has_cascade"), flag("is_cross_namespace").alias("is_cross_namespace"), F.max("score").alias("max_score"), F.max_by("severity", order).alias("max_severity"),
-        F.transform(F.slice(F.array_sort(F.collect_list(F.struct("first_seq", "sample_message"))), 1, 5), lambda s: s["sample_message"]).alias("sample_messages"),
         F.min_by("normalized_message", F.when(F.col("normalized_message") != "", F.col("first_seq"))).alias("normalized_message"), F.min_by("error_type", F.when(F.col("error_type") != "", F.col("first_seq"))).alias("error_type"),
-        F.array_sort(F.flatten(F.collect_list("app_counts"))).alias("_apps"),
-    ).withColumn("app_counts", _summed("_apps")).drop("_apps")
+    ).join(_first_samples(found), "problem_key", "left").join(_app_counts(found), "problem_key", "left").select(*_PROBLEM_COLUMNS)
+
+
+def _first_samples(found: DataFrame, most: int = 5) -> DataFrame:
+    """The first ``most`` sample messages of each problem. Rows beyond are left out before the shuffle, so no row holds all samples of a large problem."""
+    rank = F.row_number().over(Window.partitionBy("problem_key").orderBy("first_seq", "sample_message"))
+    first = found.select("problem_key", "first_seq", "sample_message").withColumn("rank", rank).filter(F.col("rank") <= most)
+    return first.groupBy("problem_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "sample_message"))), lambda s: s["sample_message"]).alias("sample_messages"))
+
+
+def _app_counts(found: DataFrame) -> DataFrame:
+    """Counts by application of each problem as a map in order of name, summed by (problem, application) first."""
+    entries = found.select("problem_key", F.explode("app_counts").alias("e")).groupBy("problem_key", F.col("e.key").alias("key")).agg(F.sum("e.n").alias("n"))
+    return entries.groupBy("problem_key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "n")))).alias("app_counts"))
 
 
 def _summed(entries: str) -> Column:
