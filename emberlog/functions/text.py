@@ -423,11 +423,7 @@ def same_steps(app_a: Column, count_a: Column, msg_a: Column, app_b: Column, cou
 
 def stored_message(msg: Column) -> Column:
     """The fact tables' own normalisation: UUIDs, long numbers, addresses, times, hex numbers; 500 characters."""
-    pairs = [
-        (r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "<UUID>"), (r"\b\d{10,}\b", "<ID>"), (r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", "<IP>"),
-        (r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}", "<TS>"), (r"0x[0-9a-fA-F]+", "<HEX>"),
-    ]
-    return F.substring(replaced(msg, pairs), 1, 500)
+    return F.substring(replaced(msg, rules.STORED_MESSAGE), 1, rules.STORED_LENGTH)
 
 
 def plain_token(text: Column) -> Column:

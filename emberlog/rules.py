@@ -223,3 +223,10 @@ REFINEMENTS = [
     (["json", "xml", "parse", "serialize", "deserialize", "unmarshal", "marshal", "encoding", "decoding"], "serialization", "serialization_error"),
     (["error handled", "exception handled", "caught exception"], "business", "handled_error"),
 ]
+
+# Patterns of the normalisation of stored messages, in their order, the marks that take their place, and the length that is kept.
+STORED_MESSAGE = [
+    (r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "<UUID>"), (r"\b\d{10,}\b", "<ID>"), (r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", "<IP>"),
+    (r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}", "<TS>"), (r"0x[0-9a-fA-F]+", "<HEX>"),
+]
+STORED_LENGTH = 500
