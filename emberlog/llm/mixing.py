@@ -137,6 +137,13 @@ def place_words(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     return placed.join(chunks, ["pos", "chunk"]).withColumn("start", F.col("start") + F.col("chunk_start")).drop("chunk_start")
 
 
+def targets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """What the mix aims at, without drawing: ``doc_id, source, size, source_size, target``, one row per input row."""
+    sizes = materialise(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")), "sizes")
+    src = materialise(source_targets(sizes), "sources").withColumnRenamed("source", "s_source")
+    return sizes.join(src, sizes["source"].eqNullSafe(src["s_source"])).select("doc_id", "source", "size", "source_size", "target")
+
+
 def _plan(docs: DataFrame, block_words: int, shard_slots: int, seed: int, doc_id: str, text: str, source: str):
     sizes = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("tie"))
     sizes = materialise(sizes, "sizes")
@@ -174,4 +181,4 @@ def mixed_blocks(docs: DataFrame, *, block_words: int = 128, shard_slots: int =
     return slots.join(blocks, ["pos", "block"]).select("shard", "source", "block", "text")
 
 
-__all__ = ["mix", "mixed_blocks", "permute", "source_targets", "word_count"]
+__all__ = ["mix", "mixed_blocks", "permute", "source_targets", "targets", "word_count"]

@@ -1,6 +1,6 @@
 """SQL of the queries that SQL can say, over whole tables.
 
-Not among them: the mix (pseudorandom draws), SimHash (XXH64), PII (deobfuscation), URL filters (links read from
+Not among them: what the mix takes (pseudorandom draws; its targets are), SimHash (XXH64), PII (deobfuscation), URL filters (links read from
 markup), the classifier (training). The tests hold these against brute force, round trips or held-out labels.
 """
 
@@ -30,6 +30,15 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_lines, coalesce(g.n, 0) AS n_removed, CAS
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+MIX_TARGETS = rf"""
+WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size FROM documents),
+g AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS pos FROM s GROUP BY source),
+w AS (SELECT *, pos % 3 + 1 AS weight, 3 * n AS cap, CAST(3 * n AS DOUBLE) / (pos % 3 + 1) AS ratio FROM g),
+o AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY ratio, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(weight) OVER (ORDER BY ratio, pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w),
+l AS (SELECT max(CAST((SELECT sum(n) FROM g) - before AS DOUBLE) / rest) AS level FROM o)
+SELECT doc_id, size, n AS source_size, least(CAST(cap AS DOUBLE), weight * level) AS target FROM s JOIN o ON s.source IS NOT DISTINCT FROM o.source, l
+"""
+
 QUALITY_RULES = rf"""
 WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
 g AS (SELECT doc_id, array_to_string(w[i : i + {REPEAT_WINDOW - 1}], ' ') AS g, i FROM (SELECT doc_id, w, unnest(range(1, len(w) - {REPEAT_WINDOW - 2})) AS i FROM t)),
@@ -76,4 +85,4 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN c USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": LINE_DEDUP, "op3_quality_rules": QUALITY_RULES, "op7_substring_dedup": SUBSTRING_DEDUP, "op8_warc": WARC, "op9_decontaminate": DECONTAMINATE}
+    return {"mix_targets": MIX_TARGETS, "op2_line_dedup": LINE_DEDUP, "op3_quality_rules": QUALITY_RULES, "op7_substring_dedup": SUBSTRING_DEDUP, "op8_warc": WARC, "op9_decontaminate": DECONTAMINATE}

@@ -18,6 +18,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1_mix_sources that SQL can say too."""
+    return mixing.targets(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.without_repeated_lines(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.col("_emberlog_n_lines").alias("n_lines"), F.col("_emberlog_n_removed").alias("n_removed"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
@@ -58,5 +63,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_mix_sources, op2_line_dedup, op3_quality_rules, op4_simhash, op5_pii, op6_url_filter, op7_substring_dedup, op8_warc, op9_decontaminate, op10_quality_classifier)
+    own = (op1_mix_sources, op2_line_dedup, op3_quality_rules, op4_simhash, op5_pii, op6_url_filter, op7_substring_dedup, op8_warc, op9_decontaminate, op10_quality_classifier, mix_targets)
     return {f.__name__: f for f in own}

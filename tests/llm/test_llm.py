@@ -760,7 +760,8 @@ def test_very_long_texts(spark):
     n = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
     assert n[1]["n_words"] == 500_000 and n[1]["n_repeat_words"] == 0
     assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(docs).collect()} == {1: 0, 2: 0, 3: 500_000}
-    assert len({r["fingerprint"] for r in simhash.near_duplicates(docs).collect()}) == 3
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert groups == {1: 1, 2: 2, 3: 1}  # one shingle of half a million more is no new bit, or few
     bench = spark.createDataFrame([("q", " ".join(f"word{i}" for i in range(400_000, 400_020)))], "item_id string, text string")
     assert {r["doc_id"]: r["n_hit"] for r in decontaminate.report(docs, bench).collect()} == {1: 20, 2: 0, 3: 20}
     assert {r["doc_id"]: r["spans"] for r in pii.find_personal_data(docs).collect()} == {1: "", 2: "", 3: ""}
@@ -827,7 +828,7 @@ def test_pipeline(spark, data, docs):
 
 def test_pipeline_of_odd_rows(spark, data):
     """Every stage takes what the one before leaves of odd rows, and of none, and keeps the columns of documents."""
-    for stage in (odd_docs(spark, False), odd_docs(spark, False).limit(0), odd_docs(spark)):
+    for stage in (odd_docs(spark), odd_docs(spark, False).limit(0)):
         columns = stage.columns
         for name, f in corpus_pipeline.STAGES:
             stage = f(spark, stage, data)
