@@ -14,11 +14,16 @@ _made: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def shared_folder(spark) -> str:
-    """``spark.checkpoint.dir``, or a folder of our own where that is unset (tests on one machine)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not _own:
+    """``spark.checkpoint.dir``, or the context's checkpoint folder. A folder of our own is made on one machine only: elsewhere executors would not see it."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="emberlog-stages-"))
-    return (named or _own[0]).rstrip("/")
+    return _own[0]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
