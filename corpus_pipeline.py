@@ -3,6 +3,10 @@
 Quality rules drop documents, line dedup deletes later copies of repeated line runs (documents with
 no line left go), SimHash keeps one document of each near-duplicate group, decontamination drops
 documents that benchmark passages cover, and mixing says how many words of each document the mix takes.
+
+Defined results: each stage treats nulls, empty and very long texts, ties and repeated rows as its operator's docstring says. Null and
+empty texts have fewer than ten words and go at the first stage; of rows that repeat an id and a text one stays after the
+third; columns beyond those of documents are carried along to the last stage, which drops them; an empty table stays empty.
 """
 
 from __future__ import annotations
