@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions import values as V
+from emberlog.sources.tables import staged
 
 ROLLUP_KEY = ("rollup_date", "namespace", "application", "fingerprint", "error_type", "category", "subcategory")
 FULL_DAY = 96
@@ -122,10 +123,10 @@ def rollup_differences(staged_rollup: DataFrame, stored: DataFrame, keys: tuple[
 
 def maintain(complete_facts: DataFrame, complete_namespaces: DataFrame, legacy: DataFrame, stored_kinds: DataFrame, stored_namespaces: DataFrame, cutoff: str) -> dict[str, DataFrame]:
     """Retention in its order: roll up, refuse partial replays, replace, reconcile, keep what is newer than the cutoff."""
-    windows = namespace_windows(complete_namespaces, legacy, cutoff)
+    windows = staged(namespace_windows(complete_namespaces, legacy, cutoff), "rollup-windows")  # read by the guard and the rollup
     if bad := rejected_days(stored_namespaces, windows).count():
         raise ValueError(f"{bad} days have a rollup and no full day of windows to replace it")
-    kinds, names = kind_rollup(complete_facts, cutoff), namespace_rollup(windows)
+    kinds, names = staged(kind_rollup(complete_facts, cutoff), "rollup-kinds"), namespace_rollup(windows)
     new_kinds, new_names = upserted(stored_kinds, kinds, list(ROLLUP_KEY)), upserted(stored_namespaces, names, ["rollup_date", "namespace"])
     if bad := rollup_differences(kinds, new_kinds).count():
         raise ValueError(f"{bad} rollup rows do not reconcile")

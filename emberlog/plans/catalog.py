@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("logs", "detection", "problems", "state", "reports")
+_MODULES = ("logs", "detection", "problems", "state", "reports", "inputs")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
