@@ -22,7 +22,7 @@ from emberlog.plans import state as T
 from emberlog.plans.catalog import query, table
 from emberlog.sources import exports as E
 from emberlog.sources import logs as LS
-from emberlog.sources.tables import shared_folder
+from emberlog.sources.tables import shared_folder, staged
 from emberlog.streaming import facts as ST
 
 
@@ -105,6 +105,7 @@ _KEPT = f"w >= {T._CUT_SEC}"
 def maintained_tables(spark, d):
     """What retention leaves: rollups (stored ones replaced, others kept, legacy windows filled in) and what is newer than the cutoff."""
     _, facts, names = T.complete(spark, d)
+    facts, names = staged(facts, "complete-facts"), staged(names, "complete-namespaces")
     legacy = Q.dense(spark, d).select((F.col("window_start") - F.expr("INTERVAL 60 DAYS")).alias("ts"), "namespace", "error_count")
     stale = L.kind_rollup(facts, "2024-01-10").withColumn("error_count", F.col("error_count") + 5)
     middle = names.filter(F.col("window_start").between("2024-01-08", "2024-01-09 23:59:59"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog import rules
 from emberlog.functions import text as X
 from emberlog.functions import values as V
 from emberlog.operators import analysis as N
@@ -156,7 +157,13 @@ def top_error_ids(spark, d):
     return t.select(F.floor(F.unix_seconds("window_start") / 86400).cast("long").alias("day"), "namespace", "error_id", "n", "rank")
 
 
-@query()
+_KIND = "substring(lower(trim({})), 1, 60)".format(S.replaced("message", [(r"[0-9a-fA-F]{8,}", "<ID>"), (r"\d+", "<ID>"), (r"\s+", " ")]))
+
+
+@query(S.ctes("rec") + f""", m AS (SELECT seq, namespace, error_type, raw_message AS message FROM rec), q AS (SELECT *, {_KIND} AS kind, 2 * ({Q._COUNT(rules.QUALITY_GOOD)}) - 3 * ({Q._COUNT(rules.QUALITY_BAD)})
+    + CAST(least(length(message) // 80, 5) AS INT) + 2 * CAST(lower(error_type) NOT IN ('', 'unknownerror', 'simpleerror') AS INT) AS quality FROM m),
+    a AS (SELECT *, row_number() OVER (PARTITION BY namespace, error_type, kind ORDER BY quality DESC, seq) > 1 AS again FROM q), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY namespace, error_type ORDER BY again, quality DESC, seq) AS INT) AS rank FROM a)
+    SELECT namespace, error_type, rank, message, quality FROM r WHERE rank <= 3""")
 def quality_examples(spark, d):
     """K6."""
     r = Q.records(spark, d).select("seq", "namespace", "error_type", F.col("raw_message").alias("message"))
@@ -218,12 +225,18 @@ def service_health(spark, d):
     return h.select("app_name", "namespace", Q.epoch("window_start"), "errors", V.health_score(F.col("errors"), F.lit(1.0), F.lit(0), F.col("errors") % 2).alias("health"))
 
 
-@query()
+@query(S.ctes("rows") + """, p AS (SELECT fingerprint || '/' || namespace || '/' || app_name || '/' || w AS id, error_type, namespace, app_name AS app, CASE WHEN starts_with(app_name, 'bff') THEN 'cards' ELSE 'other' END AS flow FROM rows),
+    k AS (SELECT error_type, namespace, min(app) AS k_app, error_type || '/' || namespace || '/a' AS known_id FROM p GROUP BY ALL UNION ALL SELECT error_type, namespace, max(app), error_type || '/' || namespace || '/z' FROM p GROUP BY ALL),
+    m AS (SELECT id, known_id, 5 + CASE WHEN app = k_app THEN 2 ELSE 0 END + CASE WHEN flow = 'cards' THEN 3 ELSE 0 END AS points FROM p JOIN k USING (error_type, namespace)),
+    b AS (SELECT id, max(points) AS points FROM m GROUP BY id) SELECT id, CAST(points AS INT) AS points, CASE WHEN count(*) = 1 THEN min(known_id) ELSE '-' END AS known_id FROM m JOIN b USING (id, points) GROUP BY ALL""")
 def known_peaks(spark, d):
-    """J21, J22."""
-    p = rows(spark, d).select(F.xxhash64("fingerprint", "namespace", "window_start", "app_name").alias("id"), "error_type", "namespace", F.col("app_name").alias("app"), F.lit("f").alias("flow"))
-    known = p.groupBy("error_type", "namespace").agg(F.min("app").alias("app")).withColumn("flow", F.lit("f")).withColumn("known_id", F.concat_ws("/", "error_type", "namespace"))
-    return Z.known_peak_match(p, known)
+    """Two known peaks of each type and namespace, so that some matches are even."""
+    at = F.unix_seconds("window_start").cast("string")
+    flow = F.when(F.col("app_name").startswith("bff"), "cards").otherwise("other")
+    p = rows(spark, d).select(F.concat_ws("/", "fingerprint", "namespace", "app_name", at).alias("id"), "error_type", "namespace", F.col("app_name").alias("app"), flow.alias("flow"))
+    known = p.groupBy("error_type", "namespace").agg(F.min("app").alias("a"), F.max("app").alias("z"))
+    known = known.select("error_type", "namespace", F.inline(F.array(*(F.struct(F.col(c).alias("app"), F.concat_ws("/", "error_type", "namespace", F.lit(c)).alias("known_id")) for c in "az")))).withColumn("flow", F.lit("cards"))
+    return Z.known_peak_match(p, known).select("id", F.coalesce("known_id", F.lit("-")).alias("known_id"), "points")
 
 
 @query("""WITH a AS (SELECT o_custkey % 50 AS namespace, epoch_us(o_orderdate) // 1000000 AS s, epoch_us(o_orderdate) // 1000000 + 86400 * 3 AS e, o_orderkey AS id FROM orders),
@@ -341,10 +354,18 @@ def known_errors(spark, d):
     return N.match_known(g, known).select("group_id", F.coalesce("error_id", F.lit("-")).alias("error_id"), "confidence")
 
 
-@query()
+_ACTIONS = [("database", None, "Check the connection pool", 1), ("database", "pool", "Raise the pool's size", 2), ("network", None, "Check the target service", 1), ("timeout", None, "Check downstream latency", 2)]
+_MODAL = lambda c: f"SELECT group_id, arg_min({c}, (-n, s)) AS {c} FROM (SELECT group_id, {c}, count(*) AS n, min((us, event_id)) AS s FROM ev GROUP BY ALL) GROUP BY group_id"
+_ACTION_ROWS = ", ".join(f"({S.quoted(c)}, {S.quoted(s) if s else 'NULL'}, {S.quoted(t)}, {u})" for c, s, t, u in _ACTIONS)
+
+
+@query(S.ctes("ev") + f""", f AS (SELECT group_id, app, min(us) AS us FROM ev GROUP BY ALL), r AS (SELECT group_id, arg_min(app, (us, app)) AS root_app, count(*) AS apps FROM f GROUP BY 1), c AS ({_MODAL('category')}), s AS ({_MODAL('subcategory')}),
+    k AS (SELECT * FROM (VALUES {_ACTION_ROWS}) k(cat, sub, title, urgency)), u AS (SELECT group_id, title, urgency FROM c JOIN s USING (group_id) JOIN k ON cat = category AND (sub IS NULL OR sub = subcategory)
+    UNION ALL SELECT group_id, 'Check root application ' || root_app, 1 FROM r WHERE apps >= 3), o AS (SELECT group_id, title, CAST(min(urgency) AS INT) AS urgency FROM u GROUP BY ALL),
+    n AS (SELECT *, CAST(row_number() OVER (PARTITION BY group_id ORDER BY urgency, title) AS INT) AS rank FROM o) SELECT group_id, rank, title, urgency FROM n WHERE rank <= 10""")
 def recommended_actions(spark, d):
     """Actions by rule and scope."""
-    rules = spark.createDataFrame([("database", None, "Check the connection pool", 1), ("database", "pool", "Raise the pool's size", 2), ("network", None, "Check the target service", 1), ("timeout", None, "Check downstream latency", 2)], "category string, subcategory string, title string, urgency int")
+    rules = spark.createDataFrame(_ACTIONS, "category string, subcategory string, title string, urgency int")
     e = events(spark, d)
     r = N.scopes(e).join(N.modal(e), "group_id").join(N.modal(e, "subcategory"), "group_id")
     return N.actions(r, rules).select("group_id", "rank", "title", "urgency")
@@ -388,6 +409,19 @@ def stored_texts(spark, d):
     return e.select("seq", X.plain_environment(F.col("namespace")).alias("environment"), X.stored_message(F.col("message")).alias("stored"), X.plain_token(F.col("app_name")).alias("token"), X.duration_text(F.col("seq")).alias("duration"), V.shown_time(F.col("ts")).alias("shown"), ratio.alias("ratio"))
 
 
+_HEAD = "substring(useful, 1, 37)"
+_CUT = f"length(regexp_extract({_HEAD}, '(?s)^(.*)[ .]', 1))"
+_FLAT = "trim(regexp_replace(message, '\\s+', ' ', 'g'))"
+
+
+@query(S.ctes("errs") + f""", u AS (SELECT seq, message, {Q.USEFUL_SQL} AS useful FROM errs) SELECT seq, CASE WHEN length(useful) <= 40 THEN useful ELSE CASE WHEN {_CUT} > 20 THEN substring({_HEAD}, 1, {_CUT}) ELSE {_HEAD} END || '...' END AS trimmed,
+    {_FLAT} = '' OR {S.has_any(f"lower({_FLAT})", ["error handled", "unknownerror", "unknown error", "classified as unknown"])} OR length({_FLAT}) < 40 OR (NOT {S.has_any(_FLAT, ["|", ";", "->"])} AND ends_with(lower({_FLAT}), 'exception')) AS low_signal FROM u""")
+def trimmed_texts(spark, d):
+    """useful content cut at a word, and texts that say too little."""
+    m = F.col("message")
+    return Q.errors(spark, d).select("seq", X.smart_trim(m, 40).alias("trimmed"), X.is_low_signal(m).alias("low_signal"))
+
+
 @query()
 def operator_texts(spark, d):
     """texts as operators read them; checked on single messages in the tests."""

@@ -208,7 +208,7 @@ def processed_days(spark, d):
 # --- trends over occurrences of fingerprints ---
 
 _NOW, _NOW_SEC = "2024-01-25 12:00:00", 1706184000
-_IN = lambda a, b: f"coalesce(sum(n) FILTER ({_NOW_SEC} - w >= {a} AND {_NOW_SEC} - w < {b}), 0)"
+_IN = lambda a, b, now=_NOW_SEC: f"coalesce(sum(n) FILTER ({now} - w >= {a} AND {now} - w < {b}), 0)"
 S.TABLES["occ"] = "SELECT fingerprint, w, CAST(sum(n) AS BIGINT) AS n FROM facts GROUP BY ALL"
 S.NEEDS["occ"] = ["facts"]
 
@@ -228,13 +228,18 @@ def error_trends(spark, d):
     return t.select("fingerprint", "current_2h", "current_24h", R("base_2h").alias("base_2h"), R("base_24h").alias("base_24h"), "trend_24h")
 
 
-@query(S.ctes("occ") + f""", v AS (SELECT fingerprint, {_IN(0, 604800)} AS a, {_IN(604800, 1209600)} AS b, max(w) AS last FROM occ GROUP BY 1),
-    g AS (SELECT fingerprint, w, w - lag(w) OVER (PARTITION BY fingerprint ORDER BY w) AS gap FROM occ),
-    p AS (SELECT fingerprint, count(*) AS n, (max(w) - min(w)) / 86400.0 AS span, coalesce(bool_or(gap > 900), false) AS apart, count(DISTINCT w // 86400) AS days FROM g GROUP BY 1),
-    k AS (SELECT fingerprint, count(*) FILTER (c >= 2) AS busy FROM (SELECT fingerprint, (w // 86400 + 3) % 7 AS dow, count(*) AS c FROM occ GROUP BY ALL) GROUP BY 1)
-    SELECT fingerprint, CASE WHEN last < {_NOW_SEC} - 604800 THEN 'inactive' WHEN b <= 0 THEN 'active / new' WHEN a / b >= 1.2 THEN 'active / rising' WHEN a / b <= 0.8 THEN 'active / falling' ELSE 'active / stable' END AS activity,
+def _activity_sql(occ: str, key: str, now: int) -> str:
+    """``key, activity, periodicity`` of a table (key, w, n) of occurrences, after its CTEs."""
+    return f""", v AS (SELECT {key}, {_IN(0, 604800, now)} AS a, {_IN(604800, 1209600, now)} AS b, max(w) AS last FROM {occ} GROUP BY 1),
+    g AS (SELECT {key}, w, w - lag(w) OVER (PARTITION BY {key} ORDER BY w) AS gap FROM {occ}),
+    p AS (SELECT {key}, count(*) AS n, (max(w) - min(w)) / 86400.0 AS span, coalesce(bool_or(gap > 900), false) AS apart, count(DISTINCT w // 86400) AS days FROM g GROUP BY 1),
+    k AS (SELECT {key}, count(*) FILTER (c >= 2) AS busy FROM (SELECT {key}, (w // 86400 + 3) % 7 AS dow, count(*) AS c FROM {occ} GROUP BY ALL) GROUP BY 1)
+    SELECT {key}, CASE WHEN last < {now} - 604800 THEN 'inactive' WHEN b <= 0 THEN 'active / new' WHEN a / b >= 1.2 THEN 'active / rising' WHEN a / b <= 0.8 THEN 'active / falling' ELSE 'active / stable' END AS activity,
     CASE WHEN n = 1 THEN 'one-time' WHEN n = 2 THEN CASE WHEN span * 24 < 1 THEN 'one-time' ELSE 'sporadic' END WHEN NOT apart THEN 'one-time' WHEN span < 1 THEN 'sporadic' WHEN span >= 3 AND days / greatest(span, 1) >= 0.6 THEN 'periodic-daily'
-    WHEN span >= 14 AND busy <= 2 AND n >= 4 THEN 'periodic-weekly' ELSE 'sporadic' END AS periodicity FROM v JOIN p USING (fingerprint) JOIN k USING (fingerprint)""")
+    WHEN span >= 14 AND busy <= 2 AND n >= 4 THEN 'periodic-weekly' ELSE 'sporadic' END AS periodicity FROM v JOIN p USING ({key}) JOIN k USING ({key})"""
+
+
+@query(S.ctes("occ") + _activity_sql("occ", "fingerprint", _NOW_SEC))
 def peak_activity(spark, d):
     """W12, W13."""
     o = _occurrences(spark, d)
@@ -307,16 +312,49 @@ def registry_health(spark, d):
     return G.health(registry(spark, d), "2024-01-30").select("problems", "fingerprints", "min_fingerprints", "max_fingerprints", R("avg_fingerprints").alias("avg_fingerprints"), "active_day")
 
 
-@query()
+_LATE, _LATE_SEC = "2024-01-30", 1706572800
+
+
+def _trend_sql(c: str, base: str, label: str) -> str:
+    pct = f"(({c} - {base}) / {base} * 100)"
+    whole = f"CAST(CAST(abs(round_even({pct}, 0)) AS BIGINT) AS VARCHAR)"
+    return f"""CASE WHEN {base} = 0 AND {c} = 0 THEN '{label}: → 0' WHEN {base} = 0 THEN '{label}: ↑ ' || CAST({c} AS BIGINT) WHEN abs({pct}) >= 200 THEN '{label}: ' || CASE WHEN {pct} > 0 THEN '↑ +' ELSE '↓ -' END || '200%' || CASE WHEN abs({pct}) > 200 THEN '+' ELSE '' END
+        ELSE '{label}: → ' || CASE WHEN {pct} >= 0 THEN '+' ELSE '-' END || {whole} || '%' END"""
+
+
+_MEAN = lambda length, slots: "coalesce(list_avg(list_filter([" + ", ".join(_IN(i * length, (i + 1) * length, _LATE_SEC) for i in range(1, slots + 1)) + "], lambda x: x > 0)), 0)"
+_LOWER = {"critical": "high", "high": "medium", "medium": "low", "low": "low"}
+# A minute that both runs have keeps the count of the second one
+S.TABLES["ktimes"] = """SELECT registry_key, m AS w, arg_max(n, run) AS n FROM (SELECT registry_key, last_us // 60000000 * 60 AS m, fingerprint[2] NOT BETWEEN '0' AND '7' AS run, CAST(sum(total) AS BIGINT) AS n FROM rkeyed GROUP BY ALL) GROUP BY ALL"""
+S.NEEDS["ktimes"] = ["rkeyed"]
+
+
+@query(S.ctes("ktimes") + f""", t AS (SELECT registry_key, sum(n) AS occ, {_IN(0, 7200, _LATE_SEC)} AS c2, {_IN(0, 86400, _LATE_SEC)} AS c24, {_MEAN(7200, 5)} AS b2, {_MEAN(86400, 6)} AS b24 FROM ktimes GROUP BY 1),
+    k AS (SELECT registry_key, min(category) AS category, min(first_us) AS first_us, max(last_us) AS last_us, list_distinct(flatten(list(namespaces))) AS ns, len(list_distinct(flatten(list(apps)))) AS apps FROM rkeyed GROUP BY 1),
+    s AS (SELECT *, CASE WHEN len(ns) >= 4 OR apps >= 8 THEN 'SYSTEMIC' WHEN len(ns) >= 2 THEN 'CROSS_NS' ELSE 'LOCAL' END AS scope FROM k WHERE last_us >= (SELECT max(last_us) FROM k) - 30 * 86400000000),
+    l AS (SELECT *, {S.case(((f"scope = {S.quoted(a)}", S.quoted(b)) for a, b in rules.SCOPE_SEVERITY.items()), f"CASE WHEN lower(category) IN ({', '.join(map(S.quoted, rules.BOOSTED_CATEGORIES))}) THEN 'medium' ELSE 'low' END")} AS level,
+    len(ns) > 0 AND len(list_filter(ns, lambda x: NOT {S.has_any('x', rules.NON_PROD)})) = 0 AS inner_only FROM s)
+    SELECT registry_key, category, CAST(occ AS BIGINT) AS occurrence_total, CAST(c2 AS BIGINT) AS current_2h, CAST(c24 AS BIGINT) AS current_24h, {_trend_sql('c2', 'b2', '2h')} AS trend_2h, {_trend_sql('c24', 'b24', '24h')} AS trend_24h, scope,
+    CASE WHEN inner_only THEN {S.case(((f"level = {S.quoted(a)}", S.quoted(b)) for a, b in _LOWER.items()), "level")} ELSE level END AS severity,
+    CASE WHEN c24 <= 0 THEN 0 ELSE round_even(least(100.0::DOUBLE, log10(c24::DOUBLE) / 3 * 100), 1) END AS score, first_us, last_us FROM l JOIN t USING (registry_key)""")
 def errors_table(spark, d):
     """K4, M15, M27, S26."""
-    return G.errors_table(registry(spark, d), "2024-01-30")
+    t = G.errors_table(registry(spark, d), _LATE)
+    return t.withColumns({"first_us": F.unix_micros("first_seen"), "last_us": F.unix_micros("last_seen")}).drop("first_seen", "last_seen")
 
 
-@query()
+S.TABLES["pkeyed"] = """SELECT 'PEAK:' || category || ':' || rflow || ':' || CASE WHEN is_spike THEN 'spike' ELSE 'burst' END AS peak_key, r.*, o.value AS peak_value FROM rkeyed r LEFT JOIN owned o ON o.owner = r.fingerprint WHERE is_spike OR is_burst"""
+S.TABLES["pocc"] = "SELECT peak_key, last_us // 900000000 * 900 AS w, CAST(sum(total) AS BIGINT) AS n FROM pkeyed GROUP BY ALL"
+S.NEEDS.update({"pkeyed": ["rkeyed", "owned"], "pocc": ["pkeyed"]})
+
+
+@query(S.ctes("pocc") + ", act AS (SELECT * FROM (" + S.ctes("pocc") + _activity_sql("pocc", "peak_key", _LATE_SEC) + """)), q AS (SELECT peak_key, CAST(sum(total) AS BIGINT) AS raw_count, CAST(max(coalesce(peak_value, total)) AS BIGINT) AS max_value, round(max(ratio), 2) AS max_ratio,
+    min(first_us) AS first_us, max(last_us) AS last_us FROM pkeyed GROUP BY 1)
+    SELECT peak_key, raw_count, max_value, max_ratio, CASE WHEN last_us < (1706572800 - 604800) * 1000000::BIGINT THEN 'inactive' ELSE activity END AS activity, periodicity, first_us, last_us FROM q JOIN act USING (peak_key) WHERE last_us >= (SELECT max(last_us) FROM q) - 30 * 86400000000""")
 def peaks_table(spark, d):
     """K5."""
-    return G.peaks_table(G.peak_updates(D.incidents(spark, d)), "2024-01-30")
+    t = G.peaks_table(G.peak_updates(D.incidents(spark, d)), _LATE)
+    return t.withColumns({"first_us": F.unix_micros("first_seen"), "last_us": F.unix_micros("last_seen")}).drop("first_seen", "last_seen")
 
 
 @query(S.ctes("rec") + """, c AS (SELECT fingerprint, coalesce(originator, '') AS k, count(*) AS n FROM rec GROUP BY ALL), t AS (SELECT fingerprint, sum(n) AS total FROM c GROUP BY 1), o AS (SELECT * FROM c WHERE k <> ''),
