@@ -119,13 +119,33 @@ def version_impact(spark, d):
     return v.select("problem_key", "total_versions", F.coalesce("spike_version", F.lit("-")).alias("spike_version"), F.coalesce("new_version", F.lit("-")).alias("new_version"), "has_regression")
 
 
-@query()
+_HEAD250 = "substring(u, 1, 247)"
+_CUT250 = f"length(regexp_extract({_HEAD250}, '(?s)^(.*)[ .]', 1))"
+_SHORT = f"CASE WHEN length(u) <= 250 THEN u ELSE CASE WHEN {_CUT250} > 125 THEN substring({_HEAD250}, 1, {_CUT250}) ELSE {_HEAD250} END || '...' END"
+_SAID = {
+    "said": f"SELECT problem_key, fingerprint, first_seq, total AS n, sample_message, CASE WHEN a <> '' THEN a ELSE b END AS said FROM (SELECT *, {G.useful_sql('sample_message')} AS a, {G.useful_sql('normalized_message')} AS b FROM keyed)",
+    "heard": "SELECT *, sum(n) OVER (PARTITION BY problem_key) AS whole, bool_or(said <> '') OVER (PARTITION BY problem_key) AS any_said FROM said",
+    "told": "SELECT * EXCLUDE (said), CASE WHEN any_said THEN said ELSE substring(sample_message, 1, 250) END AS message FROM heard WHERE said <> '' OR NOT any_said",
+    "marked": f"SELECT *, CASE WHEN any_said THEN {G._SIGNAL} ELSE -1 END AS signal, {_TRACE} AS key FROM (SELECT *, message AS x FROM told)",
+    "key_apps": "SELECT problem_key, key, arg_min(app_name, (-c, app_name)) AS app FROM (SELECT problem_key, key, app_name, count(*) AS c FROM marked JOIN (SELECT fingerprint, app_name FROM rec) USING (fingerprint) GROUP BY ALL) GROUP BY ALL",
+    "kept": """SELECT * FROM (SELECT *, bool_or(signal >= -2) OVER (PARTITION BY problem_key) AS good FROM (SELECT problem_key, key, arg_max(message, (signal, -first_seq)) AS message, CAST(max(signal) AS INT) AS signal, CAST(sum(n) AS BIGINT) AS count, max(whole) AS whole
+        FROM marked WHERE key <> '' GROUP BY ALL)) WHERE signal >= -2 OR NOT good""",
+    "shown": f"SELECT * EXCLUDE (message, u), CASE WHEN u <> '' THEN {_SHORT} ELSE substring(message, 1, 250) END AS message FROM (SELECT *, {G.useful_sql('message')} AS u FROM kept)",
+    "best": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY problem_key, lower(substring({_TRACE}, 1, 80)) ORDER BY signal DESC, count DESC, key) AS r FROM (SELECT *, message AS x FROM shown)) WHERE r = 1",
+    "pattern": "SELECT problem_key, CAST(row_number() OVER (PARTITION BY problem_key ORDER BY signal DESC, count DESC, key) AS INT) AS rank, message, count, round(count / whole * 100, 1) AS share_pct, signal, app FROM best JOIN key_apps USING (problem_key, key)",
+}
+S.TABLES.update(_SAID)
+S.NEEDS.update({"said": ["keyed"], "heard": ["said"], "told": ["heard"], "marked": ["told"], "key_apps": ["marked", "rec"], "kept": ["marked"], "shown": ["kept"], "best": ["shown"], "pattern": ["best", "key_apps"]})
+
+
+@query(S.ctes("pattern") + " SELECT * FROM pattern WHERE rank <= 5")
 def problem_patterns(spark, d):
-    """Checked against a loop in the tests."""
+    """Checked against a loop in the tests as well."""
     return P.patterns(keyed(spark, d))
 
 
-@query()
+@query(S.ctes("pattern") + """, b AS (SELECT problem_key, arg_max({'app': app, 'message': message, 'signal': signal}, (signal >= 0, signal, count, -rank)) AS b FROM pattern WHERE rank <= 8 GROUP BY 1)
+    SELECT problem_key, b.app AS service, b.message AS message, CASE WHEN b.signal > 0 THEN 'ERROR' ELSE 'WARN' END AS level, CASE WHEN b.signal >= 3 THEN 'high' WHEN b.signal > 0 THEN 'medium' ELSE 'low' END AS confidence FROM b""")
 def problem_root_causes(spark, d):
     """Root causes from patterns."""
     return P.root_causes(P.patterns(keyed(spark, d), 8))
