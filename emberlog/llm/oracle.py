@@ -30,6 +30,35 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_lines, coalesce(g.n, 0) AS n_removed, CAS
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+#: CRC-32 of the bytes of a text: the table of a byte's eight steps, and a fold over bytes that are read from their hexadecimal digits.
+_CRC_TABLE = "(SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS table_of_bytes)"
+
+
+def _crc(text: str) -> str:
+    digit = "instr('123456789ABCDEF', {s}[{i}])".format
+    byte = f"{digit(s='hx', i='2 * k + 1')} * 16 + {digit(s='hx', i='2 * k + 2')}".replace("hx", f"hex(encode({text}))")
+    bytes_of = f"list_transform(range(octet_length(encode({text}))), lambda k: CAST({byte} AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bytes_of}), lambda c, b: xor(c // 256, table_of_bytes[xor(c, b) % 256 + 1])), 4294967295)"
+
+
+PERIODIC_RUNS = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS v, {_crc("CAST(doc_id AS VARCHAR)")} AS h FROM documents, {_CRC_TABLE}),
+g AS (SELECT doc_id, v, len(v) AS n, h, h // 10 AS g FROM d), a AS (SELECT *, CASE WHEN n > 0 THEN g % n ELSE 0 END AS a FROM g),
+m AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN v[i + 1] ELSE v[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END) ELSE v END AS v FROM a),
+w AS (SELECT doc_id, unnest(v) AS word, generate_subscripts(v, 1) - 1 AS i FROM m),
+e AS (SELECT doc_id, i, word || ' ' || {" || ' ' || ".join(f"lead(word, {k}) OVER o" for k in range(1, 8))} AS eight FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+p AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM e x JOIN e y ON x.doc_id = y.doc_id AND x.eight = y.eight AND x.i < y.i),
+s AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM p),
+l AS (SELECT doc_id, q, min(i) AS a, max(i) + 8 - min(i) + q AS size FROM s GROUP BY doc_id, q, island),
+r AS (SELECT doc_id, a, size, min(q) AS q FROM l WHERE size >= 24 AND size >= 3 * q GROUP BY doc_id, a, size),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CAST(size AS DOUBLE) / q DESC, a, q) AS place FROM r),
+t AS (SELECT doc_id, count(*) AS n, string_agg(a || ',' || size || ',' || q || chr(10), '' ORDER BY a, q) AS listed FROM r GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM w WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = w.doc_id AND w.i >= r.a + r.q AND w.i < r.a + r.size) GROUP BY doc_id)
+SELECT m.doc_id, CAST(coalesce(t.n, 0) AS BIGINT) AS n_runs, CAST(b.a AS BIGINT) AS start, CAST(b.size AS BIGINT) AS length, CAST(b.q AS BIGINT) AS period, CAST(1000 * b.size // b.q AS BIGINT) AS exponent_milli,
+sha256(coalesce(t.listed, '')) AS runs_sha256, sha256(coalesce(k.kept, '')) AS collapsed_sha256
+FROM m LEFT JOIN t USING (doc_id) LEFT JOIN b ON b.doc_id = m.doc_id AND b.place = 1 LEFT JOIN k ON k.doc_id = m.doc_id
+"""
+
 MIX_TARGETS = rf"""
 WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size FROM documents),
 g AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS pos FROM s GROUP BY source),
@@ -85,4 +114,4 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN c USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"mix_targets": MIX_TARGETS, "op2_line_dedup": LINE_DEDUP, "op3_quality_rules": QUALITY_RULES, "op7_substring_dedup": SUBSTRING_DEDUP, "op8_warc": WARC, "op9_decontaminate": DECONTAMINATE}
+    return {"mix_targets": MIX_TARGETS, "op2_line_dedup": LINE_DEDUP, "op3_quality_rules": QUALITY_RULES, "op7_substring_dedup": SUBSTRING_DEDUP, "op8_warc": WARC, "op9_decontaminate": DECONTAMINATE, "op13_periodic_runs": PERIODIC_RUNS}

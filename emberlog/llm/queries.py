@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import classifier, decontaminate, line_dedup, mixing, pii, quality_rules, simhash, substring_dedup, url_filter, warc
+from emberlog.llm import classifier, decontaminate, line_dedup, mixing, periodic_runs, pii, quality_rules, simhash, substring_dedup, url_filter, warc
+from emberlog.llm.shared import WORD
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +63,28 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def with_made_repeats(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` of documents; in those with h % 10 = 0 (h: crc32 of the id) the words from one place on repeat what stands there.
+
+    Word i >= a becomes word a + (i - a) % p; a = g % n, p = 1 + floor((n - a) / (3 + g % 8)), g = floor(h / 10).
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    rows = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("w")).withColumn("n", F.size("w"))
+    rows = rows.withColumn("g", F.floor(F.col("h") / 10)).withColumn("a", F.expr("cast(g % n as int)")).withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    tail = "slice(flatten(array_repeat(slice(w, a + 1, p), cast(1 + (n - a) div p as int))), 1, n - a)"
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.expr(f"array_join(concat(slice(w, 1, a), {tail}), ' ')")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic_runs.find_runs(with_made_repeats(_table(spark, sf_dir, "documents")), with_text=True)
+    rows = rows.withColumn("best", periodic_runs.strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    milli = F.expr("(1000 * best.length) div best.period")
+    report = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", milli.alias("exponent_milli"), F.sha2(report, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_mix_sources, op2_line_dedup, op3_quality_rules, op4_simhash, op5_pii, op6_url_filter, op7_substring_dedup, op8_warc, op9_decontaminate, op10_quality_classifier, mix_targets)
+    own = (op1_mix_sources, op2_line_dedup, op3_quality_rules, op4_simhash, op5_pii, op6_url_filter, op7_substring_dedup, op8_warc, op9_decontaminate, op10_quality_classifier, op13_periodic_runs, mix_targets)
     return {f.__name__: f for f in own}
