@@ -59,6 +59,22 @@ sha256(coalesce(t.listed, '')) AS runs_sha256, sha256(coalesce(k.kept, '')) AS c
 FROM m LEFT JOIN t USING (doc_id) LEFT JOIN b ON b.doc_id = m.doc_id AND b.place = 1 LEFT JOIN k ON k.doc_id = m.doc_id
 """
 
+SPELLING = rf"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UP}', '{_LOW}'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+u AS MATERIALIZED (SELECT doc_id, run, count(*) AS n FROM t GROUP BY doc_id, run),
+h AS (SELECT run, n, {_crc("concat(doc_id, ':', run)")} AS h FROM u, {_CRC_TABLE}),
+s AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM s WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+d AS MATERIALIZED (SELECT word, n, i, left(word, i) || substring(word, i + 2) AS cut FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+p AS (SELECT DISTINCT x.word, y.word AS near, y.n FROM d x JOIN d y ON x.i = y.i AND x.cut = y.cut AND x.word <> y.word
+    UNION SELECT DISTINCT d.word, v.word, v.n FROM d JOIN v ON d.cut = v.word UNION SELECT DISTINCT v.word, d.word, d.n FROM d JOIN v ON d.cut = v.word),
+b AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY n DESC, near) AS place FROM p),
+w AS MATERIALIZED (SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.n >= 2 * v.n THEN b.near END AS form, CASE WHEN b.n >= 2 * v.n THEN b.n END AS form_n FROM v LEFT JOIN b ON b.word = v.word AND b.place = 1),
+r AS (SELECT word, form FROM w WHERE form IS NOT NULL UNION ALL SELECT r.word, w.form FROM r JOIN w ON r.form = w.word WHERE w.form IS NOT NULL),
+z AS (SELECT r.word, r.form AS root FROM r JOIN w ON r.form = w.word WHERE w.form IS NULL)
+SELECT w.word, w.form, coalesce(z.root, w.word) AS root, w.n, w.n_near, w.form_n FROM w LEFT JOIN z ON z.word = w.word
+"""
+
 MIX_TARGETS = rf"""
 WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size FROM documents),
 g AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS pos FROM s GROUP BY source),
@@ -114,4 +130,4 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN c USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"mix_targets": MIX_TARGETS, "op2_line_dedup": LINE_DEDUP, "op3_quality_rules": QUALITY_RULES, "op7_substring_dedup": SUBSTRING_DEDUP, "op8_warc": WARC, "op9_decontaminate": DECONTAMINATE, "op13_periodic_runs": PERIODIC_RUNS}
+    return {"mix_targets": MIX_TARGETS, "op2_line_dedup": LINE_DEDUP, "op3_quality_rules": QUALITY_RULES, "op7_substring_dedup": SUBSTRING_DEDUP, "op8_warc": WARC, "op9_decontaminate": DECONTAMINATE, "op12_spelling_variants": SPELLING, "op13_periodic_runs": PERIODIC_RUNS}
