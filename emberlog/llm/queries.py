@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import classifier, decontaminate, line_dedup, mixing, periodic_runs, pii, quality_rules, simhash, spelling, substring_dedup, url_filter, warc
+from emberlog.llm import classifier, decontaminate, line_dedup, main_text, mixing, periodic_runs, pii, quality_rules, simhash, spelling, substring_dedup, url_filter, warc
 from emberlog.llm.shared import WORD
 
 
@@ -63,6 +63,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = main_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), name="text")
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = spelling.letter_runs(_table(spark, sf_dir, "documents"))
     return spelling.spelling_variants(spelling.vocabulary(runs.select(spelling.slip(F.col("run"), F.col("doc_id")).alias("word"))))
@@ -91,5 +96,5 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_mix_sources, op2_line_dedup, op3_quality_rules, op4_simhash, op5_pii, op6_url_filter, op7_substring_dedup, op8_warc, op9_decontaminate, op10_quality_classifier, op12_spelling_variants, op13_periodic_runs, mix_targets)
+    own = (op1_mix_sources, op2_line_dedup, op3_quality_rules, op4_simhash, op5_pii, op6_url_filter, op7_substring_dedup, op8_warc, op9_decontaminate, op10_quality_classifier, op11_main_text, op12_spelling_variants, op13_periodic_runs, mix_targets)
     return {f.__name__: f for f in own}
