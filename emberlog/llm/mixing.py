@@ -171,7 +171,7 @@ def mixed_blocks(docs: DataFrame, *, block_words: int = 128, shard_slots: int =
     """The mix itself, for training: one row per slot with ``shard, source, block, text`` (the block's words, joined by a space)."""
     sizes, src, slots = _plan(docs, block_words, shard_slots, seed, doc_id, text, source)
     b = F.lit(block_words)
-    placed = place_words(sizes, src).filter("size > 0").dropDuplicates(["doc_id", "tie", "ord"])
+    placed = place_words(sizes, src).filter("size > 0")
     rows = docs.select(F.col(doc_id).alias("d"), F.xxhash64(F.col(text)).alias("t"), F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)).alias("w")).dropDuplicates(["d", "t"])
     with_words = placed.join(rows, placed["doc_id"].eqNullSafe(rows["d"]) & (placed["tie"] == rows["t"]))
     pieces = with_words.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b))))

@@ -98,6 +98,37 @@ def test_mixed_blocks_are_the_words_taken(spark, docs):
     assert {(r["source"], r["n"]) for r in blocks} == {(r["source"], r["n"]) for r in taken if r["n"]}
 
 
+def test_mixed_blocks_of_repeated_rows(spark):
+    """Rows alike in id and text stand in two sources, and twice in one: each has its own words in the mix."""
+    text = "one two three four five six seven eight"
+    rows = [(1, text, "x"), (1, text, "y"), (2, "a b c d", "y"), (3, text, "y"), (3, text, "y"), (None, text, None), (1, text, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for shard in (1, 4, 1024):
+        blocks = mixing.mixed_blocks(df, block_words=4, shard_slots=shard).groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n"), F.count("*").alias("slots")).collect()
+        taken = {r["source"]: r["n"] for r in mixing.mix(df, block_words=4, shard_slots=shard).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+        assert {r["source"]: r["n"] for r in blocks} == {k: n for k, n in taken.items() if n} and all(r["n"] == 4 * r["slots"] for r in blocks)
+    got = Counter((r["source"], r["text"]) for r in mixing.mixed_blocks(df, block_words=4, shard_slots=8, seed=3).collect())
+    assert got == Counter(mixed_by_hand(rows, 4, 8, 3))
+
+
+def mixed_by_hand(rows, block, shard_slots, seed):
+    """The slots of the mix as (source, words of a block), with the operator's own draws and places, words laid out one by one."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    sizes, src, slots = mixing._plan(spark.createDataFrame(rows, "doc_id long, text string, source string"), block, shard_slots, seed, "doc_id", "text", "source")
+    laid = defaultdict(dict)
+    by_tie = {(i, hashed(t)): words(t) for i, t, _ in rows}
+    for r in mixing.place_words(sizes, src).filter("size > 0").collect():
+        for k, w in enumerate(by_tie[r["doc_id"], r["tie"]]):
+            assert r["start"] + k not in laid[r["pos"], r["source"]]
+            laid[r["pos"], r["source"]][r["start"] + k] = w
+    for (pos, source), at in laid.items():
+        assert sorted(at) == list(range(len(at)))
+        for r in slots.filter(F.col("pos") == pos).collect():
+            yield source, " ".join(at[i] for i in range(r["block"] * block, min((r["block"] + 1) * block, len(at))))
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 100):
         rows = spark.range(n).select(F.lit(n).cast("long").alias("n"), F.lit(5).cast("long").alias("key"), F.col("id").alias("p"))
