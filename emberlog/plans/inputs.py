@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from emberlog.functions import text as X
 from emberlog.operators import alerts as A
 from emberlog.operators import incidents as I
 from emberlog.operators import ledger as L
+from emberlog.operators import measure as M
 from emberlog.operators import peaks
 from emberlog.operators.parse import parse
 from emberlog.plans import detection as D
@@ -24,6 +26,7 @@ from emberlog.sources import exports as E
 from emberlog.sources import logs as LS
 from emberlog.sources.tables import shared_folder, staged
 from emberlog.streaming import facts as ST
+from emberlog.streaming import keyed as KS
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -231,47 +234,86 @@ def continued_peaks(spark, d):
 # --- streams ---
 
 
-def _pages(spark: SparkSession, d: str) -> DataFrame:
-    """The events as a stream of pages: a folder per eight days, in the order of time."""
-    folder = _folder(spark, "pages")
-    e = table(spark, d, "events")
-    page = F.floor((F.dayofmonth("ts") - 1) / 8)
-    for i in range(4):
-        e.filter(page == i).coalesce(1).write.mode("append").parquet(folder)
-    return ST.read_events(spark, folder, e.schema)
+def _pages(rows: DataFrame, at: str = "ts", pages: int = 4) -> list[DataFrame]:
+    """Rows cut in the order of time into pages of about as many rows each."""
+    us = F.unix_micros(F.col(at).cast("timestamp"))
+    cuts = rows.agg(F.percentile_approx(us, [i / pages for i in range(1, pages)], 10_000).alias("c")).first()["c"] or []  # a few numbers
+    page = sum((F.when(us > c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
+    return [rows.filter(F.coalesce(page, F.lit(0)) == i) for i in range(len(set(cuts)) + 1)]
 
 
-def _written(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """All that a stream emits, run until its pages are read."""
+def _streamed(spark: SparkSession, pages: list[DataFrame], transform: Callable[[str], DataFrame], mode: str | None = None, start: Callable | None = None) -> DataFrame:
+    """All that a stream emits. Page after page arrives in a folder, which ``transform`` reads as a stream; each time it starts again where it stopped."""
     folder = _folder(spark, "stream")
     put = lambda rows, number: rows.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
-    stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    for page in pages:
+        page.write.mode("append").parquet(f"{folder}/in")
+        stream = transform(f"{folder}/in")
+        run = start(stream, f"{folder}/out", f"{folder}/state") if start else stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
     return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
+def _event_stream(spark: SparkSession, d: str, transform: Callable[[DataFrame], DataFrame], mode: str | None = None, start: Callable | None = None) -> DataFrame:
+    e = table(spark, d, "events")
+    return _streamed(spark, _pages(e), lambda folder: transform(ST.read_events(spark, folder, e.schema)), mode, start)
+
+
 _FACT = ("namespace", "app_name", "fingerprint")
 
 
 @query(S.ctes("facts") + " SELECT w AS window_start, namespace, app_name, fingerprint, CAST(n AS BIGINT) AS error_count, first_us, last_us FROM facts")
 def streamed_facts(spark, d):
     """The facts of a stream's pages together are the batch's facts."""
-    folder = _folder(spark, "facts")
-    ST.write_facts(_pages(spark, d), f"{folder}/out", f"{folder}/state").awaitTermination()
-    per = spark.read.parquet(f"{folder}/out").groupBy("window_start", *_FACT).agg(F.sum("error_count").alias("error_count"), F.min("first_event_at").alias("a"), F.max("last_event_at").alias("z"))
+    per = _event_stream(spark, d, lambda logs: logs, start=ST.write_facts).groupBy("window_start", *_FACT).agg(F.sum("error_count").alias("error_count"), F.min("first_event_at").alias("a"), F.max("last_event_at").alias("z"))
     return per.select(Q.epoch("window_start"), *_FACT, "error_count", F.unix_micros("a").alias("first_us"), F.unix_micros("z").alias("last_us"))
 
 
 @query(S.ctes("facts") + """, m AS (SELECT max(last_us) // 1000 - 900000 AS mark FROM facts) SELECT w AS window_start, namespace, app_name, fingerprint, CAST(n AS BIGINT) AS error_count FROM facts, m WHERE (w + 900) * 1000 <= mark""")
 def watermarked_facts(spark, d):
     """Facts of tumbling windows, each emitted once, when the watermark has passed its end; the last windows wait for more events."""
-    rows = _written(spark, ST.windowed_facts(_pages(spark, d)), "append")
+    rows = _event_stream(spark, d, ST.windowed_facts, "append")
     return rows.select(Q.epoch("window_start"), *_FACT, "error_count")
 
 
 @query(S.ctes("trail") + " SELECT fingerprint, count(*) AS events, CAST(max(c) AS BIGINT) AS max_count, CAST(sum(c) AS BIGINT) AS sum_count FROM trail GROUP BY fingerprint")
 def streamed_bursts(spark, d):
-    """Burst counts kept per fingerprint from page to page."""
-    records = parse(_pages(spark, d).filter("level = 'ERROR'"))
-    rows = _written(spark, ST.stream_bursts(records, 3600), "update")
-    last = F.max_by(F.struct("max_count", "sum_count"), "events")
-    return rows.groupBy("fingerprint").agg(F.max("events").alias("events"), last.alias("l")).select("fingerprint", "events", "l.max_count", "l.sum_count")
+    """Burst counts kept per fingerprint in list state, settled by event-time timers; keys silent for a day are forgotten."""
+    emitted = _event_stream(spark, d, lambda logs: KS.stream_bursts(parse(logs.filter("level = 'ERROR'")), 3600), "update")
+    return KS.burst_totals(emitted)
+
+
+_ALERT_ROWS = """, pay AS (SELECT namespace AS peak_key, w, n, coalesce(lag(w) OVER o >= w - 21600, false) AS is_known, (w // 900) % 11 = 0 AS is_test, (w // 900) % 23 = 0 AS wider, row_number() OVER o AS i,
+    CASE WHEN lag(n) OVER o IS NULL OR n >= 1.2 * lag(n) OVER o THEN 'rising' WHEN n <= 0.8 * lag(n) OVER o THEN 'falling' ELSE 'stable' END AS trend FROM ns_counts WINDOW o AS (PARTITION BY namespace ORDER BY w))"""
+_SENT = "(reason <> 'test_peak_suppressed' AND reason NOT IN ('same_window_duplicate', 'cooldown_active', 'no_material_change'))"
+_DECIDED = """CASE WHEN p.is_test THEN 'test_peak_suppressed' WHEN s_at IS NULL THEN 'first_seen_in_state' WHEN NOT p.is_known THEN 'new_peak' WHEN s_at = p.w THEN 'same_window_duplicate' WHEN s_trend <> p.trend THEN 'trend_changed'
+    WHEN abs(p.n - s_n) * 100.0 / s_n >= 30 THEN 'count_delta_pct' WHEN p.wider THEN 'scope_changed' WHEN p.w < s_at + 2700 THEN 'cooldown_active' WHEN p.w - 7200 >= s_at THEN 'heartbeat' ELSE 'no_material_change' END"""
+
+
+def alert_payload_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A payload for every namespace and window with errors, in arrival order of no particular kind: what the windows before say of it, and some made flags."""
+    n = M.namespace_counts(Q.facts(spark, d))
+    o = Window.partitionBy("namespace").orderBy("window_start")
+    before, w = F.lag("error_count").over(o), F.unix_seconds("window_start")
+    some = lambda cond: F.when(cond, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    return n.select(
+        F.col("namespace").alias("peak_key"), F.col("window_start").alias("at"), F.date_format("window_start", "yyyyMMddHHmm").alias("window_key"), "error_count",
+        F.when(before.isNull() | (F.col("error_count") >= 1.2 * before), "rising").when(F.col("error_count") <= 0.8 * before, "falling").otherwise("stable").alias("trend"), ((F.floor(w / 900)) % 11 == 0).alias("is_test"),
+        F.lit("").alias("test_originator"), F.coalesce(F.lag(w).over(o) >= w - 21600, F.lit(False)).alias("is_known"), some(F.floor(w / 900) % 23 == 0).alias("new_apps"), some(F.lit(False)).alias("new_namespaces"),
+    )
+
+
+@query(
+    S.ctes("ns_counts").replace("WITH", "WITH RECURSIVE", 1) + _ALERT_ROWS + f""", run AS (SELECT peak_key, 0::BIGINT AS i, NULL::BIGINT AS w, NULL::BIGINT AS n, NULL::VARCHAR AS reason, NULL::BIGINT AS s_at, NULL::VARCHAR AS s_trend, NULL::BIGINT AS s_n FROM (SELECT DISTINCT peak_key FROM pay)
+    UNION ALL SELECT peak_key, i, w, n, reason, CASE WHEN {_SENT} THEN w ELSE s_at END, CASE WHEN {_SENT} THEN trend ELSE s_trend END, CASE WHEN {_SENT} THEN n ELSE s_n END
+    FROM (SELECT p.peak_key, p.i, p.w, p.n, p.trend, {_DECIDED} AS reason, s_at, s_trend, s_n FROM run JOIN pay p ON p.peak_key = run.peak_key AND p.i = run.i + 1)),
+    m AS (SELECT max(w) * 1000 - 900000 AS mark FROM pay)
+    SELECT peak_key, w, CAST(n AS BIGINT) AS error_count, reason, {_SENT} AS send FROM run, m WHERE i > 0 AND w * 1000 <= mark"""
+)
+def streamed_alerts(spark, d):
+    """Decisions on paged payloads, kept per peak with cooldown and heartbeat; a payload is decided once the watermark has passed it."""
+    rows = alert_payload_rows(spark, d)
+    rows = staged(rows, "payloads")
+    emitted = _streamed(spark, _pages(rows, "at"), lambda folder: KS.stream_decisions(spark.readStream.schema(rows.schema).parquet(folder)), "append")
+    decided = emitted.filter(~F.col("reason").isin("cooldown_over", "heartbeat_due"))
+    return decided.select("peak_key", F.floor(F.col("us") / 1_000_000).alias("w"), "error_count", F.regexp_replace("reason", r"delta_[\d.]+_", "delta_").alias("reason"), "send")

@@ -1,13 +1,11 @@
-"""Structured Streaming: the batch operators over micro-batches, windowed facts with a watermark, and keyed state for bursts."""
+"""Structured Streaming: the batch operators over micro-batches, and windowed facts with a watermark. Keyed state is in ``keyed``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from emberlog.functions import values as V
@@ -16,9 +14,13 @@ from emberlog.operators.parse import parse
 from emberlog.sources.logs import log_events
 
 
-def read_events(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
-    """A folder of event files as a stream of log rows."""
-    return log_events(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder))
+def read_events(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
+    """A folder of event files as a stream of log rows; all files that are new make one batch, unless ``files_per_batch`` says how many.
+
+    Files of one batch may be in any order of time. Files of different batches must follow each other in time, but for what the watermark allows.
+    """
+    reader = spark.readStream.schema(schema)
+    return log_events((reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(folder))
 
 
 def windowed_facts(logs: DataFrame, delay: str = "15 minutes", seconds: int = V.WINDOW_SECONDS) -> DataFrame:
@@ -45,28 +47,3 @@ def write_facts(logs: DataFrame, path: str, checkpoint: str):
         rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return logs.writeStream.foreachBatch(page_consumer(put)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-_BURST = "fingerprint string, events long, max_count long, sum_count long"
-
-
-def _burst_state(seconds: int):
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent, n, most, total = state.get if state.exists else ([], 0, 0, 0)
-        recent = list(recent)
-        rows = pd.concat(list(batches)).sort_values(["us", "seq"])
-        for us in rows["us"]:
-            recent.append(int(us))
-            start = next(i for i, t in enumerate(recent) if t >= us - seconds * 1_000_000)
-            del recent[:start]
-            n, most, total = n + 1, max(most, len(recent)), total + len(recent)
-        state.update((recent, n, most, total))
-        yield pd.DataFrame([(key[0], n, most, total)], columns=["fingerprint", "events", "max_count", "sum_count"])
-
-    return update
-
-
-def stream_bursts(records: DataFrame, seconds: int = 60) -> DataFrame:
-    """Running burst counts per fingerprint; the state is the times of the last ``seconds`` and three numbers. Events of a batch come in order of time."""
-    rows = records.filter(F.col("ts").isNotNull()).select("fingerprint", F.unix_micros("ts").alias("us"), "seq")
-    return rows.groupBy("fingerprint").applyInPandasWithState(_burst_state(seconds), _BURST, "recent array<bigint>, n long, most long, total long", "update", GroupStateTimeout.NoTimeout)
