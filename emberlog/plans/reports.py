@@ -329,9 +329,26 @@ def modal_categories(spark, d):
     return N.modal(events(spark, d)).select("group_id", "category")
 
 
-@query()
+#: Do a first event (``f``) and a later one (``e``) relate?
+_RELATED = "(e.us - f.us <= 900000000 AND (f.base = e.base OR f.app = e.app OR (e.us - f.us <= 300000000 AND (f.category = e.category OR f.wide OR e.wide))))"
+
+
+# Runs of events end with 15 minutes of silence. Each step adds to each run's first events the next event that relates to none of them.
+@query(
+    S.ctes("ev").replace("WITH", "WITH RECURSIVE", 1) + f""", g AS (SELECT {{'us': us, 'event_id': event_id, 'app': app, 'base': regexp_replace(fingerprint, '-[^-]*$', ''), 'category': category, 'wide': coalesce(is_cross_namespace, false)}} AS e,
+    coalesce(is_spike OR is_burst OR is_cross_namespace OR severity IN ('critical', 'high') OR ratio >= 5, false) AS important, us, event_id, us - lag(us) OVER (ORDER BY us, event_id) > 900000000 AS silent FROM ev),
+    o AS MATERIALIZED (SELECT e, important, us, event_id, count(*) FILTER (silent) OVER (ORDER BY us, event_id) AS run FROM g),
+    r AS (SELECT run, [arg_min(e, (us, event_id))] AS firsts FROM o GROUP BY run UNION ALL
+        SELECT run, list_append(list_filter(firsts, lambda f: e.us - f.us <= 900000000), e) FROM (SELECT r.run, r.firsts, arg_min(o.e, (o.us, o.event_id)) AS e FROM r JOIN o ON o.run = r.run AND (o.us, o.event_id) > (r.firsts[-1].us, r.firsts[-1].event_id)
+        WHERE NOT list_bool_or(list_transform(r.firsts, lambda f: {_RELATED})) GROUP BY r.run, r.firsts)),
+    f AS (SELECT run, firsts[-1] AS f, firsts[-1].us AS us, firsts[-1].event_id AS id FROM r),
+    p AS (SELECT o.event_id, o.e, o.important, f.f FROM o JOIN f ON f.run = o.run AND (f.us, f.id) <= (o.us, o.event_id)),
+    m AS (SELECT event_id, arg_min(f.event_id, (f.us, f.event_id)) AS group_id, any_value(important) AS important FROM p WHERE f.event_id = event_id OR {_RELATED} GROUP BY event_id),
+    k AS (SELECT group_id FROM m GROUP BY group_id HAVING count(*) >= 2 OR bool_or(important AND event_id = group_id))
+    SELECT event_id, group_id FROM m JOIN k USING (group_id)"""
+)
 def incident_groups(spark, d):
-    """Greedy groups, checked against a loop in the tests."""
+    """Greedy groups; checked against a loop in the tests as well."""
     return N.group_events(events(spark, d).drop("group_id")).select("event_id", "group_id")
 
 
