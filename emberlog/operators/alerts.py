@@ -10,61 +10,88 @@ from emberlog.functions import values as V
 from emberlog.sources.tables import staged
 
 
-def trace_overlaps(problem_traces: DataFrame, share: float = 0.5) -> DataFrame:
-    """Pairs a < b of problems that share half of the smaller one's traces. An equi-join on the trace; pairs are counted, never listed per trace pair.
+def trace_links(problem_traces: DataFrame, share: float = 0.5) -> DataFrame:
+    """Links a, b of problems that share at least ``share`` of the smaller one's traces: not all such pairs, but enough to connect all that they connect.
 
-    A trace is in the problems of its own few events, which bounds the pairs that it makes.
+    A containment join with a prefix filter. Traces are ordered by how few problems have them. If n traces are to share ceil(n * share) with a larger
+    set, one of the first n - ceil(n * share) + 1 is shared, so only those are looked up; a trace that all problems have comes last and is looked up by few.
+    Where one shared trace is enough (sets of one or two, by halves), all problems with a trace are linked to the least such set that has it.
     """
     t = problem_traces.select("problem_key", "trace_id").distinct()
+    rarity = t.groupBy("trace_id").agg(F.count("*").alias("spread"))
     sizes = t.groupBy("problem_key").agg(F.count("*").alias("size"))
-    both = t.join(t.withColumnRenamed("problem_key", "other"), "trace_id").filter("problem_key < other").groupBy("problem_key", "other").agg(F.count("*").alias("shared"))
-    sized = both.join(sizes, "problem_key").join(sizes.withColumnsRenamed({"problem_key": "other", "size": "other_size"}), "other")
-    return sized.filter(F.col("shared") / F.least("size", "other_size") >= share).select(F.col("problem_key").alias("a"), F.col("other").alias("b"))
-
-
-def same_events(problem_rows: DataFrame, least_run: int = 5) -> DataFrame:
-    """Pairs a < b of problems of equal volume that share an application, a namespace and a run of cause tokens in any of their messages: other words for the same events.
-
-    Messages share a run of ``least_run`` tokens if and only if they share a shingle of so many, so an equi-join on (volume, shingle) finds the pairs.
+    rows = t.join(rarity, "trace_id").join(sizes, "problem_key").withColumn("least", F.ceil(F.col("size") * F.lit(share)))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("problem_key").orderBy("spread", "trace_id")))
+    rows = staged(rows.select("problem_key", "trace_id", "size", "least", "rank"), "alert-traces")
+    leaders = rows.filter("least <= 1").groupBy("trace_id").agg(F.min("problem_key").alias("a"))
+    stars = leaders.join(rows.select("trace_id", F.col("problem_key").alias("b")), "trace_id").filter("a <> b").select("a", "b")
+    probes = rows.filter("least > 1 AND rank <= size - least + 1").select("trace_id", F.col("problem_key").alias("a"), F.col("size").alias("a_size"), "least")
+    larger = rows.select("trace_id", F.col("problem_key").alias("b"), F.col("size").alias("b_size"))
+    met = probes.join(larger, "trace_id").filter("a_size < b_size OR (a_size = b_size AND a < b)").select("a", "b", "least").distinct()
+    sets = rows.select("problem_key", "trace_id")
+    shared = met.join(sets.withColumnRenamed("problem_key", "a"), "a").join(sets.withColumnRenamed("problem_key", "b"), ["b", "trace_id"]).groupBy("a", "b", "least").agg(F.count("*").alias("n"))
+    return stars.unionByName(shared.filter("n >= least").select("a", "b")).distinct()
+
+
+def event_keys(problem_rows: DataFrame, least_run: int = 5) -> DataFrame:
+    """``problem_key, volume, shingle, app, namespace``: problems of one volume, application and namespace whose messages share a run of ``least_run`` cause tokens share a key.
+
+    Messages share such a run if and only if they share a shingle of so many tokens.
     """
     messages = F.concat(F.array("normalized_message"), F.coalesce("sample_messages", F.array().cast("array<string>")))
-    rows = problem_rows.filter("total_occurrences > 0").select("problem_key", "total_occurrences", "apps", "namespaces", F.explode(F.array_distinct(messages)).alias("message"))
+    rows = problem_rows.filter("total_occurrences > 0").select("problem_key", F.col("total_occurrences").alias("volume"), "apps", "namespaces", F.explode(F.array_distinct(messages)).alias("message"))
     rows = rows.filter("message is not null").withColumn("tokens", X.cause_tokens(F.col("message")))
     starts = F.sequence(F.lit(1), F.size("tokens") - (least_run - 1))
     shingles = F.when(F.size("tokens") >= least_run, F.transform(starts, lambda i: F.array_join(F.slice("tokens", i, least_run), " ")))
-    keyed = rows.select("problem_key", "total_occurrences", "apps", "namespaces", F.explode(shingles).alias("shingle"))
-    keyed = staged(keyed.dropDuplicates(["problem_key", "shingle"]), "alert-shingles")
-    other = keyed.select("total_occurrences", "shingle", F.col("problem_key").alias("other"), F.col("apps").alias("o_apps"), F.col("namespaces").alias("o_ns"))
-    met = keyed.join(other, ["total_occurrences", "shingle"]).filter("problem_key < other").filter(F.arrays_overlap("apps", "o_apps") & F.arrays_overlap("namespaces", "o_ns"))
-    return met.select(F.col("problem_key").alias("a"), F.col("other").alias("b")).distinct()
+    keyed = rows.select("problem_key", "volume", "apps", "namespaces", F.explode(shingles).alias("shingle")).distinct()
+    return keyed.withColumn("app", F.explode("apps")).withColumn("namespace", F.explode("namespaces")).select("problem_key", "volume", "shingle", "app", "namespace")
+
+
+_EVENT = ("volume", "shingle", "app", "namespace")
+
+
+def event_links(keys: DataFrame) -> DataFrame:
+    """Links a, b: each problem to the least one of each of its keys."""
+    least = keys.groupBy(*_EVENT).agg(F.min("problem_key").alias("a"))
+    return least.join(keys, list(_EVENT)).filter("a <> problem_key").select("a", F.col("problem_key").alias("b")).distinct()
 
 
 def components(nodes: DataFrame, edges: DataFrame, node: str = "problem_key", max_rounds: int = 50) -> DataFrame:
-    """Adds ``cluster``, the least node that edges reach: least labels are passed along until none changes, each round a stage table."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = staged(nodes.select(F.col(node).alias("n"), F.col(node).alias("cluster")), "labels")
+    """Adds ``cluster``, the least node that edges reach: least labels are passed along until none changes, a stage table a round."""
+    both = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    labels = nodes.select(F.col(node).alias("n"), F.col(node).alias("cluster"))
     for _ in range(max_rounds):
         near = both.join(labels, F.col("b") == F.col("n")).groupBy("a").agg(F.min("cluster").alias("m"))
-        step = staged(labels.join(near, F.col("n") == F.col("a"), "left").select("n", F.least("cluster", F.coalesce("m", "cluster")).alias("cluster")), "labels")
+        step = labels.join(near, F.col("n") == F.col("a"), "left").select("n", F.col("cluster").alias("old"), F.least("cluster", F.coalesce("m", "cluster")).alias("cluster"))
         # A label's own label is as good
-        jump = step.join(step.select(F.col("n").alias("k"), F.col("cluster").alias("c2")), F.col("cluster") == F.col("k")).select("n", F.least("cluster", "c2").alias("cluster"))
-        new = staged(jump, "labels")
-        changed = new.join(labels.withColumnRenamed("cluster", "old"), "n").filter("cluster != old").limit(1).count()
-        labels = new
-        if not changed:
+        own = labels.select(F.col("n").alias("k"), F.col("cluster").alias("c2"))
+        new = staged(step.join(own, F.col("cluster") == F.col("k")).select("n", "old", F.least("cluster", "c2").alias("cluster")), "labels")
+        labels = new.select("n", "cluster")
+        if new.filter("cluster <> old").isEmpty():
             return labels.withColumnRenamed("n", node)
     raise RuntimeError(f"clusters did not settle in {max_rounds} rounds")
 
 
 def clusters(problem_rows: DataFrame, problem_traces: DataFrame, share: float = 0.5) -> DataFrame:
-    """``problem_key, cluster, same``: problems of one issue. ``same`` says that a problem is the cluster's first one's events in other words."""
-    edges = staged(trace_overlaps(problem_traces, share).unionByName(same_events(problem_rows)).distinct(), "alert-edges")
+    """``problem_key, cluster, primary, rank, same``: problems of one issue. ``same`` says that a problem is the cluster's first one's events in other words, or shares its traces.
+
+    Links connect; whether a problem is linked to its primary itself is asked of that one pair.
+    """
+    keys = staged(event_keys(problem_rows), "alert-shingles")
+    edges = trace_links(problem_traces, share).unionByName(event_links(keys)).distinct()
     named = components(problem_rows.select("problem_key"), edges)
     order = Window.partitionBy("cluster").orderBy(F.desc("max_score"), F.desc("total_occurrences"), "problem_key")
     rows = named.join(problem_rows.select("problem_key", "max_score", "total_occurrences"), "problem_key").withColumn("rank", F.row_number().over(order))
     first = rows.filter("rank = 1").select("cluster", F.col("problem_key").alias("primary"))
-    linked = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("primary"), F.col("b").alias("problem_key"), F.lit(True).alias("same"))
-    return rows.join(first, "cluster").join(linked, ["primary", "problem_key"], "left").select("problem_key", "cluster", "primary", "rank", F.coalesce("same", F.col("rank") == 1).alias("same"))
+    rows = staged(rows.join(first, "cluster").select("problem_key", "cluster", "primary", "rank"), "alert-clusters")
+    pairs = rows.filter("rank > 1").select("problem_key", "primary")
+    t = problem_traces.select("problem_key", "trace_id").distinct()
+    sizes = t.groupBy("problem_key").agg(F.count("*").alias("size"))
+    shared = pairs.join(t, "problem_key").join(t.withColumnRenamed("problem_key", "primary"), ["primary", "trace_id"]).groupBy("problem_key", "primary").agg(F.count("*").alias("shared"))
+    shared = shared.join(sizes, "problem_key").join(sizes.withColumnsRenamed({"problem_key": "primary", "size": "p_size"}), "primary").filter(F.col("shared") / F.least("size", "p_size") >= share).select("problem_key")
+    alike = pairs.join(keys, "problem_key").join(keys.withColumnRenamed("problem_key", "primary"), ["primary", *_EVENT]).select("problem_key")
+    linked = shared.unionByName(alike).distinct().withColumn("linked", F.lit(True))
+    return rows.join(linked, "problem_key", "left").select("problem_key", "cluster", "primary", "rank", F.coalesce("linked", F.col("rank") == 1).alias("same"))
 
 
 def payloads(problem_rows: DataFrame, cluster_rows: DataFrame) -> DataFrame:

@@ -177,6 +177,80 @@ def test_merged_timeline_equals_a_loop(spark):
     assert got == {(v[0], len(v), float(max(v))) for v in windows.values()}
 
 
+def test_merged_timeline_of_one_long_group(spark):
+    """Windows of a group of dense and sparse stretches, ties and gaps of just a minute, against a loop."""
+    import random
+
+    rnd = random.Random(3)
+    times, t = [], 0
+    for _ in range(3000):
+        t += rnd.choice([0, 1, 5, 20, 60, 61, 119, 120, 121, 600])
+        times.append(t)
+    ev = spark.createDataFrame([(i, T0 + timedelta(seconds=s), "a", "fp", "error", 1.0, 1, "m", i % 2) for i, s in enumerate(times)], "event_id long, ts timestamp, app string, fingerprint string, event_type string, ratio double, error_count long, message string, group_id long")
+    expected = {}
+    for g in (0, 1):
+        start, rows = None, []
+        for i, s in enumerate(times):
+            if i % 2 != g:
+                continue
+            if start is None or s - start > 60:
+                start = s
+                rows.append([i, 0])
+            rows[-1][1] += 1
+        expected.update({i: n for i, n in rows})
+    assert {r["event_id"]: r["events"] for r in analysis.merged_timeline(ev).collect()} == expected
+
+
+@pytest.mark.parametrize("pattern, text", [
+    ("not\\s+found", "found"), ("Connection refused", "connection refused"), ("a|b", ""), ("(?i)abc", ""), ("ab?cd", "cd"), ("abc+d", "abc"), ("a\\.b\\-c", "a.b-c"), ("x{2}yz", "yz"), ("[abc]def(ghi)?jklm", "jklm"),
+    ("^start.*end$", "start"), ("\\Qabc\\E", ""), ("(a(b)c)long", "long"), ("[a[bc]]def", "def"), (None, ""), ("", ""), ("\\d+ items", " items"), ("abc*?de", "ab"), ("[\\]x]abc", "abc"), ("ab\\", ""), ("*a", ""),
+])
+def test_required_text(pattern, text):
+    assert analysis.required_text(pattern) == text
+
+
+def test_many_patterns(spark):
+    """10,000 patterns against all messages as by a loop, and only equi-joins in the plan, whatever is broadcast."""
+    import random
+    import re
+
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdeXY") for _ in range(rnd.randint(1, 7)))
+    kinds = [lambda: f"{word()} {word()}", lambda: f"{word()}\\s+{word()}", lambda: f"{word()}.*{word()}", lambda: f"{word()}|{word()}{word()}", lambda: f"[xy]{word()}?", lambda: f"({word()})+ {word()}$", lambda: f"^{word()}"]
+    patterns = [(f"K{i:05d}", kinds[0 if i % 10 else i // 10 % len(kinds)]()) for i in range(10_000)] + [("none", None)]
+    messages = [" ".join(word() for _ in range(rnd.randint(0, 8))) for _ in range(60)] + [None]
+    found = analysis.pattern_matches(spark.createDataFrame([(m,) for m in messages], "message string"), spark.createDataFrame(patterns, "error_id string, pattern string"))
+    assert {(r["message"], r["error_id"]) for r in found.collect()} == {(m, k) for m in messages if m is not None for k, p in patterns if p and re.search(p, m, re.I)}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = found._sc._jvm.PythonSQLUtils.explainString(found.select("*")._jdf.queryExecution(), "simple")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_trace_links_connect_what_all_pairs_connect(spark):
+    """Sets of traces of all sizes, with one trace in every problem: components of all pairs that share half of the smaller set."""
+    import random
+
+    rnd = random.Random(8)
+    for common in (False, True):
+        sets = {f"p{i:03d}": {f"t{rnd.randrange(90)}" for _ in range(rnd.choice([1, 2, 3, 4, 5, 8, 12]))} | ({"everywhere"} if common and i % 7 else set()) for i in range(60)}
+        df = spark.createDataFrame([(k, t) for k, ts in sets.items() for t in ts for _ in (0, 1)], "problem_key string, trace_id string")
+        nodes = spark.createDataFrame([(k,) for k in sets], "problem_key string")
+        links = alerts.trace_links(df)
+        got = {r["problem_key"]: r["cluster"] for r in alerts.components(nodes, links).collect()}
+        parent = {k: k for k in sets}
+        find = lambda k: k if parent[k] == k else find(parent[k])  # noqa: E731, B023
+        for a in sets:
+            for b in sets:
+                if a < b and len(sets[a] & sets[b]) / min(len(sets[a]), len(sets[b])) >= 0.5:
+                    x, y = sorted((find(a), find(b)))
+                    parent[y] = x
+        assert got == {k: find(k) for k in sets}
+
+
 def test_alert_clusters_equal_union_find(spark, data):
     rows, tr = ST.alert_problems(spark, data)
     got = {r["problem_key"]: r["cluster"] for r in ST.alert_clusters(spark, data).collect()}
