@@ -94,10 +94,18 @@ def detect(
     """
     m = M.measure(records, history)
     first = records.groupBy("fingerprint").agg(F.min_by("normalized_message", "seq").alias("normalized_message"), F.min("seq").alias("first_seq"), F.array_compact(F.array_distinct(F.collect_set("app_version"))).alias("versions"))
-    out = m.join(first, "fingerprint").join(M.bursts(records, burst_seconds, burst_threshold), "fingerprint", "left").withColumn("is_burst", F.coalesce("is_burst", F.lit(False)))
-    none = F.lit(None)
-    if thresholds is not None:
-        found = P.namespace_peaks(M.facts(records), thresholds, cap_rows).select("fingerprint", F.struct("namespace", "window_start", "value", "contribution", "contributors", "p93", "cap", "triggered_by").alias("peak"))
+    out = m.join(first, "fingerprint").join(M.bursts(records, burst_seconds, burst_threshold), "fingerprint", "left")
+    peak_rows = P.namespace_peaks(M.facts(records), thresholds, cap_rows) if thresholds is not None else None
+    return flagged(out, peak_rows, known_fingerprints=known_fingerprints, known_problem_keys=known_problem_keys, fixes=fixes, burst_threshold=burst_threshold, spike_ratio=spike_ratio)
+
+
+def flagged(
+    measured: DataFrame, peak_rows: DataFrame | None, *, known_fingerprints: DataFrame | None = None, known_problem_keys: DataFrame | None = None, fixes: DataFrame | None = None, burst_threshold: float = 5.0, spike_ratio: float = 3.0,
+) -> DataFrame:
+    """The flags of all rules and their evidence, from a row per fingerprint with its measurement, first message, versions and burst."""
+    out, none = measured.withColumn("is_burst", F.coalesce("is_burst", F.lit(False))), F.lit(None)
+    if peak_rows is not None:
+        found = peak_rows.select("fingerprint", F.struct("namespace", "window_start", "value", "contribution", "contributors", "p93", "cap", "triggered_by").alias("peak"))
         out = out.join(found, "fingerprint", "left").withColumn("is_spike", F.col("peak").isNotNull())
     else:
         kind = "struct<namespace:string,window_start:timestamp,value:bigint,contribution:bigint,contributors:bigint,p93:double,cap:double,triggered_by:string>"
@@ -140,11 +148,16 @@ def _evidence(burst_threshold: float, spike_ratio: float) -> Column:
     return F.array_compact(F.array(*(F.when(c, e) for c, e in cases)))
 
 
+def scored(detected: DataFrame) -> DataFrame:
+    """Adds category, score and severity."""
+    parts = score_parts({f: F.col(f) for f in FLAGS}, F.col("total_count"), F.col("trend_ratio"), F.col("namespace_count"))
+    found = classify(detected).withColumn("score_parts", parts)
+    return found.withColumn("score", score_total(F.col("score_parts"))).withColumn("severity", V.severity(F.col("score")))
+
+
 def incidents(records: DataFrame, run_date: str = "1970-01-01", **known) -> DataFrame:
     """One row per fingerprint: measurement, flags, evidence, score, severity, category, and who it hit (most often first)."""
-    found = classify(detect(records, **known))
-    parts = score_parts({f: F.col(f) for f in FLAGS}, F.col("total_count"), F.col("trend_ratio"), F.col("namespace_count"))
-    found = found.withColumn("score_parts", parts).withColumn("score", score_total(F.col("score_parts"))).withColumn("severity", V.severity(F.col("score")))
+    found = scored(detect(records, **known))
     for name, key in (("app_counts", "app_name"), ("namespace_counts", "namespace"), ("originator_counts", "originator")):
         found = found.join(M.ranked_counter(records, key).withColumnRenamed(key, name), "fingerprint", "left")
     samples = records.withColumn("r", F.struct("seq", F.substring("raw_message", 1, 500).alias("m"))).groupBy("fingerprint").agg(F.min_by("raw_message", "seq").alias("sample_message"))

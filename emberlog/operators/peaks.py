@@ -82,9 +82,16 @@ def namespace_peaks(fact_rows: DataFrame, thresholds: DataFrame, cap_rows: DataF
     found = judged(with_thresholds(totals, thresholds, cap_rows, F.weekday("window_start")), "value").filter("is_peak")
     strength = F.greatest(F.coalesce(V.ratio(F.col("value"), F.col("p93")), F.lit(0.0)), F.coalesce(V.ratio(F.col("value"), F.col("cap")), F.lit(0.0)))
     found = found.withColumn("trigger_score", strength).withColumn("fingerprint", F.col("owner.fingerprint")).withColumn("contribution", -F.col("owner.down"))
-    best = Window.partitionBy("fingerprint").orderBy(F.desc("trigger_score"), "window_start", "namespace")
-    kept = found.withColumn("r", F.row_number().over(best)).filter("r = 1")
-    return kept.select("fingerprint", "namespace", "window_start", "value", "contribution", "contributors", "p93", "cap", "triggered_by", "trigger_score")
+    return strongest(found.select(*PEAK))
+
+
+PEAK = ("fingerprint", "namespace", "window_start", "value", "contribution", "contributors", "p93", "cap", "triggered_by", "trigger_score")
+
+
+def strongest(found: DataFrame) -> DataFrame:
+    """Of each fingerprint's peaks the one of highest score (of equals the earliest, then the smallest namespace)."""
+    best = F.min_by(F.struct(*PEAK[1:]), F.struct(-F.col("trigger_score"), F.col("window_start"), F.col("namespace"))).alias("b")
+    return found.groupBy("fingerprint").agg(best).select("fingerprint", "b.*")
 
 
 def threshold_grid(namespaces: DataFrame, thresholds: DataFrame, cap_rows: DataFrame, default: float = DEFAULT_THRESHOLD) -> DataFrame:

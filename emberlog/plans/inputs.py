@@ -25,6 +25,7 @@ from emberlog.plans.catalog import query, table
 from emberlog.sources import exports as E
 from emberlog.sources import logs as LS
 from emberlog.sources.tables import shared_folder, staged
+from emberlog.streaming import detections as DS
 from emberlog.streaming import facts as ST
 from emberlog.streaming import keyed as KS
 
@@ -242,7 +243,7 @@ def _pages(rows: DataFrame, at: str = "ts", pages: int = 4) -> list[DataFrame]:
     return [rows.filter(F.coalesce(page, F.lit(0)) == i) for i in range(len(set(cuts)) + 1)]
 
 
-def _streamed(spark: SparkSession, pages: list[DataFrame], transform: Callable[[str], DataFrame], mode: str | None = None, start: Callable | None = None) -> DataFrame:
+def _streamed(spark: SparkSession, pages: list[DataFrame], transform: Callable[[str], DataFrame], mode: str | None = None, start: Callable | None = None, read: bool = True) -> DataFrame | None:
     """All that a stream emits. Page after page arrives in a folder, which ``transform`` reads as a stream; each time it starts again where it stopped."""
     folder = _folder(spark, "stream")
     put = lambda rows, number: rows.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
@@ -251,7 +252,7 @@ def _streamed(spark: SparkSession, pages: list[DataFrame], transform: Callable[[
         stream = transform(f"{folder}/in")
         run = start(stream, f"{folder}/out", f"{folder}/state") if start else stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
         run.awaitTermination()
-    return spark.read.parquet(f"{folder}/out").drop("batch")
+    return spark.read.parquet(f"{folder}/out").drop("batch") if read else None
 
 
 def _event_stream(spark: SparkSession, d: str, transform: Callable[[DataFrame], DataFrame], mode: str | None = None, start: Callable | None = None) -> DataFrame:
@@ -317,3 +318,19 @@ def streamed_alerts(spark, d):
     emitted = _streamed(spark, _pages(rows, "at"), lambda folder: KS.stream_decisions(spark.readStream.schema(rows.schema).parquet(folder)), "append")
     decided = emitted.filter(~F.col("reason").isin("cooldown_over", "heartbeat_due"))
     return decided.select("peak_key", F.floor(F.col("us") / 1_000_000).alias("w"), "error_count", F.regexp_replace("reason", r"delta_[\d.]+_", "delta_").alias("reason"), "send")
+
+
+@query(S.ctes("sev") + """ SELECT fingerprint, category, subcategory, is_spike, is_burst, NOT seen AS is_new, is_cross AS is_cross_namespace, is_silence, is_regression, round(score, 6) AS score, severity, total AS total_count,
+    coalesce(array_to_string(list_sort(versions), ','), '') AS versions FROM sev""")
+def streamed_detections(spark, d):
+    """Detections from mergeable parts of pages, as one run over all events finds them."""
+    known = D.known(spark, d)
+    rules = DS.Rules(known.pop("thresholds"), known.pop("cap_rows"), known.pop("burst_seconds"))
+    parts = _folder(spark, "parts")
+    e = table(spark, d, "events")
+    _streamed(spark, _pages(e), lambda folder: ST.read_events(spark, folder, e.schema), start=lambda logs, out, state: DS.stream_detections(logs, parts, state, rules), read=False)
+    i = DS.detections(spark, parts, rules, **known)
+    return i.select(
+        "fingerprint", "category", "subcategory", "is_spike", "is_burst", "is_new", "is_cross_namespace", "is_silence", "is_regression", Q.R("score").alias("score"), "severity", "total_count",
+        F.array_join("versions", ",").alias("versions"),
+    )

@@ -42,6 +42,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, wherever Spark's file systems have it; none if there is no such folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(path)) if fs.exists(path) else []
+
+
+def numbered(spark: SparkSession, folder: str, prefix: str) -> list[int]:
+    """The numbers n of a folder's ``<prefix>n``, in order."""
+    return sorted(int(n[len(prefix) :]) for n in listed(spark, folder) if n.startswith(prefix) and n[len(prefix) :].isdigit())
+
+
 def replace_partitions(df: DataFrame, path: str, by: str) -> None:
     """Overwrites only the partitions that ``df`` has rows of: running a window again replaces it and nothing else."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)

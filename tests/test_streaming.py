@@ -57,7 +57,7 @@ def two_months(spark, data, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["streamed_facts", "watermarked_facts", "streamed_bursts"])
+@pytest.mark.parametrize("name", ["streamed_facts", "watermarked_facts", "streamed_bursts", "streamed_alerts", "streamed_detections"])
 def test_two_months(spark, two_months, name):
     queries, sql = load()
     import duckdb
