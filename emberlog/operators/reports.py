@@ -230,3 +230,14 @@ def unhealthy_dependencies(dependencies: DataFrame, least_pct: float = 5.0) -> D
 def active_cascades(cascades: DataFrame, issues: DataFrame) -> DataFrame:
     """Cascades that have not ended, with their known issue's title."""
     return cascades.filter("ended_at is null").join(issues.select("issue_id", "title"), "issue_id", "left")
+
+
+def version_table(records: DataFrame) -> DataFrame:
+    """Each application's versions with their events and first appearance."""
+    return records.filter("app_version is not null").groupBy("app_name", "app_version").agg(F.count("*").alias("events"), F.min(F.unix_micros("ts")).alias("first_us"))
+
+
+def propagation_table(found: DataFrame, key: str = "registry_key") -> DataFrame:
+    """Per problem: how many namespaces it reached, the first of them, and the time from the first to the last."""
+    first = found.select(key, F.explode("namespaces").alias("namespace"), F.unix_micros("first_seen").alias("us")).groupBy(key, "namespace").agg(F.min("us").alias("us"))
+    return first.groupBy(key).agg(F.count("*").cast("int").alias("namespaces"), F.min_by("namespace", F.struct("us", "namespace")).alias("first_namespace"), (F.max("us") - F.min("us")).alias("spread_us"))

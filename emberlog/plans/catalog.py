@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("logs", "detection", "problems", "state", "reports", "inputs")
+_MODULES = ("logs", "detection", "problems", "state", "reports", "inputs", "stores")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -29,6 +29,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def load_sql(name: str) -> str:
+    """The SQL of a query that is registered already, for another way to the same result."""
+    return _SQL[name]
+
+
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     for m in _MODULES:
         importlib.import_module(f"emberlog.plans.{m}")

@@ -145,6 +145,22 @@ def read_batches(spark: SparkSession, folder: str, schema: T.StructType = DOCUME
     return files.select(F.inline(listed))
 
 
+def write_batches(batches: DataFrame, folder: str, number: str, prefix: str = "batch") -> None:
+    """Batches (``number``, ``value``: a batch's JSON text) as files ``<prefix>_<number>.json``, each written by the task that holds it, through Spark's own writer and a rename."""
+    spark = batches.sparkSession
+    draft = f"{folder}/.draft-{prefix}"
+    batches.write.partitionBy(number).text(draft)
+    path = spark._jvm.org.apache.hadoop.fs.Path(draft)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in fs.listStatus(path):
+        if "=" in part.getPath().getName():
+            named = part.getPath().getName().split("=")[1]
+            files = [f.getPath() for f in fs.listStatus(part.getPath()) if f.getPath().getName().startswith("part-")]
+            for i, f in enumerate(files):
+                fs.rename(f, spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{prefix}_{named}{f'_{i}' if i else ''}.json"))
+    fs.delete(path, True)
+
+
 # --- slot statistics in text lines: DATA|time|weekday|hour|quarter|namespace|mean|stddev|samples ---
 
 
