@@ -85,17 +85,19 @@ def known_keys(keys: DataFrame, known_problems: DataFrame, known_peaks: DataFram
 
 def detect(
     records: DataFrame, *, thresholds: DataFrame | None = None, cap_rows: DataFrame | None = None, known_fingerprints: DataFrame | None = None, known_problem_keys: DataFrame | None = None,
-    fixes: DataFrame | None = None, history: DataFrame | None = None, burst_seconds: int = 60, burst_threshold: float = 5.0, spike_ratio: float = 3.0,
+    fixes: DataFrame | None = None, history: DataFrame | None = None, burst_seconds: int = 60, burst_threshold: float = 5.0, spike_ratio: float = 3.0, cells: DataFrame | None = None,
 ) -> DataFrame:
     """Measurements with the flags of all rules and their evidence.
 
     ``thresholds`` and ``cap_rows`` make namespace peaks; without them a spike is a rate above ``spike_ratio`` times the
-    baseline. ``known_fingerprints`` (fingerprint), ``known_problem_keys`` (problem_key), ``fixes`` (fingerprint, fixed_in).
+    baseline. All but bursts is made of ``cells`` (``measure.cells`` of the records, made here if not given). ``known_fingerprints`` (fingerprint), ``known_problem_keys`` (problem_key), ``fixes`` (fingerprint, fixed_in).
     """
-    m = M.measure(records, history)
-    first = records.groupBy("fingerprint").agg(F.min_by("normalized_message", "seq").alias("normalized_message"), F.min("seq").alias("first_seq"), F.array_compact(F.array_distinct(F.collect_set("app_version"))).alias("versions"))
-    out = m.join(first, "fingerprint").join(M.bursts(records, burst_seconds, burst_threshold), "fingerprint", "left")
-    peak_rows = P.namespace_peaks(M.facts(records), thresholds, cap_rows) if thresholds is not None else None
+    cells = staged(M.cells(records), "cells") if cells is None else cells
+    first = cells.groupBy("fingerprint").agg(F.min("first").alias("f")).select("fingerprint", "f.normalized_message", F.col("f.seq").alias("first_seq"))
+    versions = cells.select("fingerprint", F.explode("versions").alias("v")).groupBy("fingerprint").agg(F.collect_set("v").alias("versions"))
+    out = M.measure_cells(cells, history).join(first, "fingerprint").join(versions, "fingerprint", "left").withColumn("versions", F.coalesce("versions", F.array().cast("array<string>")))
+    out = out.join(M.bursts(records, burst_seconds, burst_threshold), "fingerprint", "left")
+    peak_rows = P.namespace_peaks(M.cell_facts(cells), thresholds, cap_rows) if thresholds is not None else None
     return flagged(out, peak_rows, known_fingerprints=known_fingerprints, known_problem_keys=known_problem_keys, fixes=fixes, burst_threshold=burst_threshold, spike_ratio=spike_ratio)
 
 
@@ -157,10 +159,11 @@ def scored(detected: DataFrame) -> DataFrame:
 
 def incidents(records: DataFrame, run_date: str = "1970-01-01", **known) -> DataFrame:
     """One row per fingerprint: measurement, flags, evidence, score, severity, category, and who it hit (most often first)."""
-    found = scored(detect(records, **known))
+    cells = staged(M.cells(records), "cells")
+    found = scored(detect(records, cells=cells, **known))
     for name, key in (("app_counts", "app_name"), ("namespace_counts", "namespace"), ("originator_counts", "originator")):
-        found = found.join(M.ranked_counter(records, key).withColumnRenamed(key, name), "fingerprint", "left")
-    samples = records.withColumn("r", F.struct("seq", F.substring("raw_message", 1, 500).alias("m"))).groupBy("fingerprint").agg(F.min_by("raw_message", "seq").alias("sample_message"))
+        found = found.join(M.cell_counter(cells, key).withColumnRenamed(key, name), "fingerprint", "left")
+    samples = cells.groupBy("fingerprint").agg(F.min("first")["raw_message"].alias("sample_message"))
     found = found.join(samples, "fingerprint", "left")
     names = lambda c: F.transform(c, lambda x: x["key"])
     return found.withColumn("apps", names("app_counts")).withColumn("namespaces", names("namespace_counts")).withColumn("versions", F.array_sort("versions")).withColumn("run_date", F.lit(run_date).cast("date"))

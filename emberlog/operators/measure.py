@@ -42,7 +42,7 @@ def dense_namespace_counts(fact_rows: DataFrame, namespaces: DataFrame, start: s
         span = counts.agg(F.min("window_start").alias("a"), (F.max("window_start") + step).alias("b"))
     else:
         span = namespaces.sparkSession.range(1).select(F.lit(start).cast("timestamp").alias("a"), F.lit(end).cast("timestamp").alias("b"))
-    grid = span.select(F.explode(windows(F.col("a"), F.col("b"), seconds)).alias("window_start")).crossJoin(F.broadcast(namespaces.select("namespace").distinct()))  # monitored namespaces: a configured list
+    grid = span.select(F.explode(windows(F.col("a"), F.col("b"), seconds)).alias("window_start")).crossJoin(namespaces.select("namespace").distinct())
     return grid.join(counts, ["window_start", "namespace"], "left").select("window_start", "namespace", F.coalesce("error_count", F.lit(0)).cast("long").alias("error_count"))
 
 
@@ -52,6 +52,10 @@ def ranked_counter(rows: DataFrame, key: str, by: str = "fingerprint", limit: in
     if limit:
         top = Window.partitionBy(by).orderBy(F.desc("n"), "seq")
         n = n.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= limit)
+    return _ranked(n, key, by)
+
+
+def _ranked(n: DataFrame, key: str, by: str) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("down"), "seq", "key", "n")))
     return n.groupBy(by).agg(F.transform(ordered, lambda x: F.struct(x["key"].alias("key"), x["n"].alias("n"))).alias(key))
 
@@ -79,6 +83,29 @@ def _mad(filled: Column, zeros: Column, median: Column) -> Column:
     return F.when(n <= 1, F.lit(0.0)).otherwise((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2)
 
 
+def cells(records: DataFrame, seconds: int = V.WINDOW_SECONDS) -> DataFrame:
+    """Records by fingerprint, window (null without a time), namespace, application and originator: what facts, measurements and counters are sums of.
+
+    ``first``: the record of least ``seq``, with what is read of it.
+    """
+    first = F.struct("seq", "error_type", "normalized_message", F.col("raw_message") if "raw_message" in records.columns else F.lit(None).cast("string").alias("raw_message"))
+    return records.withColumn("w", V.bucket(F.col("ts"), seconds)).groupBy("fingerprint", "w", "namespace", "app_name", "originator").agg(
+        F.count("*").alias("n"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), F.min(first).alias("first"), F.collect_set("app_version").alias("versions")
+    )
+
+
+def cell_facts(cell_rows: DataFrame) -> DataFrame:
+    """The facts of ``facts``, from cells."""
+    return cell_rows.filter("w is not null").groupBy(F.col("w").alias("window_start"), "namespace", "app_name", "fingerprint").agg(
+        F.sum("n").alias("error_count"), F.min("first_at").alias("first_event_at"), F.max("last_at").alias("last_event_at"), F.min("first")["error_type"].alias("error_type"), F.min("first")["seq"].alias("first_seq")
+    )
+
+
+def cell_counter(cell_rows: DataFrame, key: str, by: str = "fingerprint") -> DataFrame:
+    """``ranked_counter`` from cells."""
+    return _ranked(cell_rows.filter(F.col(key).isNotNull()).groupBy(by, F.col(key).alias("key")).agg(F.sum("n").alias("n"), F.min("first")["seq"].alias("seq")), key, by)
+
+
 def measure(records: DataFrame, history: DataFrame | None = None, type_history: DataFrame | None = None, seconds: int = V.WINDOW_SECONDS) -> DataFrame:
     """One row per fingerprint: current window against a baseline.
 
@@ -87,19 +114,23 @@ def measure(records: DataFrame, history: DataFrame | None = None, type_history:
     ``history`` (fingerprint, rates) has, or else ``type_history`` (error_type, rates). Windows without events are not
     laid out: zeros are counted, and EWMA weights follow from the index, so all is one aggregate per fingerprint.
     """
-    cells = records.filter(F.col("ts").isNotNull()).withColumn("w", V.bucket(F.col("ts"), seconds)).groupBy("fingerprint", "w").agg(
-        F.count("*").cast("double").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.min(F.struct("seq", "error_type")).alias("kind"),
-        F.collect_set("namespace").alias("namespaces"), F.collect_set("app_name").alias("apps"),
-    )
+    plain = records.withColumn("originator", F.lit(None).cast("string")).withColumn("raw_message", F.lit(None).cast("string")).withColumn("normalized_message", F.lit(None).cast("string"))
+    return measure_cells(cells(plain.withColumn("app_version", F.lit(None).cast("string")).filter(F.col("ts").isNotNull()), seconds), history, type_history, seconds)
+
+
+def measure_cells(cell_rows: DataFrame, history: DataFrame | None = None, type_history: DataFrame | None = None, seconds: int = V.WINDOW_SECONDS) -> DataFrame:
+    """``measure`` from cells."""
+    timed = cell_rows.filter("w is not null")
+    sets = timed.groupBy("fingerprint").agg(F.array_sort(F.collect_set("namespace")).alias("namespaces"), F.array_sort(F.collect_set("app_name")).alias("apps"))
+    cells = timed.groupBy("fingerprint", "w").agg(F.sum("n").cast("double").alias("n"), F.min("first_at").alias("first"), F.max("last_at").alias("last"), F.min(F.struct("first.seq", "first.error_type")).alias("kind"))
     span = cells.agg(F.min("w").alias("w0"), F.max("w").alias("w1"))
     cells = cells.join(F.broadcast(span)).withColumn("i", V.window_index(F.col("w"), F.col("w0"), seconds)).withColumn("size", V.window_index(F.col("w1"), F.col("w0"), seconds))  # one row
     earlier = F.col("i") < F.col("size")
     m = cells.groupBy("fingerprint").agg(
         F.first("size").alias("size"), F.min("kind")["error_type"].alias("error_type"), F.sum(F.when(~earlier, F.col("n")).otherwise(0.0)).alias("current"), F.sum("n").cast("long").alias("total_count"),
         F.count("*").alias("active_windows"), F.sum(F.when(earlier, F.col("n") * _decayed(F.col("i"), F.col("size")))).alias("decayed"), F.max(F.when(F.col("i") == 0, F.col("n"))).alias("first_rate"),
-        F.sort_array(F.collect_list(F.when(earlier, F.col("n")))).alias("rates"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("namespaces")))).alias("namespaces"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("apps")))).alias("apps"), F.min("first").alias("first_seen"), F.max("last").alias("last_seen"),
-    )
+        F.sort_array(F.collect_list(F.when(earlier, F.col("n")))).alias("rates"), F.min("first").alias("first_seen"), F.max("last").alias("last_seen"),
+    ).join(sets, "fingerprint")
     none = F.array().cast("array<double>")
     m = m.join(history.select("fingerprint", F.col("rates").cast("array<double>").alias("past")), "fingerprint", "left") if history is not None else m.withColumn("past", F.lit(None).cast("array<double>"))
     if type_history is not None:
