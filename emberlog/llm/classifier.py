@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.shared import materialise
-from emberlog.llm.words import WordHashes, slices
+from emberlog.llm.words import WordHashes, slices, word_slices
 
 DIM = 32
 NONZERO = 4
@@ -39,6 +39,8 @@ FEATURES = 2 * DIM + 1
 FOLDS = 5
 THRESHOLD = 0.3
 
+#: Characters whose word vectors are laid out at a time: 32 floats a token, twice.
+POOL_CHARS = 300_000
 _TOKEN = re.compile(rb"[a-z\x80-\xff]+|[0-9]+|[^\s]")
 _U = np.uint64
 
@@ -96,6 +98,39 @@ def word_vectors(docs: DataFrame, text: str, buckets: int, seed: int) -> np.ndar
     return (table / np.where(norm > 0, norm, 1)).astype(np.float32)
 
 
+def pooled_all(texts: list[str | None], table: np.ndarray, seen: WordHashes, limit: int = POOL_CHARS) -> np.ndarray:
+    """``pooled`` of any number of texts of any length: ``limit`` characters at a time, and a longer text by sums over its slices."""
+    out, group, size = [np.zeros((0, FEATURES), np.float32)], [], 0
+    for t in texts:
+        n = len(t or "")
+        if group and (size + n > limit or len(group) == 64):
+            out.append(pooled(group, table, seen))
+            group, size = [], 0
+        if n > limit:
+            out.append(_pooled_long(t, table, seen, limit))
+            continue
+        group.append(t)
+        size += n
+    return np.concatenate([*out, pooled(group, table, seen)]) if group else np.concatenate(out)
+
+
+def _pooled_long(text: str, table: np.ndarray, seen: WordHashes, limit: int) -> np.ndarray:
+    n, total, squares = 0, np.zeros(DIM), np.zeros(DIM)
+    for words in word_slices(text, limit):
+        at, _ = tokens([b" ".join(words).decode()], len(table), seen)
+        for start in range(0, len(at), limit):
+            vectors = table[at[start : start + limit]]
+            total += vectors.sum(axis=0, dtype=np.float64)
+            squares += (vectors * vectors).sum(axis=0, dtype=np.float64)
+        n += len(at)
+    out = np.zeros((1, FEATURES), np.float32)
+    out[0, -1] = np.log1p(n) / 4
+    if n:
+        mean = total / n
+        out[0, :DIM], out[0, DIM : 2 * DIM] = mean, np.sqrt(np.maximum(squares / n - mean * mean, 0))
+    return out
+
+
 def pooled(texts: list[str | None], table: np.ndarray, seen: WordHashes) -> np.ndarray:
     """Mean, spread and log number of the word vectors of each text."""
     at, ends = tokens(texts, len(table), seen)
@@ -176,8 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_train_rows: int = 20_000, b
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         seen = WordHashes(2)
         for s in batches:
-            rows = [pooled(list(s[i : i + 64]), broadcast.value, seen) for i in range(0, len(s), 64)]
-            yield pd.Series(list(np.concatenate(rows))) if rows else pd.Series([], dtype=object)
+            yield pd.Series(list(pooled_all(list(s), broadcast.value, seen)), dtype=object)
 
     # The sample has max_train_rows rows at most, so it may be broadcast.
     taught = docs.select(F.col(doc_id).cast("string").alias("d"), F.col(text).alias("t"), F.xxhash64(text).alias("tie")).join(F.broadcast(sample), F.col("d") == F.col("l_id"))
@@ -200,8 +234,7 @@ def score(docs: DataFrame, model: Model | float, *, doc_id: str = "doc_id", text
             if isinstance(m := broadcast.value, float):
                 yield pd.Series(np.full(len(s), m))
                 continue
-            parts = [m.scores(pooled(list(s[i : i + 64]), m.table, seen).astype(np.float64)) for i in range(0, len(s), 64)]
-            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+            yield pd.Series(m.scores(pooled_all(list(s), m.table, seen).astype(np.float64)))
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), scored(F.col(text)).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

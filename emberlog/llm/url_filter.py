@@ -88,10 +88,11 @@ def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 
 
 def _attribute(tag: Column, name: str) -> Column:
-    quoted = F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", 1)
-    single = F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", 2)
-    bare = F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", 3)
-    return F.coalesce(F.nullif(quoted, F.lit("")), F.nullif(single, F.lit("")), F.nullif(bare, F.lit("")))
+    """The value of a tag's attribute, or null. Attributes are read one after the other, so that what looks like one within another's value or name is none."""
+    value = r"(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
+    named = F.filter(F.regexp_extract_all(tag, F.lit(rf"(?s)[^\s\"'>/=]+\s*=\s*{value}"), F.lit(0)), lambda x: x.rlike(rf"(?i)^{name}\s*="))
+    found = F.regexp_extract(F.get(named, F.lit(0)), r"(?s)^[^=]*=\s*(.*)$", 1)
+    return F.nullif(F.when(found.rlike("^[\"']"), F.substring(found, F.lit(2), F.length(found) - 2)).otherwise(found), F.lit(""))
 
 
 def _absolute(target: Column, base: Column) -> Column:
@@ -107,15 +108,19 @@ def _absolute(target: Column, base: Column) -> Column:
 
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``a`` (page) and ``b`` (what its canonical links and meta refreshes name), as URLs. Read from the pages' own columns only."""
+    """``a`` (page) and ``b`` (what its canonical links and meta refreshes name, by the page's ``base`` if it has one), as URLs. Comments and scripts are passed over."""
     page, body = F.col(url), F.col(html)
-    tags = F.regexp_extract_all(body, F.lit(r"(?is)<(?:link|meta)\b[^<>]*+>"), F.lit(0))
-    named = pages.filter(body.isNotNull() & page.contains("://") & body.rlike(r"(?i)canonical|refresh")).select(page.alias("a"), F.explode(tags).alias("tag"))
+    hidden = r"(?is)<!--(?:.*?-->|.*)|<(script|style|textarea|title|noscript|template)(?=[\s/>])[^>]*+>.*?(?:</\1\s*>|$)"
+    rows = pages.filter(body.isNotNull() & page.contains("://") & body.rlike(r"(?i)canonical|refresh")).select(page.alias("page"), F.regexp_replace(body, hidden, " ").alias("seen"))
+    tags = F.regexp_extract_all("seen", F.lit(r"(?is)<(?:link|meta|base)(?=[\s/>])[^<>]*+>"), F.lit(0))
+    rows = rows.select("page", tags.alias("tags"))
+    bases = F.filter(F.transform("tags", lambda t: F.when(F.lower(t).startswith("<base"), _attribute(t, "href"))), lambda b: b.isNotNull())
+    named = rows.select(F.col("page").alias("a"), F.coalesce(_absolute(F.get(bases, F.lit(0)), F.col("page")), F.col("page")).alias("base"), F.explode("tags").alias("tag"))
     named = named.filter(F.col("tag").rlike(r"(?i)canonical|refresh"))
     canonical = F.when(_attribute(F.col("tag"), "rel").rlike(r"(?i)(^|\s)canonical(\s|$)"), _attribute(F.col("tag"), "href"))
     refresh = F.when(F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh", F.nullif(F.regexp_extract(_attribute(F.col("tag"), "content"), r"(?is)url\s*=\s*['\"]?([^'\"]+)", 1), F.lit("")))
     target = F.when(F.lower(F.col("tag")).startswith("<link"), canonical).otherwise(refresh)
-    return named.select("a", _absolute(target, F.col("a")).alias("b")).filter("b is not null")
+    return named.select("a", _absolute(target, F.col("base")).alias("b")).filter("b is not null")
 
 
 def alias_verdicts(edges: DataFrame, rules: Sequence[Rule]) -> DataFrame:

@@ -527,6 +527,18 @@ def test_url_filter(spark, data):
     assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_pages(pages).collect()} == expected
 
 
+def test_links_that_only_look_like_links(spark):
+    blocked, fine = "http://b.net/es/1", "http://f.org/x"
+    rows = [
+        (1, "http://a.org/1", f'<link data-href="{fine}" rel="canonical" href="{blocked}">', "block"), (2, "http://a.org/2", f'<link data-rel="canonical" rel="next" href="{blocked}">', "allow"),
+        (3, "http://a.org/3", f'<!-- <link rel="canonical" href="{blocked}"> --><p>canonical', "allow"), (4, "http://a.org/4", f'<script>var a = \'<link rel="canonical" href="{blocked}">\';</script>', "allow"),
+        (5, "http://a.org/5", f'<link title="rel=canonical href={blocked}" href="{fine}">', "allow"), (6, "http://a.org/6", '<base href="http://b.net/es/"><link rel="canonical" href="7">', "block"),
+        (7, "http://a.org/es/7", '<base target="x"><link rel=canonical href=//b.net/es/8>', "block"), (8, "http://a.org/8", f"<LINK HREF='{blocked}' REL='Canonical'>", "block"), (9, "http://a.org/9", f'<!-- open <link rel="canonical" href="{blocked}">', "allow"),
+    ]
+    pages = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    assert {r["page_id"]: r["verdict"] for r in url_filter.judge_pages(pages).collect()} == {r[0]: r[3] for r in rows}
+
+
 def test_aliases_take_decisions(spark):
     link = '<html><link rel="canonical" href="{}"></html>'
     rows = [(1, "http://a.org/x", link.format("http://b.net/es/1")), (2, "http://c.org/y", link.format("http://a.org/x")), (3, "http://d.org/z", '<meta http-equiv="refresh" content="0; url=http://c.org/y">'), (4, "http://e.org/", link.format("http://f.com/")),
@@ -699,6 +711,49 @@ def test_classifier_on_held_out_rows(spark):
     assert auc > 0.8 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
 
 
+def test_classifier_pools_long_texts_in_slices(monkeypatch):
+    """A text pooled by slices has the features of the whole, and groups of texts those of each alone."""
+    import numpy as np
+
+    rnd = random.Random(6)
+    table = np.random.default_rng(1).normal(size=(classifier_buckets := 256, classifier.DIM)).astype(np.float32)
+    texts = [" ".join("".join(rnd.choice("abcdé1!") for _ in range(rnd.randint(1, 9))) for _ in range(n)) for n in (0, 1, 3, 50, 2000, 7, 400)] + [None, ""]
+    whole = np.concatenate([classifier.pooled([t], table, classifier.WordHashes(2)) for t in texts])
+    for limit in (10**6, 500, 40):
+        assert np.allclose(classifier.pooled_all(texts, table, classifier.WordHashes(2), limit), whole, atol=1e-5)
+    assert classifier.pooled_all([], table, classifier.WordHashes(2)).shape == (0, classifier.FEATURES) and len(table) == classifier_buckets
+
+
+def test_classifier_scores_by_hand(spark, docs, data):
+    """The network's scores, token by token and unit by unit, and the calibrated loss against temperature one and against bins of the held-out rows."""
+    import math
+
+    import numpy as np
+
+    sf = "/root/testdata/sf0.01"
+    labels, all_docs = spark.read.parquet(f"{sf}/labels.parquet"), spark.read.parquet(f"{sf}/documents.parquet")
+    model = classifier.train(all_docs, labels)
+    got = {r["doc_id"]: r["score"] for r in classifier.score(all_docs, model).collect()}
+    for r in all_docs.limit(8).collect():
+        vectors = [model.table[xxhash.xxh64_intdigest(t, 2) % len(model.table)] for t in classifier._TOKEN.findall((r["text"] or "").encode().lower())]
+        n = len(vectors)
+        mean = [sum(float(v[d]) for v in vectors) / n for d in range(classifier.DIM)]
+        spread = [math.sqrt(max(sum(float(v[d]) ** 2 for v in vectors) / n - mean[d] ** 2, 0)) for d in range(classifier.DIM)]
+        x = [(f - c) / s for f, c, s in zip([*mean, *spread, math.log1p(n) / 4], model.centre, model.scale)]
+        hidden = [max(sum(a * w for a, w in zip(x, column)) + b, 0) for column, b in zip(model.w1.T, model.b1)]
+        z = (sum(h * w for h, w in zip(hidden, model.w2)) + model.b2) / model.temperature
+        assert abs(got[r["doc_id"]] - 1 / (1 + math.exp(-z))) < 1e-3
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None}
+    held = {r["doc_id"] for r in all_docs.select("doc_id", classifier.held_out(F.col("doc_id")).alias("h")).filter("h").collect()}
+    pairs = np.array([(got[i], y) for i, y in truth.items() if i in held])
+    s, y = np.clip(pairs[:, 0], 1e-6, 1 - 1e-6), pairs[:, 1]
+    z = np.log(s / (1 - s)) * model.temperature
+    assert classifier._loss(np.log(s / (1 - s)), y) <= classifier._loss(z, y) + 0.02
+    bins = np.minimum((s * 5).astype(int), 4)
+    error = sum(abs(s[bins == b].mean() - y[bins == b].mean()) * (bins == b).mean() for b in set(bins))
+    assert error < 0.15
+
+
 def test_classifier_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in classifier.classify(odd_docs(spark), labels).collect()} == {0.5}
