@@ -19,22 +19,29 @@ def problem_updates(found: DataFrame) -> DataFrame:
     rows = rows.withColumn("minute", F.date_trunc("minute", "last_seen"))
     per = rows.groupBy("registry_key").agg(
         F.first("category").alias("category"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("apps")))).alias("apps"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("namespaces")))).alias("namespaces"), F.slice(F.array_sort(F.collect_set("fingerprint")), 1, MAX_FINGERPRINTS).alias("fingerprints"),
-        F.slice(F.array_sort(F.collect_set("sample_message")), 1, MAX_SAMPLES).alias("samples"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("namespaces")))).alias("namespaces"),
     )
+    per = per.join(_first(rows, "fingerprint", MAX_FINGERPRINTS, "fingerprints"), "registry_key", "left").join(_first(rows, "sample_message", MAX_SAMPLES, "samples"), "registry_key", "left")
+    none = F.array().cast("array<string>")
+    per = per.withColumns({c: F.coalesce(c, none) for c in ("fingerprints", "samples")})
     times = rows.groupBy("registry_key", F.col("minute").alias("ts")).agg(F.sum("total_count").alias("n")).groupBy("registry_key").agg(F.array_sort(F.collect_list(F.struct("ts", "n"))).alias("times"))
     return per.join(times, "registry_key")
 
 
-def _either(a: str, b: str, how) -> Column:
-    return F.coalesce(how(F.col(a), F.col(b)), F.col(a), F.col(b))
+def _first(rows: DataFrame, name: str, count: int, alias: str) -> DataFrame:
+    """The first values of each key in order. They are ranked before they are collected, so that no key's whole set is ever one row."""
+    order = Window.partitionBy("registry_key").orderBy(name)
+    few = rows.filter(F.col(name).isNotNull()).select("registry_key", name).distinct().withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= count)
+    return few.groupBy("registry_key").agg(F.array_sort(F.collect_list(name)).alias(alias))
 
 
 def merged_times(old: Column, new: Column) -> Column:
     """Occurrences by minute of both; a minute that is in both keeps the new count, so that a replay adds nothing."""
     o, n = (F.coalesce(c, F.array().cast("array<struct<ts:timestamp,n:bigint>>")) for c in (old, new))
-    seen = F.transform(n, lambda x: x["ts"])
-    return F.array_sort(F.concat(F.filter(o, lambda x: ~F.array_contains(seen, x["ts"])), n))
+    marked = lambda c, age: F.transform(c, lambda x: F.struct(x["ts"].alias("ts"), F.lit(age).alias("age"), x["n"].alias("n")))
+    both = F.array_sort(F.concat(marked(n, 0), marked(o, 1)))  # of one minute the new count comes first
+    kept = X.let(both, lambda b: F.filter(b, lambda x, i: (x["age"] == 0) | (i == 0) | (F.get(b, i - 1)["ts"] != x["ts"])))
+    return F.transform(kept, lambda x: F.struct(x["ts"].alias("ts"), x["n"].alias("n")))
 
 
 def upsert(state: DataFrame, updates: DataFrame, key: str = "registry_key") -> DataFrame:

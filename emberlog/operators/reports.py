@@ -211,8 +211,9 @@ def regrouped(rows: DataFrame, per_day: bool = False) -> DataFrame:
 
 def latest_health(service_rows: DataFrame) -> DataFrame:
     """The last row of each application and namespace."""
-    order = Window.partitionBy("app_name", "namespace").orderBy(F.desc("window_start"))
-    return service_rows.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
+    rest = [c for c in service_rows.columns if c not in ("app_name", "namespace")]
+    last = service_rows.groupBy("app_name", "namespace").agg(F.max_by(F.struct(*rest), "window_start").alias("_l"))
+    return last.select(*(c if c not in rest else F.col(f"_l.{c}").alias(c) for c in service_rows.columns))
 
 
 def new_unresolved(signatures: DataFrame) -> DataFrame:

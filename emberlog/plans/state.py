@@ -399,18 +399,56 @@ def alert_problems(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return rows, traces.join(rows.select("problem_key"), "problem_key", "left_semi")
 
 
-@query()
+_TOKENS = f"list_filter(regexp_extract_all(lower({B._TRACE}), '[a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains([{', '.join(map(S.quoted, rules.CAUSE_STOP_WORDS))}], w))"
+S.TABLES.update({
+    "ap": "SELECT * FROM prob WHERE has_spike OR has_burst", "ap_traces": "SELECT DISTINCT problem_key, trace_id FROM ptr SEMI JOIN ap USING (problem_key)", "ap_sizes": "SELECT problem_key, count(*) AS n FROM ap_traces GROUP BY problem_key",
+    "ap_overlaps": """SELECT x.problem_key AS a, y.problem_key AS b FROM ap_traces x JOIN ap_traces y ON x.trace_id = y.trace_id AND x.problem_key < y.problem_key JOIN ap_sizes p ON p.problem_key = x.problem_key JOIN ap_sizes q ON q.problem_key = y.problem_key
+        GROUP BY ALL HAVING count(*) / least(min(p.n), min(q.n)) >= 0.5""",
+    "ap_said": f"""SELECT *, {Q.useful_sql('message')} AS u FROM (SELECT problem_key, message FROM ap UNION SELECT problem_key, sample_message FROM
+        (SELECT problem_key, sample_message, row_number() OVER (PARTITION BY problem_key ORDER BY first_seq, sample_message) AS r FROM keyed SEMI JOIN ap USING (problem_key)) WHERE r <= 5) WHERE message IS NOT NULL""",
+    "ap_tokens": f"SELECT problem_key, {_TOKENS} AS t FROM (SELECT problem_key, CASE WHEN u <> '' THEN u ELSE message END AS x FROM ap_said)",
+    "ap_runs": "SELECT DISTINCT problem_key, array_to_string(t[i : i + 4], ' ') AS run FROM (SELECT problem_key, t, unnest(range(1, len(t) - 3)) AS i FROM ap_tokens WHERE len(t) >= 5)",
+    "ap_same": """SELECT DISTINCT x.problem_key AS a, y.problem_key AS b FROM ap_runs x JOIN ap_runs y ON x.run = y.run AND x.problem_key < y.problem_key JOIN ap p ON p.problem_key = x.problem_key JOIN ap q ON q.problem_key = y.problem_key
+        WHERE p.total_occurrences = q.total_occurrences AND list_has_any(p.apps, q.apps) AND list_has_any(p.namespaces, q.namespaces)""",
+    "ap_links": "SELECT a, b FROM ap_overlaps UNION SELECT b, a FROM ap_overlaps UNION SELECT a, b FROM ap_same UNION SELECT b, a FROM ap_same",
+    "ap_reached": "SELECT problem_key AS n, problem_key AS m FROM ap UNION SELECT r.n, l.b FROM ap_reached r JOIN ap_links l ON l.a = r.m", "ap_clusters": "SELECT n AS problem_key, min(m) AS cluster FROM ap_reached GROUP BY n",
+    "ap_ranked": "SELECT problem_key, cluster, row_number() OVER (PARTITION BY cluster ORDER BY max_score DESC, total_occurrences DESC, problem_key) AS rank FROM ap_clusters JOIN ap USING (problem_key)",
+    "ap_named": """SELECT r.problem_key, r.cluster, f.problem_key AS "primary", CAST(r.rank AS INT) AS rank, r.rank = 1 OR l.a IS NOT NULL AS same FROM ap_ranked r JOIN ap_ranked f ON f.cluster = r.cluster AND f.rank = 1
+        LEFT JOIN ap_links l ON l.a = f.problem_key AND l.b = r.problem_key""",
+})
+S.NEEDS.update({
+    "ap": ["prob"], "ap_traces": ["ptr", "ap"], "ap_sizes": ["ap_traces"], "ap_overlaps": ["ap_sizes"], "ap_said": ["ap"], "ap_tokens": ["ap_said"], "ap_runs": ["ap_tokens"], "ap_same": ["ap_runs"], "ap_links": ["ap_overlaps", "ap_same"],
+    "ap_reached": ["ap_links"], "ap_clusters": ["ap_reached"], "ap_ranked": ["ap_clusters"], "ap_named": ["ap_ranked"],
+})
+
+
+@query(S.ctes("ap_named").replace("WITH", "WITH RECURSIVE", 1) + " SELECT * FROM ap_named")
 def alert_clusters(spark, d):
-    """Clusters of problems, checked against union-find in the tests."""
+    """Clusters of problems; checked against union-find in the tests as well."""
     return A.clusters(*alert_problems(spark, d))
 
 
-@query()
+_PAYLOAD_SEC = 1706616000  # 2024-01-30 12:00:00
+_SET = lambda c: f"list_sort(list_distinct(flatten(list({c}))))"
+_NOT_IN = lambda c, k: f"array_to_string(list_filter({c}, lambda x: NOT list_contains(coalesce({k}, []), x)), ',')"
+
+
+@query(
+    S.ctes("ap_named", "rkeyed").replace("WITH", "WITH RECURSIVE", 1) + f""", pl AS (SELECT cluster, min("primary") AS "primary", count(*) AS cluster_size, CAST(coalesce(max(total_occurrences) FILTER (same), 0) + coalesce(sum(total_occurrences) FILTER (NOT same), 0) AS BIGINT) AS error_count,
+    {_SET('apps')} AS apps, {_SET('namespaces')} AS namespaces, bool_or(has_spike) AS has_spike FROM ap_named JOIN ap USING (problem_key) GROUP BY cluster),
+    pk AS (SELECT pl.*, f.category, f.flow, f.error_class, 'PEAK:' || f.category || ':' || f.flow || ':' || CASE WHEN pl.has_spike THEN 'spike' ELSE 'burst' END AS peak_key FROM pl JOIN ap f ON f.problem_key = pl."primary"),
+    k AS (SELECT 'PEAK:' || category || ':' || rflow || ':' || CASE WHEN is_spike THEN 'spike' ELSE 'burst' END AS peak_key, {_SET('apps')} AS k_apps, {_SET('namespaces')} AS k_ns, sum(total) / 2.0 AS k_mean, max(last_us) >= {(_PAYLOAD_SEC - 3600) * 1_000_000} AS goes_on
+        FROM rkeyed WHERE is_spike OR is_burst GROUP BY 1), j AS (SELECT pk.*, k_apps, k_ns, coalesce(goes_on, false) AS continues, error_count / k_mean AS r FROM pk LEFT JOIN k ON k.peak_key = pk.peak_key)
+    SELECT cluster, "primary", cluster_size, error_count, has_spike, category, flow, error_class, peak_key, array_to_string(apps, ',') AS apps, array_to_string(namespaces, ',') AS namespaces, k_apps IS NOT NULL AS is_known, continues,
+    {_NOT_IN('apps', 'k_apps')} AS new_apps, {_NOT_IN('namespaces', 'k_ns')} AS new_namespaces, CASE WHEN NOT continues OR r IS NULL OR r >= 1.2 THEN 'rising' WHEN r <= 0.8 THEN 'falling' ELSE 'stable' END AS trend FROM j"""
+)
 def alert_payloads(spark, d):
     """Payloads of clusters against known peaks."""
     rows, traces = alert_problems(spark, d)
     known = G.peak_updates(D.incidents(spark, d)).select("peak_key", "apps", "namespaces", (F.col("raw_count") / 2).alias("mean_count"), "last_seen")
-    return A.with_known(A.payloads(rows, A.clusters(rows, traces)), known, "2024-01-30 12:00:00")
+    out = A.with_known(A.payloads(rows, A.clusters(rows, traces)), known, "2024-01-30 12:00:00")
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return out.select("cluster", "primary", "cluster_size", "error_count", "has_spike", "category", "flow", "error_class", "peak_key", joined("apps"), joined("namespaces"), "is_known", "continues", joined("new_apps"), joined("new_namespaces"), "trend")
 
 
 @query(S.ctes("facts") + """, n AS (SELECT fingerprint AS key, namespace, CAST(sum(n) AS BIGINT) AS n FROM facts GROUP BY ALL), t AS (SELECT *, greatest(5, sum(n) OVER (PARTITION BY key) * 0.01) AS l, row_number() OVER (PARTITION BY key ORDER BY n DESC, namespace) AS r FROM n),

@@ -230,3 +230,13 @@ STORED_MESSAGE = [
     (r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}", "<TS>"), (r"0x[0-9a-fA-F]+", "<HEX>"),
 ]
 STORED_LENGTH = 500
+
+# What is wrong, by an event's category: the first text of which a word is in the message, else the category's own. Fixed values.
+CAUSE_TEXTS = {
+    "database": ([(["pool", "hikari"], "Database connection pool exhausted"), (["deadlock"], "Database deadlock detected"), (["constraint", "duplicate"], "Database constraint violation")], "Database error"),
+    "network": ([(["refused"], "Connection refused - target service may be down"), (["reset"], "Connection reset by peer")], "Network connectivity issue"),
+    "timeout": ([(["read"], "Read timeout - downstream service slow"), (["connect"], "Connection timeout - cannot reach target")], "Request timeout"),
+    "external": ([(["429", "rate"], "External API rate limit exceeded"), (["503", "unavailable"], "External service unavailable")], "External service issue"),
+    "memory": ([], "Out of memory - heap exhausted"),
+    "business": ([(["not found", "does not exist"], "Referenced entity not found"), (["validation"], "Input validation failure")], "Business logic error"),
+}

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from emberlog.sources.tables import staged
+
 DELIVERY_STATES = ("delivered", "failed", "suppressed", "skipped")
 
 
@@ -47,10 +49,11 @@ def append_deliveries(deliveries: DataFrame, path: str) -> int:
     """Audit rows, added after a check of status, key and destination; the number of rows."""
     empty = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
     state = F.lower(F.trim(F.coalesce("status", F.lit(""))))
-    bad = deliveries.filter(~state.isin(*DELIVERY_STATES) | empty("dedup_key") | empty("destination")).limit(1).count()
+    deliveries = staged(deliveries.withColumn("status", state), "deliveries")
+    bad = deliveries.filter(~F.col("status").isin(*DELIVERY_STATES) | empty("dedup_key") | empty("destination")).limit(1).count()
     if bad:
         raise ValueError("a delivery has no known status, no key or no destination")
-    deliveries.withColumn("status", state).write.mode("append").parquet(path)
+    deliveries.write.mode("append").parquet(path)
     return deliveries.count()
 
 

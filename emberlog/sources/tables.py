@@ -59,12 +59,19 @@ def replace_partitions(df: DataFrame, path: str, by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
+def _stamp(spark: SparkSession, folder: str) -> int:
+    """Changes when a file directly under the folder is added, removed, rewritten or resized."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return hash(tuple((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path))) if fs.exists(path) else 0
+
+
 def once(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The stage table ``name`` of ``source``, made by the first query of this application that needs it and read by the others.
+    """The stage table ``name`` of ``source`` as it is, made by the first query of this application that needs it and read by the others.
 
     So a run's records and incidents are made once, as a scheduled run would store them, and every report reads them.
     """
-    key = (spark.sparkContext.applicationId, source, name)
+    key = (spark.sparkContext.applicationId, f"{source} {_stamp(spark, source)}", name)
     if key not in _made:
         _made[key] = staged(make(), name)
     return _made[key]
