@@ -102,7 +102,7 @@ def trend_text(current: Column, base: Column, label: str, cap: float = 200.0, ar
     pct = (current - base) / base * 100
     capped = F.least(F.lit(cap), F.abs(pct))
     big = F.format_string(f"{label}: %s %s%.0f%%%s", F.when(pct > 0, "↑").otherwise("↓"), F.when(pct > 0, "+").otherwise("-"), F.bround(capped, 0), F.when(F.abs(pct) > cap, "+").otherwise(""))
-    small = F.format_string(f"{label}: → %s%.0f%%", F.when(pct >= 0, "+").otherwise(""), F.bround(pct, 0))
+    small = F.format_string(f"{label}: → %s%.0f%%", F.when(pct >= 0, "+").otherwise("-"), F.bround(F.abs(pct), 0))  # a small fall is -0%
     flat = F.when(current == 0, F.lit(f"{label}: → 0")).otherwise(F.format_string(f"{label}: ↑ %d", current.cast("long")))
     return F.when(base <= 0, flat).when(F.abs(pct) >= arrow_from, big).otherwise(small)
 

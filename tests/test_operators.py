@@ -335,6 +335,11 @@ def test_values(spark):
     assert one(spark, V.trend_text(F.lit(40), F.lit(10.0), "2h")) == "2h: ↑ +200%+"
 
 
+@pytest.mark.parametrize("current, base, text", [(269, 270.0, "24h: → -0%"), (271, 270.0, "24h: → +0%"), (135, 270.0, "24h: → -50%"), (0, 270.0, "24h: → -100%"), (270, 270.0, "24h: → +0%")])
+def test_small_trends_keep_their_sign(spark, current, base, text):
+    assert one(spark, V.trend_text(F.lit(current), F.lit(base), "24h")) == text
+
+
 def test_dense_zeros_and_reconciliation(spark):
     rows = parse(log_rows(spark, [(0, "ns-a", "x", "m", None), (1, "ns-a", "x", "m", None), (2, "ns-a", "x", "n", None)]))
     f = measure.facts(rows)
