@@ -242,8 +242,7 @@ def _parts(app: Column, skip: list[str], least: int) -> Column:
 
 
 def _named_by_parts(apps: Column, skip: list[str], least: int) -> Column:
-    names = F.filter(F.transform(apps, lambda a: F.array_join(F.slice(_parts(a, skip, least), 1, 2), "_")), lambda s: s != "")
-    return F.get(names, F.lit(0))
+    return F.nullif(F.array_join(F.slice(_parts(F.get(apps, F.lit(0)), skip, least), 1, 2), "_"), F.lit(""))
 
 
 def flow(apps: Column) -> Column:
@@ -254,7 +253,7 @@ def flow(apps: Column) -> Column:
 
 
 def registry_flow(apps: Column, namespaces: Column | None = None) -> Column:
-    """Registry: the first pattern that fits any app; else meaningful parts; without apps, the first part of the first namespace."""
+    """Registry: the first pattern that fits any app; else the first app's first two meaningful parts; without apps, the first part of the first namespace."""
     safe = F.filter(F.coalesce(apps, F.array().cast("array<string>")), lambda a: a.isNotNull() & (F.trim(a) != ""))
     joined = F.lower(F.array_join(safe, " "))
     fits = first_match(((joined.rlike(p), f) for p, f in rules.REGISTRY_FLOWS), None)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions import text as X
 from emberlog.functions import values as V
-from emberlog.operators import alerts, analysis, incidents, ledger, measure, peaks, problems, traces
+from emberlog.operators import alerts, analysis, incidents, ledger, measure, peaks, problems, registry, traces
 from emberlog.operators.parse import parse
 from emberlog.plans import logs as Q
 from emberlog.plans import problems as B
@@ -320,6 +320,8 @@ def test_texts(spark):
     assert one(spark, X.sorted_versions(F.array(F.lit("2.10.0"), F.lit("2.9.0"), F.lit("2.10.0-rc1")))) == ["2.9.0", "2.10.0-rc1", "2.10.0"]
     assert one(spark, X.registry_flow(F.array(F.lit("bff-pcb-ch-card-servicing-v1")))) == "card_servicing"
     assert one(spark, X.registry_flow(F.array().cast("array<string>"), F.array(F.lit("pcb-dev-01")))) == "pcb"
+    assert [one(spark, f(F.array(F.lit("feapi-pca-v1"), F.lit("shop-cart-v3")))) for f in (X.registry_flow, X.flow)] == ["unknown", "unknown"]
+    assert one(spark, X.registry_flow(F.array(F.lit("feapi-pca-v1"), F.lit("bl-pcb-billing-v1")))) == "billing"
     assert one(spark, X.longest_shared_run(F.array(*map(F.lit, "abcdef")), F.array(*map(F.lit, "xbcdey")))) == 4
     assert [one(spark, X.duration_text(F.lit(s))) for s in (45, 1385, 18723)] == ["45s", "23m 5s", "5h 12m 3s"]
     assert one(spark, X.without_stack(F.lit("bad\n\tat com.acme.A.b(A.java:1)"))) == "bad"
@@ -340,6 +342,16 @@ def test_small_trends_keep_their_sign(spark, current, base, text):
     assert one(spark, V.trend_text(F.lit(current), F.lit(base), "24h")) == text
 
 
+def test_registry_keeps_every_fingerprint(spark):
+    """Two runs of 600 fingerprints of one key, 200 of them in both."""
+    run = lambda a: spark.range(a, a + 600).select(
+        F.lit("timeout").alias("category"), F.array(F.lit("shop-cart-v3")).alias("apps"), F.lit("TimeoutException").alias("error_type"), F.lit("slow").alias("normalized_message"), F.array(F.lit("n")).alias("namespaces"),
+        F.timestamp_seconds(F.col("id")).alias("first_seen"), F.timestamp_seconds(F.col("id")).alias("last_seen"), F.col("id").cast("string").alias("fingerprint"), F.lit("slow").alias("sample_message"), F.lit(1).cast("long").alias("total_count"))
+    a, b = registry.problem_updates(run(0)), registry.problem_updates(run(400))
+    h = registry.health(registry.upsert(a, b), "2026-01-20").first()
+    assert (h["problems"], h["fingerprints"], h["max_fingerprints"]) == (1, 1000, 1000)
+
+
 def test_dense_zeros_and_reconciliation(spark):
     rows = parse(log_rows(spark, [(0, "ns-a", "x", "m", None), (1, "ns-a", "x", "m", None), (2, "ns-a", "x", "n", None)]))
     f = measure.facts(rows)
