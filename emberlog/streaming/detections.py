@@ -58,10 +58,10 @@ def part(records: DataFrame, tail: DataFrame | None, rules: Rules) -> dict[str,
         F.sum("n").alias("total"), F.sum(F.when(last, F.col("n")).otherwise(0.0)).alias("last_n"), F.sum(F.when(F.col("w") == F.col("page_first"), F.col("n")).otherwise(0.0)).alias("first_n"),
         F.sum(F.when(~last, F.col("n") * weight).otherwise(0.0)).alias("decayed"), F.min("kind").alias("kind"), *map(_set, ("namespaces", "apps", "versions")),
     )
-    events = timed.select("fingerprint", "ts", "seq", F.lit(True).alias("own"))
+    events = timed.select("fingerprint", "ts", "seq", F.lit(True).alias("new"))
     if tail is not None:
-        events = events.unionByName(tail.select("fingerprint", "ts", "seq", F.lit(False).alias("own")))
-    trail = M.trailing_counts(events, rules.burst_seconds).filter("own").groupBy("fingerprint").agg(F.count("*").alias("events"), F.max("in_window").alias("most"), F.sum("in_window").alias("counted"))
+        events = events.unionByName(tail.select("fingerprint", "ts", "seq", F.lit(False).alias("new")))
+    trail = M.trailing_counts(events, rules.burst_seconds).filter("new").groupBy("fingerprint").agg(F.count("*").alias("events"), F.max("in_window").alias("most"), F.sum("in_window").alias("counted"))
     counts = M.facts(records, rules.seconds).groupBy("namespace", "window_start", "fingerprint").agg(F.sum("error_count").alias("error_count")).join(F.broadcast(span))
     edge = F.col("window_start").isin(F.col("page_first"), F.col("page_last"))
     end = timed.agg(F.max("ts").alias("end"))

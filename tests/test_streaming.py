@@ -15,6 +15,7 @@ from emberlog.operators import alerts, measure
 from emberlog.operators.parse import parse
 from emberlog.plans.catalog import load
 from emberlog.sources.logs import errors, log_events
+from emberlog.streaming import detections as DS
 from emberlog.streaming import facts as S
 from emberlog.streaming import keyed as K
 
@@ -68,6 +69,19 @@ def test_two_months(spark, two_months, name):
     assert spark_rows(queries[name](spark, two_months)) == expected
 
 
+def test_context_of_a_page_is_not_counted_again(spark, data):
+    """Events that the tail of the page before holds are seen by a page's trailing counts, but they are not the page's events."""
+    none = spark.createDataFrame([], "namespace string, dow int, p93 double, samples long"), spark.createDataFrame([], "namespace string, cap double")
+    r = parse(errors(log_events(spark.read.parquet(f"{data}/events.parquet"))))
+    cut = r.agg(F.percentile_approx("ts", 0.5)).first()[0]
+    rules, old, new = DS.Rules(*none, 86_400), r.filter(F.col("ts") <= cut), r.filter(F.col("ts") > cut)
+    first = DS.part(old, None, rules)
+    found = [first["measures"], DS.part(new, first["tail"], rules)["measures"]]
+    assert [m.agg(F.sum("events")).first()[0] for m in found] == [old.count(), new.count()]
+    whole = measure.bursts(r, 86_400).agg(F.sum(F.col("avg_count") * F.col("events"))).first()[0]
+    assert sum(m.agg(F.sum("counted")).first()[0] for m in found) == pytest.approx(whole)
+
+
 def _run(spark, tmp_path, pages, schema, transform, mode):
     """What a keyed stream emits over pages of rows, with the number of each page."""
     out = []
