@@ -24,7 +24,7 @@ from emberlog.plans import state as T
 from emberlog.plans.catalog import query, table
 from emberlog.sources import exports as E
 from emberlog.sources import logs as LS
-from emberlog.sources.tables import shared_folder, staged
+from emberlog.sources.tables import shared_folder, spread, staged
 from emberlog.streaming import detections as DS
 from emberlog.streaming import facts as ST
 from emberlog.streaming import keyed as KS
@@ -248,7 +248,7 @@ def _streamed(spark: SparkSession, pages: list[DataFrame], transform: Callable[[
     folder = _folder(spark, "stream")
     put = lambda rows, number: rows.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
     for page in pages:
-        page.write.mode("append").parquet(f"{folder}/in")
+        spread(page).write.mode("append").parquet(f"{folder}/in")  # files enough for all cores
         stream = transform(f"{folder}/in")
         run = start(stream, f"{folder}/out", f"{folder}/state") if start else stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
         run.awaitTermination()

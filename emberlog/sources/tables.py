@@ -33,13 +33,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan dealt out again if it has fewer partitions than there are cores (one small file), so that costly expressions after it run on all.
+#: Rows of one task of costly expressions.
+TASK_ROWS = 100_000
 
-    For scans and what needs no shuffle; a large scan has partitions enough and stays as it is.
+
+def spread(df: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """A scan dealt out again, so that costly expressions after it run on all cores and no task has more than about ``task_rows`` rows, however few files, splits or row groups there are.
+
+    For scans and what needs no shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // task_rows)))
 
 
 def listed(spark: SparkSession, folder: str) -> list[str]:

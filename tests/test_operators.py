@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from emberlog import rules
 from emberlog.functions import text as X
 from emberlog.functions import values as V
 from emberlog.operators import alerts, analysis, incidents, ledger, measure, peaks, problems, registry, traces
@@ -352,6 +353,23 @@ def test_registry_keeps_every_fingerprint(spark):
     assert (h["problems"], h["fingerprints"], h["max_fingerprints"]) == (1, 1000, 1000)
 
 
+def test_plain_texts_choose_what_is_replaced(spark):
+    """Normalisation and error types are those of all patterns in order, without a look at what a message must have."""
+    said = ["", "Account 12345", "account 12345 of card 99999", "Card  123456", "case 12345", "RequestId 123456 request 1234", "TxId 12345 transaction 99999", "OrderId 12345", "DocId 99999 Document 12345", "1.2.3.4:8080 up",
+            "2024-01-02T03:04:05.6Z late", "0xFF at @abcdef", "a:1234 b:123", "/12/x/7/", "99999", "id: 7 ID=8 Id 9", "x?a=b c", "3f2b8c1e-aaaa-4bbb-8ccc-0123456789ab", "java.io.IOException: disk", "MyError SomeFault aFailure", "Error Exception"]
+    df = spark.createDataFrame([(m,) for m in said], "m string")
+    plain = F.coalesce(*(X.found(F.col("m"), p) for p in rules.ERROR_TYPE_PATTERNS), F.lit("UnknownError"))
+    got = df.select(X.normalised_message(F.col("m")).alias("a"), X.replaced(F.col("m"), rules.NORMALISATION).alias("b"), X.error_type_of_message(F.col("m")).alias("c"), plain.alias("d")).collect()
+    assert [(r["a"], r["c"]) for r in got] == [(r["b"], r["d"]) for r in got]
+    assert len({r["a"] for r in got}) > 15
+
+
+def test_spread_bounds_the_rows_of_a_task(spark, tmp_path):
+    spark.range(10_000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    parts = tables.spread(spark.read.parquet(str(tmp_path / "one")), 500).groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) == 20 and max(r["count"] for r in parts) <= 600
+
+
 def test_dense_zeros_and_reconciliation(spark):
     rows = parse(log_rows(spark, [(0, "ns-a", "x", "m", None), (1, "ns-a", "x", "m", None), (2, "ns-a", "x", "n", None)]))
     f = measure.facts(rows)
