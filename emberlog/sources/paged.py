@@ -1,7 +1,7 @@
 """A paged log source: documents in pages of a fixed snapshot, read in parallel as a table or page by page as a stream.
 
 A snapshot is a folder of pages (line-delimited JSON documents, each with its time and its place among equal times, in that order) and a table of pages:
-number, first and last cursor, rows. The cursor of a page is (time, place) of its last document. A reader plans one partition a page, leaves out pages whose
+number, first and last cursor, rows. The cursor of a page is (time, place) of its last document. A reader plans partitions of some pages each, leaves out pages whose
 cursors are outside of the times asked for, and fails if a page is missing or holds other rows than the snapshot says: fetched must equal total.
 
 ``fetch(folder, number)`` gives a page's lines. It runs in tasks, with retries; the default reads a shared folder, and a client of a log server takes its place.
@@ -21,19 +21,25 @@ from pyspark.sql.types import StructType
 
 Fetch = Callable[[str, int], Iterator[str]]
 PAGE_ROWS = 10_000
+#: Rows that one task lays out, or reads, as pages.
+TASK_ROWS = 200_000
 
 
 def write_snapshot(docs: DataFrame, folder: str, at: str = "us", page_rows: int = PAGE_ROWS) -> None:
     """Documents (with a time in microseconds) laid out as the pages of a snapshot, in the order of time, then of all else.
 
-    Ranges of a range sort become pages: none is put in order in one task, and pages have about ``page_rows`` rows, not just so many.
+    Ranges of a range sort are cut into pages: none is put in order in one task, and pages have about ``page_rows`` rows, not just so many. The ranges are many pages wide and
+    cut by times and hashes, so that neither tasks nor what the driver samples go by the number of pages or the length of lines. Numbers of pages rise in time, with gaps.
     """
-    n = max(1, -(-docs.count() // page_rows))
+    total = docs.count()
+    n = max(1, min(docs.sparkSession.sparkContext.defaultParallelism, -(-total // page_rows)), -(-total // max(page_rows, TASK_ROWS)))
+    each = max(1, -(-total // max(1, n * max(1, round(total / n / page_rows)))))  # a range's rows in pages of like size
     line = F.to_json(F.struct(*docs.columns))
-    rows = docs.select(F.col(at).alias("us"), line.alias("line")).repartitionByRange(n, "us", "line").sortWithinPartitions("us", "line")
-    rows = rows.withColumn("page", F.spark_partition_id())
-    rows.select("page", "us", "line").write.partitionBy("page").json(f"{folder}/pages")
-    pages = docs.sparkSession.read.json(f"{folder}/pages").groupBy("page").agg(F.min("us").alias("first"), F.max("us").alias("last"), F.count("*").alias("rows"))
+    rows = docs.select(F.col(at).alias("us"), line.alias("line")).withColumn("hash", F.xxhash64("line")).repartitionByRange(n, "us", "hash").sortWithinPartitions("us", "hash", "line")
+    place = F.monotonically_increasing_id()  # the range, then the place in it
+    rows = rows.withColumn("place", place).withColumn("page", F.shiftright("place", 33) * (1 << 20) + F.floor(F.col("place").bitwiseAND((1 << 33) - 1) / each))
+    rows.sortWithinPartitions("page", "place").select("page", "us", "line").write.partitionBy("page").json(f"{folder}/pages")
+    pages = docs.sparkSession.read.schema("us long, line string, page long").json(f"{folder}/pages").groupBy("page").agg(F.min("us").alias("first"), F.max("us").alias("last"), F.count("*").alias("rows"))
     pages.coalesce(1).write.json(f"{folder}/index")  # a row a page
 
 
@@ -54,6 +60,26 @@ class Page(InputPartition):
         self.number, self.rows = number, rows
 
 
+class Stretch(InputPartition):
+    """Pages that one task reads after each other."""
+
+    def __init__(self, pages: list[Page]) -> None:
+        super().__init__(pages[0].number)
+        self.pages = pages
+
+
+def stretches(index: list[dict], at_least: int = 16) -> list[Stretch]:
+    """The pages in stretches of at most ``TASK_ROWS`` rows, shorter ones if there are few pages, so that ``at_least`` tasks share them."""
+    most, out, rows = min(TASK_ROWS, sum(p["rows"] for p in index) // at_least), [], 0
+    for p in index:
+        if not out or rows + p["rows"] > most:
+            out.append([])
+            rows = 0
+        out[-1].append(Page(p["page"], p["rows"]))
+        rows += p["rows"]
+    return [Stretch(pages) for pages in out]
+
+
 class _Pages:
     """What both readers do: plan pages and fetch them."""
 
@@ -66,7 +92,11 @@ class _Pages:
         found = [json.loads(x) for p in sorted(Path(self.folder.removeprefix("file:")).glob("index/*.json")) for x in p.read_text().splitlines()]
         return sorted(found, key=lambda p: p["page"])
 
-    def read(self, partition: Page) -> Iterator[tuple]:
+    def read(self, partition: Page | Stretch) -> Iterator[tuple]:
+        for page in partition.pages if isinstance(partition, Stretch) else [partition]:
+            yield from self._read(page)
+
+    def _read(self, partition: Page) -> Iterator[tuple]:
         for attempt in range(self.retries):
             try:
                 lines = list(self.fetch(self.folder, partition.number))
@@ -98,11 +128,11 @@ class PagedReader(_Pages, DataSourceReader):
 
     def partitions(self) -> list[Page]:
         wanted = [p for p in self.index() if (self.low is None or p["last"] >= self.low) and (self.high is None or p["first"] <= self.high)]
-        return [Page(p["page"], p["rows"]) for p in wanted]
+        return stretches(wanted)
 
 
 class PagedStreamReader(_Pages, DataSourceStreamReader):
-    """The offset is the number of pages read; a batch takes all pages that are there by now, a partition each."""
+    """The offset is the number of pages read; a batch takes all pages that are there by now."""
 
     def initialOffset(self) -> dict:
         return {"pages": 0}
@@ -111,7 +141,7 @@ class PagedStreamReader(_Pages, DataSourceStreamReader):
         return {"pages": len(self.index())}
 
     def partitions(self, start: dict, end: dict) -> list[Page]:
-        return [Page(p["page"], p["rows"]) for p in self.index()[start["pages"] : end["pages"]]]
+        return stretches(self.index()[start["pages"] : end["pages"]])
 
     def commit(self, end: dict) -> None:
         pass
