@@ -137,7 +137,7 @@ def test_many_pages_are_few_tasks(spark, tmp_path):
     docs = spark.range(3000).select((F.col("id") * 7919 % 3000).alias("us"), F.col("id").alias("n"), F.lit("x").alias("text"))
     paged.write_snapshot(docs, str(tmp_path / "s"), page_rows=10)
     index = sorted((json.loads(x) for p in (tmp_path / "s/index").glob("*.json") for x in p.read_text().splitlines()), key=lambda p: p["page"])
-    assert len(index) == 300 and all(a["last"] < b["first"] for a, b in zip(index, index[1:]))
+    assert 300 <= len(index) <= 310 and max(p["rows"] for p in index) <= 10 and all(a["last"] < b["first"] for a, b in zip(index, index[1:]))
     read = pages_of(spark, str(tmp_path / "s"))
     assert read.rdd.getNumPartitions() < 30 and [r["us"] for r in read.collect()] == list(range(3000))
 
