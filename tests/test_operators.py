@@ -166,6 +166,25 @@ def test_groups_of_a_steady_log(spark, monkeypatch, step, kinds):
     assert largest < 300 and analysis._starts(keyed)[1] <= 6
 
 
+@pytest.mark.parametrize("gap", [0, 2000])
+def test_groups_are_folded_in_spans_of_bounded_size(spark, monkeypatch, gap):
+    """What one task puts in order is a row per chunk, and no more chunks than its share of events: with the same starts as in spans that grow to the whole log."""
+    rows = [(i, T0 + timedelta(seconds=i * 0.5 + gap * (i // 900)), f"a{i * 7919 % 1009 % 6}", f"f{i * 104729 % 2003 % 500}-x", f"c{i * 1299709 % 3001 % 300}", "low", 1.0, False, False, i % 211 == 0) for i in range(4000)]
+    ev = spark.createDataFrame(rows, "event_id long, ts timestamp, app string, fingerprint string, category string, severity string, ratio double, is_spike boolean, is_burst boolean, is_cross_namespace boolean")
+    monkeypatch.setattr(analysis, "CHUNK_ROWS", 100)
+    keyed = analysis._keyed(ev)
+    sizes = [r["n"] for r in keyed.select("n").collect()]
+    assert sum(sizes) == 4000 and len(sizes) > 20 and max(sizes) < 300
+    whole = analysis._starts(keyed)[0]
+    spans, folded = [], analysis._folded
+    monkeypatch.setattr(analysis, "_folded", lambda rows, starts, span, members: spans.append((span, len({c // span for c in starts}))) or folded(rows, starts, span, members))
+    monkeypatch.setattr(analysis, "SPAN_ROWS", 1000)
+    monkeypatch.setattr(analysis, "AHEAD", 2)
+    assert analysis._starts(keyed)[0] == whole
+    assert max(s for s, _ in spans) * max(sizes) <= 1000
+    assert all(n <= 2 for s, n in spans[2:])
+
+
 def test_merged_timeline_equals_a_loop(spark):
     secs = [0, 10, 50, 60, 61, 100, 121, 122, 300]
     ev = spark.createDataFrame([(i, T0 + timedelta(seconds=s), "a" if i % 2 else "b", "fp", "spike", float(i), 1, "m", 1) for i, s in enumerate(secs)], "event_id long, ts timestamp, app string, fingerprint string, event_type string, ratio double, error_count long, message string, group_id long")
