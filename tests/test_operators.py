@@ -141,6 +141,18 @@ def test_overlaps_of_whole_tables(spark, data):
     assert keys and all("_cell" in k for k in keys)
 
 
+def test_overlaps_are_dealt_by_windows(spark, monkeypatch):
+    """As many tasks as windows ask for, however few bytes they have; windows of all lengths, empty ones and ends on a cell's edge, against a loop."""
+    monkeypatch.setattr(analysis, "PAIR_ROWS", 20, raising=False)
+    a = [(i % 3, 10 * (i * 37 % 50), 10 * (i * 37 % 50) + (i * 7 % 9) * 10 - 10, i) for i in range(300)]
+    b = [(i % 3, 10 * (i * 53 % 50), 10 * (i * 53 % 50) + (i * 5 % 7) * 20, i) for i in range(200)]
+    frames = [spark.createDataFrame(rows, f"namespace long, start long, end long, {n}_id long") for rows, n in ((a, "a"), (b, "b"))]
+    found = analysis.overlapping(*frames, cell_sec=50)
+    expected = sorted((x[3], y[3]) for x in a for y in b if x[0] == y[0] and x[1] < y[2] and y[1] < x[2])
+    assert sorted((r["a_id"], r["b_id"]) for r in found.collect()) == expected
+    assert found.rdd.getNumPartitions() >= 25
+
+
 @pytest.mark.parametrize(("step", "kinds"), [(7, (3, 5, 4)), (20, (40, 30, 1000)), (0.5, (6, 1000, 1000))])
 def test_groups_of_a_steady_log(spark, monkeypatch, step, kinds):
     """No silence ends a run here: the log must still be folded in parts of bounded size, with the same groups as in one loop."""
