@@ -153,6 +153,16 @@ def test_overlaps_are_dealt_by_windows(spark, monkeypatch):
     assert found.rdd.getNumPartitions() >= 25
 
 
+def test_events_are_dealt_out_as_stored(spark, data, monkeypatch):
+    """The scan shuffles the table's own columns; the log view's texts are made by the tasks that parse them."""
+    seen, spread = [], Q.spread
+    monkeypatch.setattr(Q, "spread", lambda df: seen.append(df.columns) or spread(df))
+    monkeypatch.setattr(tables, "_made", {})
+    n = Q.records(spark, data).count()
+    assert seen == [spark.read.parquet(f"{data}/events.parquet").columns]
+    assert n == Q.errors(spark, data).count()
+
+
 @pytest.mark.parametrize(("step", "kinds"), [(7, (3, 5, 4)), (20, (40, 30, 1000)), (0.5, (6, 1000, 1000))])
 def test_groups_of_a_steady_log(spark, monkeypatch, step, kinds):
     """No silence ends a run here: the log must still be folded in parts of bounded size, with the same groups as in one loop."""
