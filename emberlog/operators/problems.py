@@ -22,8 +22,12 @@ def occurrences(current: Column, traces: Column, samples: Column) -> Column:
     return F.coalesce(positive(current), positive(traces), positive(samples), F.lit(1)).cast("long")
 
 
-def _union(c: str) -> Column:
-    return F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+def _unions(found: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Per problem the sorted sets of what the arrays ``names`` hold. Values are made distinct before they meet, so no row holds the arrays of all incidents."""
+    marked = lambda i: lambda v: F.struct(F.lit(i).alias("i"), v.alias("v"))
+    entries = F.concat(*(F.transform(F.coalesce(n, F.array().cast("array<string>")), marked(i)) for i, n in enumerate(names)))
+    values = found.select("problem_key", F.inline(entries)).distinct()
+    return values.groupBy("problem_key").agg(*(F.array_sort(F.collect_set(F.when(F.col("i") == i, F.col("v")))).alias(n) for i, n in enumerate(names)))
 
 
 _PROBLEM_COLUMNS = (
@@ -37,13 +41,13 @@ def problems(found: DataFrame) -> DataFrame:
     rows = found.withColumn("n", occurrences(F.col("total_count"), F.lit(0), F.lit(1)))
     order = F.struct(F.col("score").alias("score"), (-F.col("first_seq")).alias("s"))
     flag = lambda c: F.bool_or(c)
+    sets = ("apps", "namespaces", "versions")
     return rows.groupBy("problem_key").agg(
         F.first("category").alias("category"), F.first("flow").alias("flow"), F.first("error_class").alias("error_class"), F.count("*").alias("incident_count"), F.sum("n").alias("total_occurrences"),
-        F.array_sort(F.collect_set("fingerprint")).alias("fingerprints"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), _union("apps").alias("apps"), _union("namespaces").alias("namespaces"),
-        _union("versions").alias("versions"), flag("is_spike").alias("has_spike"), flag("is_burst").alias("has_burst"), flag("is_new").alias("has_new"), flag("is_regression").alias("has_regression"),
+        F.array_sort(F.collect_set("fingerprint")).alias("fingerprints"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), flag("is_spike").alias("has_spike"), flag("is_burst").alias("has_burst"), flag("is_new").alias("has_new"), flag("is_regression").alias("has_regression"),
         flag("is_cascade").alias("has_cascade"), flag("is_cross_namespace").alias("is_cross_namespace"), F.max("score").alias("max_score"), F.max_by("severity", order).alias("max_severity"),
         F.min_by("normalized_message", F.when(F.col("normalized_message") != "", F.col("first_seq"))).alias("normalized_message"), F.min_by("error_type", F.when(F.col("error_type") != "", F.col("first_seq"))).alias("error_type"),
-    ).join(_first_samples(found), "problem_key", "left").join(_app_counts(found), "problem_key", "left").select(*_PROBLEM_COLUMNS)
+    ).join(_unions(found, sets), "problem_key", "left").withColumns({s: F.coalesce(s, F.array().cast("array<string>")) for s in sets}).join(_first_samples(found), "problem_key", "left").join(_app_counts(found), "problem_key", "left").select(*_PROBLEM_COLUMNS)
 
 
 def _first_samples(found: DataFrame, most: int = 5) -> DataFrame:

@@ -163,6 +163,17 @@ def test_events_are_dealt_out_as_stored(spark, data, monkeypatch):
     assert n == Q.errors(spark, data).count()
 
 
+def test_sets_of_a_problem_are_made_of_distinct_values(spark, data):
+    """No row holds the arrays of all incidents; arrays that are missing or empty add nothing."""
+    rows = [("p", ["b", "a"], ["n"], ["2"]), ("p", ["c", "a"], None, []), ("p", None, ["m"], []), ("q", [], [], None)]
+    found = spark.createDataFrame(rows, "problem_key string, apps array<string>, namespaces array<string>, versions array<string>")
+    got = {r[0]: tuple(r[1:]) for r in problems._unions(found, ("apps", "namespaces", "versions")).collect()}
+    assert got == {"p": (["a", "b", "c"], ["m", "n"], ["2"])}
+    made = problems.problems(B.keyed(spark, data))
+    assert "flatten" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert made.filter("apps is null or namespaces is null or versions is null").isEmpty()
+
+
 @pytest.mark.parametrize(("step", "kinds"), [(7, (3, 5, 4)), (20, (40, 30, 1000)), (0.5, (6, 1000, 1000))])
 def test_groups_of_a_steady_log(spark, monkeypatch, step, kinds):
     """No silence ends a run here: the log must still be folded in parts of bounded size, with the same groups as in one loop."""
