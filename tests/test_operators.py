@@ -153,6 +153,36 @@ def test_overlaps_are_dealt_by_windows(spark, monkeypatch):
     assert found.rdd.getNumPartitions() >= 25
 
 
+def _stages(spark):
+    """(id, rows shuffled) of the stages that have run."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    store = context._jsc.sc().statusStore()
+    found = store.stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), getattr(store, "stageList$default$5")())
+    return [(found.apply(i).stageId(), found.apply(i).shuffleWriteRecords()) for i in range(found.size())]
+
+
+def test_overlaps_shuffle_a_window_once_for_both_roles(spark, data):
+    """Orders last two and three days here; they met five cells of a day, in a shuffle for each role."""
+    before = max((i for i, _ in _stages(spark)), default=-1)
+    Z.overlapping_windows(spark, data).write.format("noop").mode("overwrite").save()
+    moved = sum(n for i, n in _stages(spark) if i > before)
+    orders = spark.read.parquet(f"{data}/orders.parquet").count()
+    assert orders < moved <= 2 * orders + 100
+
+
+def test_overlaps_of_windows_in_two_roles(spark):
+    """Windows of all lengths, empty ones, ends before starts and on a cell's edge, missing values, against a loop."""
+    rows = [(i % 3 if i % 41 else None, 10 * (i * 37 % 50) if i % 43 else None, i, (i * 7 % 9) * 10 - 10 if i % 47 else None, (i * 5 % 7) * 20 - 20) for i in range(300)]
+    frame = spark.createDataFrame(rows, "namespace long, start long, id long, x long, y long")
+    found = analysis.overlapping_roles(frame, F.col("start") + F.col("x"), F.col("start") + F.col("y"), cell_sec=50)
+    assert set(found.columns) == {"namespace", "a_start", "a_end", "a_id", "a_x", "a_y", "b_start", "b_end", "b_id", "b_x", "b_y"}
+    a = [(n, s, s + x, i) for n, s, i, x, _ in rows if None not in (n, s, x)]
+    b = [(n, s, s + y, i) for n, s, i, _, y in rows if None not in (n, s)]
+    expected = sorted((*v, *w[1:]) for v in a for w in b if v[0] == w[0] and v[1] < w[2] and w[1] < v[2])
+    assert sorted(tuple(r[c] for c in ("namespace", "a_start", "a_end", "a_id", "b_start", "b_end", "b_id")) for r in found.collect()) == expected
+
+
 def test_events_are_dealt_out_as_stored(spark, data, monkeypatch):
     """The scan shuffles the table's own columns; the log view's texts are made by the tasks that parse them."""
     seen, spread = [], Q.spread
